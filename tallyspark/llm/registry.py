@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.secrets import digest, secrets_by_path
 
@@ -46,6 +52,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.simhash import near_duplicates
 
@@ -82,7 +94,10 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op8_exact_dedup, op10_simhash)}
+    all_of = (
+        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op8_exact_dedup, op9_language, op10_simhash,
+    )
+    return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
