@@ -46,6 +46,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.exact_dedup import exact_dedup
 
@@ -95,7 +107,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM b
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
-        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op8_exact_dedup, op9_language, op10_simhash,
+        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op6_html_text, op7_quality, op8_exact_dedup, op9_language, op10_simhash,
     )
     return {f.__name__: f for f in all_of}
 
