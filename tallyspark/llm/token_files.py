@@ -36,16 +36,27 @@ from pyspark.sql.window import Window
 from tallyspark.llm.common import record, shared_dir, written
 
 #: Entries of the table of parts, and the longest part kept in it.
-TABLE_SIZE, LONGEST_PART = 500_000, 40
+TABLE_SIZE, LONGEST_PART = 1_000_000, 40
 #: A text with one of these is given to the tokenizer whole: \s differs between libraries.
 _CONTROL = re.compile("[\x1c-\x1f\x85]")
-_PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Runs of letters that plain marks or white space end, other runs, white space as the
+#: pattern of the tokenizer takes it. The tokenizer cuts at each of these places too.
+_LETTERS = r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+"
+_PART = re.compile(_LETTERS + r"(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s+")
+_WORD = re.compile(_LETTERS + r"\Z")
 #: doc_id of a document without one, in the files.
 NO_ID = -(1 << 63)
 
 
-class TokenTable:
-    """encode() of one tokenizer file, with a bounded table of parts already seen."""
+def _byte_letters() -> dict[str, str]:
+    """The letter that byte-level vocabularies write for each byte (given as latin-1)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return str.maketrans({chr(b): chr(b) for b in plain} | {chr(b): chr(256 + i) for i, b in enumerate(rest)})
+
+
+class TokenTable(dict):
+    """encode() of one tokenizer file; itself a bounded table from parts to their ids."""
 
     def __init__(self, path: str):
         import os
@@ -54,29 +65,32 @@ class TokenTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_part = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_part and not _CONTROL.search(t) and not any(a in t for a in self.added) for t in texts]
-        cut = [_PART.findall(t) if p else [t] for t, p in zip(texts, plain, strict=True)]
-        if len(self.parts) > TABLE_SIZE:
-            self.parts.clear()
-        new = list({x for c in cut for x in c if x not in self.parts})
-        known = self.parts
-        known.update(zip(new, self._whole(new), strict=True))
-        out = [b"".join([known[x] for x in c]) for c in cut]
-        for x in new:
-            if len(x) > LONGEST_PART:
-                del known[x]
+        pre = self.tokenizer.pre_tokenizer
+        self.by_part = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
+        self.letters = _byte_letters()
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if _WORD.match(part):  # one word of the tokenizer's: straight to its merges
+            out = self._ids([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        else:
+            out = self._ids(self.tokenizer.encode(part, add_special_tokens=False).ids)
+        if len(part) <= LONGEST_PART:
+            if len(self) >= TABLE_SIZE:
+                self.clear()
+            self[part] = out
         return out
 
+    def encode(self, text: str) -> bytes:
+        if not self.by_part or _CONTROL.search(text) or any(a in text for a in self.added):
+            return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, _PART.findall(text)))
+
 
 @lru_cache(maxsize=2)
 def token_table(path: str) -> TokenTable:
@@ -119,7 +133,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
                 out = fs.open_output_stream(f"{top}/{name}.bin")
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                for data in table.encode(part.column("text").to_pylist()):
+                for text in part.column("text").to_pylist():
+                    data = table.encode(text)
                     out.write(data + end)
                     lengths.append(len(data) // table.dtype.itemsize + 1)
                 ids += [NO_ID if i is None else i for i in part.column("doc_id").to_pylist()]

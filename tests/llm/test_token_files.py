@@ -20,11 +20,11 @@ def want_ids(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab it's  \t\n\u00a0\u2009\x1cé漢🙂.,'09\x85") | st.characters(codec="utf-8"), max_size=50))
+@given(st.text(alphabet=st.sampled_from("ab it's Éé²½ªßŉ×; \t\n\u00a0\u2009\x1cé漢🙂.,'09\x85") | st.characters(codec="utf-8"), max_size=50))
 def test_parts_give_the_tokenizers_ids(text):
     table = T.token_table(PATH)
     for t in (text, text + "<|endoftext|> x"):
-        assert np.frombuffer(table.encode([t])[0], table.dtype).tolist() == want_ids(t)[:-1]
+        assert np.frombuffer(table.encode(t), table.dtype).tolist() == want_ids(t)[:-1]
 
 
 def test_round_trip(spark, sf_dir):
