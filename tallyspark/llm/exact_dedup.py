@@ -104,6 +104,7 @@ def verified(recipes: DataFrame) -> DataFrame:
     chunk = F.explode(F.arrays_zip("hashes", "digests")).alias("c")
     pairs = recipes.select(chunk).select(F.col("c.hashes").alias("hash"), F.col("c.digests").alias("digest")).distinct()
     clashing = pairs.groupBy("hash").agg(F.array_sort(F.collect_set("digest")).alias("all")).where(F.size("all") > 1)
+    clashing = written(clashing, "clashing")
     fixes = (
         recipes.select("_row", F.posexplode(F.arrays_zip("hashes", "digests")).alias("at", "c"))
         .join(clashing, F.col("c.hashes") == F.col("hash"))
