@@ -32,7 +32,7 @@ from tallyspark.llm.common import by_batch, record, with_row_id, written
 from tallyspark.llm.markup import ARTICLE, FURNITURE, MAIN, OTHER, blocks_of
 
 #: Words of a run; pages of a block of a host's array.
-RUN, BLOCK_PAGES = 8, 512
+RUN, BLOCK_PAGES = 8, 128
 _END = ""  # fills up blocks of fewer words
 
 HOST = r"(?s)^.*?://([^/?#]*)"
