@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from tallyspark.llm.common import record, shared_dir, written
 
 #: Entries of the table of parts, and the longest part kept in it.
-TABLE_SIZE, LONGEST_PART = 1_000_000, 40
+TABLE_SIZE, LONGEST_PART = 400_000, 40
 #: A text with one of these is given to the tokenizer whole: \s differs between libraries.
 _CONTROL = re.compile("[\x1c-\x1f\x85]")
 #: Runs of letters that plain marks or white space end, other runs, white space as the
