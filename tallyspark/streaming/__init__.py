@@ -1,0 +1 @@
+"""The data model has no streams; tables that grow (price history) are appended in batches."""
