@@ -19,9 +19,11 @@ an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -30,8 +32,25 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import by_batch, record
 
 SPACE = "▁"
-#: Entries of the table of parts and of the table of pairs, and the longest part kept.
-TABLE_SIZE, PAIRS_SIZE, LONGEST_PART = 400_000, 1_000_000, 40
+#: Entries of each of the two tables of parts and of the table of pairs, and the longest part kept.
+TABLE_SIZE, PAIRS_SIZE, LONGEST_PART = 300_000, 1_000_000, 40
+
+
+class _Parts(dict):
+    """A bounded table from parts to ids. When it is full it becomes the older table and
+    starts anew; parts that come again move up."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.older = pieces, {}
+
+    def __missing__(self, part: str) -> bytes:
+        out = self.older.get(part) or self.pieces.encoded(part)
+        if len(part) <= LONGEST_PART:
+            if len(self) >= TABLE_SIZE:
+                self.older = dict(self)
+                self.clear()
+            self[part] = out
+        return out
 
 
 class Pieces:
@@ -52,16 +71,18 @@ class Pieces:
                 self.id[piece] = i
                 self.rank[piece] = (-sp.get_score(i), i)
         self.end = sp.eos_id()
+        self.end_bytes = array("i", [self.end]).tobytes()
         self.automaton = ahocorasick.Automaton()
         for piece in self.id:
-            if len(piece) == 1 or self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, piece)
+            if len(piece) > 1 and self.merged(piece) == [piece]:  # one character is a token anyway
+                self.automaton.add_word(piece, (piece, len(piece) - 1))
         self.automaton.make_automaton()
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id):
             self.cut = re.compile("(?s).+")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts = _Parts(self)
+        self.less: dict[str, str | None] = {}
 
     def _require_identity(self) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -98,50 +119,57 @@ class Pieces:
 
     def shorter(self, piece: str) -> str | None:
         """The longest proper prefix that is a piece; one character always is a token."""
-        for n in range(len(piece) - 1, 1, -1):
-            if piece[:n] in self.automaton:
-                return piece[:n]
-        return piece[0] if len(piece) > 1 else None
+        if piece not in self.less:
+            found = (piece[:n] for n in range(len(piece) - 1, 1, -1) if piece[:n] in self.automaton)
+            self.less[piece] = next(found, piece[0] if len(piece) > 1 else None)
+        return self.less[piece]
 
     def tokens(self, text: str) -> list[str]:
         longest = list(text)
-        for end, piece in self.automaton.iter(text):
-            longest[end - len(piece) + 1] = piece  # of one start, longer pieces come later
-        failed, out, at = bytearray(len(text) // 8 + 1), [], 0
+        for end, (piece, back) in self.automaton.iter(text):
+            longest[end - back] = piece  # of one start, longer pieces come later
+        failed, out, at, n = bytearray(len(text) // 8 + 1), [], 0, len(text)
+        pairs, last = self.pairs, None
         token = longest[0] if text else None
-        while at < len(text):
+        while at < n:
             end = at + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < len(text) else None
-                continue
+            if not failed[end >> 3] >> (end & 7) & 1:
+                ok = last is None or pairs.get((last, token))
+                if ok is None:
+                    ok = self.compatible(last, token)
+                if ok:
+                    out.append(token)
+                    at, last = end, token
+                    token = longest[at] if at < n else None
+                    continue
             token = self.shorter(token)
             if token is None:
                 failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
+                last = out[-1] if out else None
                 at -= len(token)
         return out
 
-    def part(self, text: str) -> list[int]:
-        ids = []
+    def encoded(self, text: str) -> bytes:
+        """The ids of a part, as 32-bit integers."""
+        ids = array("i")
         for t in self.tokens(text):
             i = self.id.get(t)
-            ids.extend((i,) if i is not None else (self.byte[b] for b in t.encode()))
-        if len(text) <= LONGEST_PART:
-            if len(self.parts) >= TABLE_SIZE:
-                self.parts.clear()
-            self.parts[text] = ids
-        return ids
+            if i is None:
+                ids.extend(self.byte[b] for b in t.encode())
+            else:
+                ids.append(i)
+        return ids.tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """encode() as 32-bit integers."""
+        if not text:
+            return self.end_bytes
+        parts = self.cut.findall(self.prefix + text.replace(" ", SPACE))
+        return b"".join(map(self.parts.__getitem__, parts)) + self.end_bytes
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return [self.end]
-        known, out = self.parts.get, []
-        for x in self.cut.findall(self.prefix + text.replace(" ", SPACE)):
-            out += known(x) or self.part(x)
-        out.append(self.end)
-        return out
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -158,8 +186,10 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = pieces(model_path)
-        ids = [p.encode(t or "") for t in batch.column("text").to_pylist()]
-        return record(schema, doc_id=batch.column("doc_id"), ids=ids, decoded=[p.decode(x) for x in ids])
+        packed = [p.packed(t or "") for t in batch.column("text").to_pylist()]
+        ends = np.cumsum([0] + [len(x) // 4 for x in packed], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        return record(schema, doc_id=batch.column("doc_id"), ids=ids, decoded=[p.decode(array("i", x).tolist()) for x in packed])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return by_batch(texts, run, "doc_id long, ids array<int>, decoded string", rows=100)
