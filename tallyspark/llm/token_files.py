@@ -35,8 +35,8 @@ from pyspark.sql.window import Window
 
 from tallyspark.llm.common import record, shared_dir, written
 
-#: Entries of the table of parts, and the longest part kept in it.
-TABLE_SIZE, LONGEST_PART = 400_000, 40
+#: Entries of each of the two tables of parts, and the longest part kept in them.
+TABLE_SIZE, LONGEST_PART = 300_000, 40
 #: A text with one of these is given to the tokenizer whole: \s differs between libraries.
 _CONTROL = re.compile("[\x1c-\x1f\x85]")
 #: Runs of letters that plain marks or white space end, other runs, white space as the
@@ -56,7 +56,10 @@ def _byte_letters() -> dict[str, str]:
 
 
 class TokenTable(dict):
-    """encode() of one tokenizer file; itself a bounded table from parts to their ids."""
+    """encode() of one tokenizer file; itself a bounded table from parts to their ids.
+
+    When it is full it becomes the older table and starts anew; parts that come again move up.
+    """
 
     def __init__(self, path: str):
         import os
@@ -71,17 +74,21 @@ class TokenTable(dict):
         pre = self.tokenizer.pre_tokenizer
         self.by_part = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
         self.letters = _byte_letters()
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
+    def _encoded(self, part: str) -> bytes:
         if _WORD.match(part):  # one word of the tokenizer's: straight to its merges
-            out = self._ids([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
-        else:
-            out = self._ids(self.tokenizer.encode(part, add_special_tokens=False).ids)
+            return self._ids([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        return self._ids(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+    def __missing__(self, part: str) -> bytes:
+        out = self.older.get(part) or self._encoded(part)
         if len(part) <= LONGEST_PART:
             if len(self) >= TABLE_SIZE:
+                self.older = dict(self)
                 self.clear()
             self[part] = out
         return out
