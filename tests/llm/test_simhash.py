@@ -105,3 +105,14 @@ def test_long_chain_of_edges(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(200, 100), (300, 100)], "a long, b long")
     roots = {r.node: r.root for r in S.components(edges).collect()}
     assert {roots[i] for i in range(41)} == {0} and {roots[i] for i in (100, 200, 300)} == {100}
+
+
+def test_hot_prefixes_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_PREFIX", 3)
+    fps = planted(250, 9)
+    edges = S.links(spark.createDataFrame([(S._signed(x),) for x in fps], "fp long"))
+    roots = {r.node: r.root for r in S.components(edges).collect()}
+    got = {}
+    for i, x in enumerate(fps):
+        got.setdefault(roots.get(S._signed(x), S._signed(x)), []).append(i)
+    assert sorted((i, min(g)) for g in got.values() for i in g) == sorted(brute_components(list(enumerate(fps))))
