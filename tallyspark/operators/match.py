@@ -124,11 +124,19 @@ def scored_pairs(queries: DataFrame, items: DataFrame, all_items: DataFrame, nee
     joined = pairs.join(q, "qid").join(items, "iid")
     share = F.aggregate(F.filter("tokens", lambda t: F.arrays_overlap(t["words"], F.col("stems"))), F.lit(0.0), lambda s, t: s + t["weight"])
     joined = joined.withColumn("coverage", F.when(F.col("total") > 0, share / F.col("total")).otherwise(0.0)).where(F.col("coverage") >= need - 1e-9)
+    joined = with_similarity(written(joined.drop("tokens", "total", "stems"), "joined"))
     return joined.withColumn("raw", _score(F.col("coverage"), actions, units))
 
 
+def with_similarity(pairs: DataFrame) -> DataFrame:
+    """Adds similarity of q_phrase and phrase, computed once for each distinct pair of them:
+    it is by far the dearest expression, and many items and queries share their phrases."""
+    distinct = pairs.select("q_phrase", "phrase").distinct()
+    return pairs.join(distinct.withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase"))), ["q_phrase", "phrase"])
+
+
 def _score(coverage: Column, actions: bool, units: bool) -> Column:
-    score = fixed.COVERAGE_SHARE * coverage + fixed.SIMILARITY_SHARE / 100 * S.token_set_ratio(F.col("q_phrase"), F.col("phrase"))
+    score = fixed.COVERAGE_SHARE * coverage + fixed.SIMILARITY_SHARE / 100 * F.col("similarity")
     if actions:
         differ = (F.col("q_action") != "") & (F.col("action") != "") & (F.col("q_action") != F.col("action"))
         score = score - F.when(differ, fixed.ACTION_PENALTY).otherwise(0.0)
@@ -196,7 +204,8 @@ def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFram
     few = q.join(pairs.groupBy("qid").count().where(F.col("count") >= limit), "qid", "left_anti")
     # A stated query set against all forms; forms are distinct names, not rows.
     side = few.select("qid", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
-    filled = side.join(forms, F.lit(True)).join(pairs.select("qid", "iid"), ["qid", "iid"], "left_anti").withColumn("raw", _score(F.lit(0.0), True, True))
+    filled = written(side.join(forms, F.lit(True)).join(pairs.select("qid", "iid"), ["qid", "iid"], "left_anti"), "filled")
+    filled = with_similarity(filled).withColumn("raw", _score(F.lit(0.0), True, True))
     both = pairs.drop("iid").unionByName(filled.select(*[c for c in pairs.columns if c != "iid"]))
     both = both.withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1))
     return q.select("qid", F.col("name").alias("query_name"), F.col("unit").alias("query_unit")).join(_result(_ranked(both, limit)), "qid").drop("qid").withColumnsRenamed({"query_name": "name", "query_unit": "unit"})
