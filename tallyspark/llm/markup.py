@@ -15,7 +15,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z!?][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,38 +31,69 @@ _LABELS = frozenset(
     " footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion"
     " recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Labels that are also given to wrappers of a whole page, and labels whose holders may stand around it.
+_LOOSE_LABELS = frozenset("banner consent cookie cookies gdpr header login masthead modal newsletter notice notices overlay popup signup subscribe subscription toolbar widget".split())
+_LAYOUT_LABELS = frozenset("aside login menu modal notice notices overlay sidebar subscription toolbar widget".split())
+#: Words that may stand beside labels in a class or id that names furniture (site-footer, ad-slot), and words that may beside labels of no layout (comments-wrapper, not sidebar-wrapper).
+_BESIDE = frozenset(
+    "area article articles bar block body bottom box button buttons card cards column columns desktop entry fixed follow form global google heading icon icons image info inline inner"
+    " item items label leaderboard left link links list main media message mobile more placeholder policy post posts primary right row secondary section site slot small sticky stories"
+    " story text this title top unit us widgets".split()
+)
+_HOLDERS = frozenset("container content holder outer wrap wrapper".split())
+#: Levels of furniture: a form, which may stand around the page; a label that may; none that does.
+#: An article or main element ends the first two.
+FORM, LOOSE, SHUT = 1, 2, 3
+
 
+def _label(token: str, in_article: bool) -> int:
+    """Level of a class or id: that of its labels, if it holds but labels and words beside them."""
+    words = set(_WORD.findall(token))
+    labels = words & _LABELS or (set() if in_article else words & {"header"})
+    rest = words - labels - _BESIDE - {"header"}
+    if not labels or rest and (not rest <= _HOLDERS or not in_article and labels & _LAYOUT_LABELS):
+        return 0
+    return LOOSE if labels <= _LOOSE_LABELS else SHUT
 
-def _furniture(name: str, attrs: str, in_article: bool) -> bool:
-    if name in _TAGS or name == "header" and not in_article:
-        return True
+
+def _furniture(name: str, attrs: str, in_article: bool) -> int:
+    """Level of furniture that an element is by itself, or 0."""
+    level = 0
+    if name in _TAGS:
+        level = FORM if name == "form" else SHUT
+    elif name == "header" and not in_article:
+        level = LOOSE
     if not attrs or name in ("html", "body", "main") or name == "article" and not in_article:
-        return False
+        return level
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id"):
-            words = _WORD.findall(value)
-            if not _LABELS.isdisjoint(words) or not in_article and "header" in words:
-                return True
-        elif key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        elif key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        if key == "class" or key == "id":
+            level = max([level, *(_label(t, in_article) for t in value.split())])
+        elif key == "role" and value in _ROLES:
+            level = max(level, FORM if value == "form" else SHUT)
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            level = SHUT
+    return level
 
 
 def blocks_of(html: str | None) -> list[tuple[int, str]]:
-    """(part, text) of each block with text, in page order; references decoded, spaces single."""
+    """(part, text) of each block with text, in page order; references decoded, spaces single.
+
+    Forms that hold more words than all text outside furniture stand around the page: their
+    blocks have the part that they would have without the form.
+    """
     html = html or ""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = []  # element, part, in an article
-    part, in_article, text, at = OTHER, False, [], 0
+    out: list[tuple[int, str, int]] = []  # part, text, part without the form
+    stack: list[tuple[str, int, bool, int, int]] = []  # element, part, in an article, level, part without the form
+    page = (OTHER, False, 0, OTHER)
+    part, in_article, level, bare = page
+    text, at = [], 0
 
     def end_block():
         if text:
             plain = " ".join(unescape("".join(text)).split())
             if plain:
-                out.append((part, plain))
+                out.append((part, plain, bare if level == FORM else part))
             text.clear()
 
     for m in _TOKEN.finditer(html):
@@ -83,24 +114,27 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
                 end_block()
                 while stack.pop()[0] != name:
                     pass
-                part, in_article = stack[-1][1:] if stack else (OTHER, False)
+                part, in_article, level, bare = stack[-1][1:] if stack else page
             continue
         if name in _VOID or m["attrs"].endswith("/") and name not in _CONTAINERS:
             continue
         if stack and stack[-1][0] in ("p", "li") and (name == stack[-1][0] or stack[-1][0] == "p" and name not in _INLINE):
             stack.pop()  # these end where the next one starts
-            part, in_article = stack[-1][1:] if stack else (OTHER, False)
-        dropped = part == FURNITURE or _furniture(name, m["attrs"], in_article) or name == "article" and in_article
-        now = part
-        if dropped:
-            now = FURNITURE
-        elif name == "article":
-            now, in_article = ARTICLE, True
-        elif name == "main" and part != ARTICLE:
-            now = MAIN
-        if now != part or name in _CONTAINERS:
-            stack.append((name, now, in_article))
-        part = now
+            part, in_article, level, bare = stack[-1][1:] if stack else page
+        own = _furniture(name, m["attrs"], in_article)
+        if name == "article" and in_article:
+            own = SHUT
+        before = part, level
+        if level < SHUT and not own and name in ("article", "main"):
+            level = 0
+            part = bare = ARTICLE if name == "article" or in_article else MAIN
+            in_article = part == ARTICLE
+        elif own:
+            part, level = FURNITURE, max(level, own)
+        if (part, level) != before or name in _CONTAINERS:
+            stack.append((name, part, in_article, level, bare))
     text.append(html[at:])
     end_block()
-    return out
+    held = sum(len(t.split()) for p, t, b in out if p != b)
+    around = held > sum(len(t.split()) for p, t, _ in out if p != FURNITURE)
+    return [(b if around else p, t) for p, t, b in out]

@@ -57,6 +57,26 @@ def test_parts():
     assert blocks_of("a < b &amp c") == [(OTHER, "a < b & c")]
 
 
+def test_attributes_and_wrappers():
+    parts = lambda page: {k: " | ".join(t for p, t in blocks_of(page) if p == k) for k in (ARTICLE, MAIN, OTHER, FURNITURE)}
+    story = "<article><p>The story</p></article>"
+    # Words in values of other attributes and words of longer names are no labels.
+    for inside in ('<p><a href="/hidden/path">x</a>', '<p title="A hidden gem">x', '<p data-story-id="social-12">x', '<p data-class="ad">x', '<p class="story-with-share">x', "<p id=tag-social>x"):
+        assert parts(f"<article>{inside}</article>")[ARTICLE] == "x", inside
+    for inside in ("<p hidden>x", "<p class='big ad'>x", "<p id=cookie-notice>x", '<div class="ad-wrapper"><p>x</div>', '<div CLASS="site-footer">x</div>', '<p aria-hidden="true">x', "<span class=share>x</span>"):
+        assert parts(f"<article>y{inside}</article>") == {ARTICLE: "y", MAIN: "", OTHER: "", FURNITURE: "x"}, inside
+    for wrapper in ('div class="layout has-sidebar"', 'div id="page-with-menu"', 'div class="sidebar-wrapper"', 'form id="aspnetForm"', 'div class="overlay"', "header"):
+        assert parts(f"<{wrapper}><nav>Home</nav>{story}</{wrapper.split()[0]}>")[ARTICLE] == "The story", wrapper
+        assert parts(f"<{wrapper}><main>The story</main></{wrapper.split()[0]}>")[MAIN] == "The story", wrapper
+    for under in ("aside", "nav", "footer", 'section id="comments"', 'div class="related-posts"', "div hidden", 'form class="comment-form"', "form><aside"):
+        assert parts(f"<{under}>{story}") == {ARTICLE: "", MAIN: "", OTHER: "", FURNITURE: "The story"}, under
+    # What ends with the article, and a form that holds most of a page or little of it.
+    assert parts(f"<form>Find {story} <i class=ad>Buy</i> it</form> free text") == {ARTICLE: "The story", MAIN: "", OTHER: "free text", FURNITURE: "Find | Buy | it"}
+    assert parts("<form><nav>Home</nav><p>all of the page</p><div class=ad>Buy</div></form>rest") == {ARTICLE: "", MAIN: "", OTHER: "all of the page | rest", FURNITURE: "Home | Buy"}
+    assert parts("<article><form><p>all of the story</form></article>")[ARTICLE] == "all of the story"
+    assert parts("<form>Find</form><p>the page itself") == {ARTICLE: "", MAIN: "", OTHER: "the page itself", FURNITURE: "Find"}
+
+
 def brute(rows):
     """(host, blocks of unmarked text) per page -> text without runs seen on another page of the host."""
     windows = {}
