@@ -1,11 +1,12 @@
 """Main text of pages: markup first, then a suffix array of each host.
 
 Markup tells the article and the furniture around it (menus, headers, footers, sidebars,
-notices, adverts, forms, comments). Text whose markup tells nothing is judged by the host:
-the word streams of a host's pages, without articles, are concatenated, and runs of
-RUN words or more that occur on two or more distinct pages are boilerplate; what they
-cover is removed and unique runs stay. Repeats inside an article stay, since articles may
-quote and repeat each other.
+notices, adverts, forms, comments). The main element tells as much on pages without
+articles. All other text, on pages with and without articles, is judged by the host: the
+word streams of a host's pages, without what is told, are concatenated, and runs of RUN
+words or more that occur on two or more distinct pages are boilerplate; what they cover is
+removed and unique runs stay, in page order with what is told. Repeats inside an article
+stay, since articles may quote and repeat each other.
 
 The array of a host is dealt in blocks of pages of bounded size. A block is sorted by
 prefix doubling down to RUN words, so suffixes of equal rank share a run; it sends one
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import by_batch, record, with_row_id, written
-from tallyspark.llm.markup import ARTICLE, FURNITURE, MAIN, OTHER, blocks_of
+from tallyspark.llm.markup import ARTICLE, FURNITURE, MAIN, blocks_of
 
 #: Words of a run; pages of a block of a host's array.
 RUN, BLOCK_PAGES = 8, 128
@@ -39,18 +40,19 @@ HOST = r"(?s)^.*?://([^/?#]*)"
 
 
 def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Main text where markup tells it, else null and the unmarked blocks; furniture and
-    unmarked blocks of all pages for the array."""
-    names = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "open": pa.list_(pa.string()), "rest": pa.list_(pa.string())}
-    out = {k: [] for k in ("text", "open", "rest")}
+    """Text of pages without open blocks, else null and the blocks outside furniture, with
+    those that markup tells; open blocks and furniture of all pages for the array."""
+    names = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "blocks": pa.list_(pa.string()), "told": pa.list_(pa.bool_()), "rest": pa.list_(pa.string())}
+    out = {k: [] for k in ("text", "blocks", "told", "rest")}
     for html in batch.column("html").to_pylist():
         blocks = blocks_of(html)
-        parts = {p for p, _ in blocks}
-        main = next((p for p in (ARTICLE, MAIN) if p in parts), None)
-        told = main is not None or OTHER not in parts
-        out["text"].append(" ".join(t for p, t in blocks if p == main) if told else None)
-        out["open"].append([] if told else [t for p, t in blocks if p == OTHER])
-        out["rest"].append([t for p, t in blocks if p in (FURNITURE, OTHER)] if told else [t for p, t in blocks if p == FURNITURE])
+        stay = {ARTICLE} if any(p == ARTICLE for p, _ in blocks) else {MAIN}
+        kept = [(p in stay, t) for p, t in blocks if p != FURNITURE]
+        closed = all(told for told, _ in kept)
+        out["text"].append(" ".join(t for _, t in kept) if closed else None)
+        out["blocks"].append([] if closed else [t for _, t in kept])
+        out["told"].append([] if closed else [told for told, _ in kept])
+        out["rest"].append([t for p, t in blocks if p not in stay])
     return record(names, page_id=batch.column("page_id"), url=batch.column("url"), **out)
 
 
@@ -116,36 +118,36 @@ def repeated_runs(streams: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages."""
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = by_batch(given, _parse, "page_id long, url string, text string, open array<string>, rest array<string>", rows=200)
+    parsed = by_batch(given, _parse, "page_id long, url string, text string, blocks array<string>, told array<boolean>, rest array<string>", rows=200)
     parsed = written(with_row_id(parsed.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))), "parsed", "zstd")
-    runs = repeated_runs(parsed.select("_row", "host", F.concat("open", "rest").alias("blocks")))
+    runs = repeated_runs(parsed.select("_row", "host", F.col("rest").alias("blocks")))
     runs = written(runs, "runs")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = {"_row": pa.int64(), "host": pa.string(), "block": pa.int32(), "at": pa.int32(), "run": pa.binary()}
         out = {k: [] for k in names}
         for r in batch.to_pylist():
-            for b, text in enumerate(r["open"]):
-                hashes = run_hashes(text)
+            for b, (text, told) in enumerate(zip(r["blocks"], r["told"], strict=True)):
+                hashes = [] if told else run_hashes(text)
                 for k, v in (("_row", [r["_row"]] * len(hashes)), ("host", [r["host"]] * len(hashes)), ("block", [b] * len(hashes)), ("at", range(len(hashes))), ("run", hashes)):
                     out[k].extend(v)
         return record(names, **out)
 
     untold = parsed.where(F.col("text").isNull())
-    found = by_batch(untold.select("_row", "host", "open"), windows, "_row long, host string, block int, at int, run binary")
+    found = by_batch(untold.select("_row", "host", "blocks", "told"), windows, "_row long, host string, block int, at int, run binary")
     covered = found.join(runs, ["host", "run"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("block", "at")).alias("covered"))
 
     def unique(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string()}
         texts = []
         for r in batch.to_pylist():
-            words = [text.split() for text in r["open"]]
+            words = [text.split() for text in r["blocks"]]
             for c in r["covered"] or ():
                 w = words[c["block"]]
                 w[c["at"] : c["at"] + RUN] = [None] * len(w[c["at"] : c["at"] + RUN])
             texts.append(" ".join(x for w in words for x in w if x is not None))
         return record(names, page_id=batch.column("page_id"), url=batch.column("url"), text=texts)
 
-    judged = by_batch(untold.join(covered, "_row", "left").select("page_id", "url", "open", "covered"), unique, "page_id long, url string, text string")
+    judged = by_batch(untold.join(covered, "_row", "left").select("page_id", "url", "blocks", "covered"), unique, "page_id long, url string, text string")
     told = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
     return told.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))

@@ -118,3 +118,22 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in H.main_text(pages).collect()), key=repr)
     assert got == sorted([(1, "", 0), (2, "", 0), (None, "alone", 5), (3, "x", 1), (4, "", 0), (4, "", 0)], key=repr)
     assert H.main_text(pages.limit(0)).collect() == []
+
+
+def test_open_text_beside_articles(spark):
+    teaser, menu = "<article>A teaser card</article>", "<p>all the news of our town and of the sea every day</p>"
+    rows = [
+        (1, "http://a/1", f"<main><h1>Body of one</h1><p>that is longer than the card</p></main>{teaser}{menu}"),
+        (2, "http://a/2", f"{menu}{teaser}<div>only plain text of the second page</div>"),
+        (3, "http://a/3", f"<main>{menu}<article>the third page is an article with many words in it</article>By me</main>"),
+        (4, "http://a/4", "<div>left open</div><main>of main alone</main>"),
+        (5, "http://a/5", "<main>of main alone</main>"),
+    ]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {
+        1: "Body of one that is longer than the card A teaser card",
+        2: "A teaser card only plain text of the second page",
+        3: "the third page is an article with many words in it By me",
+        4: "left open of main alone",
+        5: "of main alone",
+    }
