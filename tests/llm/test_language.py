@@ -51,3 +51,37 @@ def test_nothing_to_learn_from(spark):
 def test_a_tie_is_rejected():
     c = L.Classifier({"a": b"same words here", "b": b"same words here"})
     assert c.predict("same words") == ("a", 0.5, True)
+
+
+def test_many_languages(spark, monkeypatch):
+    """More labels than one group of compressors holds, and the same result in other groups."""
+    word = lambda k, i: "".join(chr(97 + (k * 7 + i * 5 + j * (k % 11 + 1)) % 26) for j in range(6)) + chr(97 + k % 26)
+    text = lambda k, at: " ".join(word(k, (at * 3 + i) % 9) for i in range(40))
+    rows = [(n, text(n % 70, n // 70), f"l{n % 70:02d}") for n in range(560)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.identify(docs).collect()}
+    assert len({lang for _, _, lang in rows}) > 64 and len(got) == len(rows)
+    assert sum(got[n].lang_pred == lang for n, _, lang in rows) / len(rows) >= 0.95
+    assert 0 < L.keep_identified(docs).count() <= len(rows)
+    dictionaries = L.learn(docs.where(~L.held_out(docs.doc_id)))
+    texts = [t for _, t, _ in rows[:80]] + ["ab", None, "1"]
+    one = L.Classifier(dictionaries).predict_all(texts)
+    monkeypatch.setattr(L, "GROUP", 7)
+    assert L.Classifier(dictionaries).predict_all(texts) == one == [L.Classifier(dictionaries).predict(t) for t in texts]
+
+
+def test_every_sampled_row_gives_a_piece():
+    name = lambda n: "".join(chr(97 + int(c)) for c in f"{n:03d}")
+    texts = [f"{name(n)} " + "word " * (5 if n % 4 == 0 else 2000) for n in range(L.SAMPLE_ROWS)] + ["12", ""]
+    got = L.share_out(texts).decode()
+    assert all(name(n) + " word" in got for n in range(L.SAMPLE_ROWS))
+    assert L.DICT_BYTES - L.SAMPLE_ROWS < len(got) <= L.DICT_BYTES
+    assert L.share_out(["one two", "", "three"]) == b"one two three" and L.share_out(["12"]) == b""
+
+
+def test_rows_beyond_the_first_hundred_count(spark):
+    """All sampled rows of a language enter its dictionary, however long they are."""
+    name = lambda n: "".join(chr(97 + int(c)) for c in f"{n:03d}")
+    docs = spark.createDataFrame([(n, f"x{name(n)}x " + "word " * 400, "en") for n in range(L.SAMPLE_ROWS)], "doc_id long, text string, lang string")
+    got = L.learn(docs)["en"].decode()
+    assert all(f"x{name(n)}x" in got for n in range(L.SAMPLE_ROWS))
