@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,8 +50,8 @@ TEXT_BYTES, READ_IDS, READ_DOCS = 4 << 20, 4 << 20, 1 << 16
 #: doc_id of a document without one, in the files.
 NO_ID = -(1 << 63)
 
-#: A run of letters after a space or none: one word of the tokenizer's pattern.
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
+#: A run of Latin letters (up to U+024F) after a space or none: one word of the tokenizer's pattern.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+\Z")
 #: Classes of bytes: ASCII white space (with the controls that some libraries count), what may be cut before, letters, plain marks.
 _BLANK, _CUT, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(4))
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
@@ -97,6 +98,7 @@ class TokenTable(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = self.tokenizer.pre_tokenizer
         self.by_part = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
@@ -104,12 +106,11 @@ class TokenTable(dict):
         self.older: dict[bytes, bytes] = {}
 
     def _encoded(self, part: bytes) -> bytes:
-        text = part.decode("utf-8", "replace")
-        if self.by_part and _WORD.match(text):  # one word of the tokenizer's: straight to its merges
+        if self.by_part and _WORD.match(part):  # one word of the tokenizer's: straight to its merges
             ids = [t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))]
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+            ids = self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
     def __missing__(self, part: bytes) -> bytes:
         out = self.older.get(part)
