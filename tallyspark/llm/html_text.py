@@ -1,19 +1,22 @@
-"""Main text of pages: markup first, then a suffix array of each host.
-
-Markup tells the article and the furniture around it (menus, headers, footers, sidebars,
-notices, adverts, forms, comments). The main element tells as much on pages without
-articles. All other text, on pages with and without articles, is judged by the host: the
-word streams of a host's pages, without what is told, are concatenated, and runs of RUN
-words or more that occur on two or more distinct pages are boilerplate; what they cover is
-removed and unique runs stay, in page order with what is told. Repeats inside an article
-stay, since articles may quote and repeat each other.
-
-The array of a host is dealt in blocks of pages of bounded size. A block is sorted by
-prefix doubling down to RUN words, so suffixes of equal rank share a run; it sends one
-row for each distinct run, with its least and greatest page, and those are combined over
-the blocks of the host. A substring of RUN words or more repeats on distinct pages exactly
-if each of its runs does, so no repeat is lost by the dealing, and a host with a third of
-all pages is many blocks. Runs are compared by 128-bit hashes of their words.
+"""Main text of pages: a suffix array of each host, with markup as the check of what it says.
+
+The word streams of a host's pages, outside articles, are concatenated. Substrings of RUN
+words or more that occur on two or more distinct pages are boilerplate; the words that they
+cover are removed and unique runs stay, in page order. Markup corrects the array where the
+two differ: an article stays whole (articles may quote and repeat each other), and so does
+the main element of a page without articles; of blocks that markup tells as furniture
+(menus, headers, footers, sidebars, notices, adverts, forms, comments), the words that
+occur on one page only go as well. ``n_repeated`` and ``n_marked`` count the words of a page
+that the array and that markup alone removed.
+
+The array is dealt in blocks of pages. A block is sorted by prefix doubling down to RUN
+words, so suffixes of equal rank share a run; it sends one row for each distinct run of a
+host, with its least and greatest page, and those are combined over all blocks. A word is
+covered by a repeated substring of RUN words or more exactly if it is covered by a repeated
+run of RUN words, since each run of such a substring repeats on the same two pages; so the
+cover is that of all maximal repeats, and it does not depend on how pages are dealt. Runs
+are compared by 128-bit hashes of host and words; no text moves for them, and a host with a
+third of all pages is spread like any other.
 
 Defined results: null html gives an empty text; pages without a host (null url) form a host
 of their own; repeated rows are pages of their own, so their unmarked text counts as
@@ -23,7 +26,6 @@ repeated; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,28 +34,25 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import by_batch, record, with_row_id, written
 from tallyspark.llm.markup import ARTICLE, FURNITURE, MAIN, blocks_of
 
-#: Words of a run; pages of a block of a host's array.
-RUN, BLOCK_PAGES = 8, 128
+#: Words of a run; pages of a block of the array.
+RUN, BLOCK_PAGES = 8, 2048
 _END = ""  # fills up blocks of fewer words
 
 HOST = r"(?s)^.*?://([^/?#]*)"
+#: What becomes of a block: it stays whole, its unique runs stay, all of it goes.
+STAYS, OPEN, GOES = 0, 1, 2
 
 
 def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Text of pages without open blocks, else null and the blocks outside furniture, with
-    those that markup tells; open blocks and furniture of all pages for the array."""
-    names = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "blocks": pa.list_(pa.string()), "told": pa.list_(pa.bool_()), "rest": pa.list_(pa.string())}
-    out = {k: [] for k in ("text", "blocks", "told", "rest")}
+    """The blocks of pages and what markup says of them."""
+    names = {"page_id": pa.int64(), "url": pa.string(), "blocks": pa.list_(pa.string()), "told": pa.list_(pa.int8())}
+    texts, told = [], []
     for html in batch.column("html").to_pylist():
         blocks = blocks_of(html)
-        stay = {ARTICLE} if any(p == ARTICLE for p, _ in blocks) else {MAIN}
-        kept = [(p in stay, t) for p, t in blocks if p != FURNITURE]
-        closed = all(told for told, _ in kept)
-        out["text"].append(" ".join(t for _, t in kept) if closed else None)
-        out["blocks"].append([] if closed else [t for _, t in kept])
-        out["told"].append([] if closed else [told for told, _ in kept])
-        out["rest"].append([t for p, t in blocks if p not in stay])
-    return record(names, page_id=batch.column("page_id"), url=batch.column("url"), **out)
+        whole = ARTICLE if any(p == ARTICLE for p, _ in blocks) else MAIN
+        texts.append([t for _, t in blocks])
+        told.append([STAYS if p == whole else GOES if p == FURNITURE else OPEN for p, _ in blocks])
+    return record(names, page_id=batch.column("page_id"), url=batch.column("url"), blocks=texts, told=told)
 
 
 def _padded(block: str) -> list[str]:
@@ -61,10 +60,13 @@ def _padded(block: str) -> list[str]:
     return words + [_END] * (RUN - len(words))
 
 
-def run_hashes(block: str) -> list[bytes]:
-    """A hash for each run of the block, by its first word."""
-    words = _padded(block)
-    return [xxhash.xxh3_128_digest(" ".join(words[i : i + RUN]).encode("utf-8", "surrogatepass")) for i in range(len(words) - RUN + 1)]
+def run_hash(host: str, words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest("\n".join([host, *words]).encode("utf-8", "surrogatepass"))
+
+
+def _judged(row: dict):
+    """(number, text) of the blocks that the array judges."""
+    return ((b, text) for b, (text, told) in enumerate(zip(row["blocks"], row["told"], strict=True)) if told != STAYS)
 
 
 def suffix_ranks(stream: np.ndarray, depth: int = RUN) -> np.ndarray:
@@ -82,72 +84,83 @@ def suffix_ranks(stream: np.ndarray, depth: int = RUN) -> np.ndarray:
     return rank
 
 
-def _runs_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """host, run, least, most: distinct runs of a block of pages with their least and greatest page."""
-    words, page, start, ids = [], [], [], {}
-    for row, blocks in zip(pdf["_row"], pdf["blocks"], strict=True):
-        for block in blocks:
+_RUNS = {"run": pa.binary(), "least": pa.int64(), "most": pa.int64()}
+
+
+def _runs_of_block(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """run, least, most: distinct runs of the hosts of a block of pages, with their least and greatest page."""
+    words, page, start, host, ids, hosts = [], [], [], [], {}, {}
+    for row in batch.to_pylist():
+        of = hosts.setdefault(row["host"], len(hosts))
+        for _, block in _judged(row):
             w = _padded(block)
             words += [ids.setdefault(x, len(ids) + 1) for x in w] + [0]
             start += [True] * (len(w) - RUN + 1) + [False] * RUN
-            page += [row] * (len(w) + 1)
+            page += [row["_row"]] * (len(w) + 1)
+            host += [of] * (len(w) + 1)
     at = np.flatnonzero(start)
-    stream = np.array(words, np.int64)
-    rank, page = suffix_ranks(stream)[at], np.array(page, np.int64)[at]
-    order = np.lexsort((page, rank))
-    first = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-    last = np.r_[first[1:], len(order)] - 1
-    names = [_END, *ids]
-    hashes = [xxhash.xxh3_128_digest(" ".join(names[k] for k in words[i : i + RUN]).encode("utf-8", "surrogatepass")) for i in at[order[first]].tolist()]
-    return pd.DataFrame({"host": pdf["host"].iloc[0], "run": hashes, "least": page[order[first]], "most": page[order[last]]})
-
-
-def repeated_runs(streams: DataFrame) -> DataFrame:
-    """host, run: runs that occur on two or more distinct pages of a host.
-
-    streams: _row, host, blocks (array of string).
-    """
-    streams = streams.where(F.size("blocks") > 0)
-    # A host's blocks of pages, by its count; both sides are dealt anew, so a hot host is split.
-    size = written(streams.groupBy("host").agg(F.ceil(F.count("*") / BLOCK_PAGES).alias("n")), "hosts")
-    dealt = streams.join(size, "host").withColumn("part", F.pmod(F.xxhash64("_row"), F.col("n")))
-    runs = dealt.groupBy("host", "part").applyInPandas(_runs_of_block, "host string, run binary, least long, most long")
-    return runs.groupBy("host", "run").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("host", "run")
+    if not len(at):
+        return record(_RUNS, run=[], least=[], most=[])
+    rank = suffix_ranks(np.array(words, np.int64))[at]
+    page, host = np.array(page, np.int64)[at], np.array(host, np.int64)[at]
+    order = np.lexsort((page, host, rank))
+    rank, page, host, at = rank[order], page[order], host[order], at[order]
+    first = np.flatnonzero(np.r_[True, (rank[1:] != rank[:-1]) | (host[1:] != host[:-1])])
+    last = np.r_[first[1:], len(at)] - 1
+    names, of = [_END, *ids], list(hosts)
+    runs = [run_hash(of[h], [names[k] for k in words[i : i + RUN]]) for i, h in zip(at[first].tolist(), host[first].tolist(), strict=True)]
+    return record(_RUNS, run=runs, least=page[first], most=page[last])
+
+
+def repeated_runs(parsed: DataFrame) -> DataFrame:
+    """run: hashes of the runs that occur on two or more distinct pages of a host."""
+    runs = by_batch(parsed.select("_row", "host", "blocks", "told"), _runs_of_block, "run binary, least long, most long", rows=BLOCK_PAGES)
+    return runs.groupBy("run").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("run")
+
+
+def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """_row, block, at, run: each place of each run."""
+    names = {"_row": pa.int64(), "block": pa.int32(), "at": pa.int32(), "run": pa.binary()}
+    out = {k: [] for k in names}
+    for row in batch.to_pylist():
+        for b, text in _judged(row):
+            w = _padded(text)
+            n = len(w) - RUN + 1
+            out["_row"] += [row["_row"]] * n
+            out["block"] += [b] * n
+            out["at"] += range(n)
+            out["run"] += [run_hash(row["host"], w[i : i + RUN]) for i in range(n)]
+    return record(names, **out)
+
+
+def _unique(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pages without what the array covers and what else is furniture."""
+    names = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "n_repeated": pa.int64(), "n_marked": pa.int64()}
+    texts, repeated, marked = [], [], []
+    for r in batch.to_pylist():
+        words = dict.fromkeys(range(len(r["blocks"]))) | {b: text.split() for b, text in _judged(r)}
+        for c in r["covered"] or ():
+            w = words[c["block"]]
+            w[c["at"] : c["at"] + RUN] = [None] * len(w[c["at"] : c["at"] + RUN])
+        left = {b: [x for x in w if x is not None] for b, w in words.items() if w is not None}
+        repeated.append(sum(len(words[b]) - len(w) for b, w in left.items()))
+        gone = {b for b, told in enumerate(r["told"]) if told == GOES}
+        marked.append(sum(len(left[b]) for b in gone))
+        stay = [text if words[b] is None else " ".join(left[b]) for b, text in enumerate(r["blocks"]) if b not in gone]
+        texts.append(" ".join(t for t in stay if t))
+    return record(names, page_id=batch.column("page_id"), url=batch.column("url"), text=texts, n_repeated=repeated, n_marked=marked)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row per row of pages."""
+    """page_id, url, text, n_chars, n_repeated, n_marked: one row per row of pages."""
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = by_batch(given, _parse, "page_id long, url string, text string, blocks array<string>, told array<boolean>, rest array<string>", rows=200)
-    parsed = written(with_row_id(parsed.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))), "parsed", "zstd")
-    runs = repeated_runs(parsed.select("_row", "host", F.col("rest").alias("blocks")))
-    runs = written(runs, "runs")
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = {"_row": pa.int64(), "host": pa.string(), "block": pa.int32(), "at": pa.int32(), "run": pa.binary()}
-        out = {k: [] for k in names}
-        for r in batch.to_pylist():
-            for b, (text, told) in enumerate(zip(r["blocks"], r["told"], strict=True)):
-                hashes = [] if told else run_hashes(text)
-                for k, v in (("_row", [r["_row"]] * len(hashes)), ("host", [r["host"]] * len(hashes)), ("block", [b] * len(hashes)), ("at", range(len(hashes))), ("run", hashes)):
-                    out[k].extend(v)
-        return record(names, **out)
-
-    untold = parsed.where(F.col("text").isNull())
-    found = by_batch(untold.select("_row", "host", "blocks", "told"), windows, "_row long, host string, block int, at int, run binary")
-    covered = found.join(runs, ["host", "run"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("block", "at")).alias("covered"))
-
-    def unique(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string()}
-        texts = []
-        for r in batch.to_pylist():
-            words = [text.split() for text in r["blocks"]]
-            for c in r["covered"] or ():
-                w = words[c["block"]]
-                w[c["at"] : c["at"] + RUN] = [None] * len(w[c["at"] : c["at"] + RUN])
-            texts.append(" ".join(x for w in words for x in w if x is not None))
-        return record(names, page_id=batch.column("page_id"), url=batch.column("url"), text=texts)
-
-    judged = by_batch(untold.join(covered, "_row", "left").select("page_id", "url", "blocks", "covered"), unique, "page_id long, url string, text string")
-    told = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    return told.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = by_batch(given, _parse, "page_id long, url string, blocks array<string>, told array<byte>", rows=200)
+    host = F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
+    parsed = written(with_row_id(parsed.withColumn("host", host)), "parsed", "zstd")
+    runs = written(repeated_runs(parsed), "runs")
+    places = by_batch(parsed.select("_row", "host", "blocks", "told"), _places, "_row long, block int, at int, run binary")
+    # Merge joins: runs grow with the pages, and adaptive execution splits a run that very many pages hold.
+    covered = places.join(runs.hint("merge"), "run", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("block", "at")).alias("covered"))
+    joined = parsed.join(covered.hint("merge"), "_row", "left").select("page_id", "url", "blocks", "told", "covered")
+    judged = by_batch(joined, _unique, "page_id long, url string, text string, n_repeated long, n_marked long")
+    return judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated", "n_marked")

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 #: What a block is: inside the article, inside the main element, of no known part, or furniture.
 ARTICLE, MAIN, OTHER, FURNITURE = 0, 1, 2, 3
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|object|canvas|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z!?][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Elements whose content is no text.
+_RAW = frozenset("script style noscript template iframe svg textarea title object canvas select".split())
+#: A tag whose quotes are closed: they count only after an equals sign. No part of it is tried twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+)*+)>""")
+_NAME = re.compile(r"[^\s/]*+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+_ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
 _WORD = re.compile(r"[a-z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,6 +77,49 @@ def _furniture(name: str, attrs: str, in_article: bool) -> int:
     return level
 
 
+def tags_of(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closes, name, attributes) of each tag, in one pass; comments, declarations
+    and elements whose content is no text come with an empty name.
+
+    A tag that never ends by its quotes makes quotes count no more from there on, and where no
+    ``>`` is left, all is text: so no stretch of a page is read more than a few times.
+    """
+    at, quotes = html.find("<"), True
+    while at >= 0:
+        end = at + 1
+        ahead = html[end : end + 3]
+        if ahead == "!--":
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif ahead[:1] in ("!", "?"):
+            end = html.find(">", at) + 1
+            if not end:
+                return
+            yield at, end, False, "", ""
+        elif ahead[:1].isascii() and ahead[:1].isalpha() or ahead[:1] == "/" and ahead[1:2].isascii() and ahead[1:2].isalpha():
+            m = _TAG.match(html, at) if quotes else None
+            if m:
+                slash, name, attrs = m.groups()
+                end = m.end()
+            else:
+                quotes, end = False, html.find(">", at) + 1
+                if not end:
+                    return
+                rest = html[at + 1 : end - 1]
+                slash = rest[:1] if rest[0] == "/" else ""
+                name = _NAME.match(rest, len(slash)).group()
+                attrs = rest[len(slash) + len(name) :]
+            name = name.lower()
+            if name in _RAW and not slash:
+                close = _RAW_END[name].search(html, end)
+                end = html.find(">", close.end()) + 1 if close else 0
+                end = end or len(html)
+                name = ""
+            yield at, end, bool(slash), name, attrs
+        at = html.find("<", end)
+
+
 def blocks_of(html: str | None) -> list[tuple[int, str]]:
     """(part, text) of each block with text, in page order; references decoded, spaces single.
 
@@ -88,6 +132,7 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
     page = (OTHER, False, 0, OTHER)
     part, in_article, level, bare = page
     text, at = [], 0
+    held: Counter[str] = Counter()  # how often an element is on the stack
 
     def end_block():
         if text:
@@ -96,32 +141,33 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
                 out.append((part, plain, bare if level == FORM else part))
             text.clear()
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        name = m["name"]
+    for start, end, closes, name, attrs in tags_of(html):
+        if start > at:
+            text.append(html[at:start])
+        at = end
         if not name:
-            continue  # a comment, a declaration or an element whose content is no text
-        name = name.lower()
-        if name in _INLINE and not (m["attrs"] and not m["close"] and _furniture(name, m["attrs"], in_article)):
-            if not (m["close"] and any(s[0] == name for s in stack)):
+            continue
+        if name in _INLINE and not (attrs and not closes and _furniture(name, attrs, in_article)):
+            if not (closes and held[name]):
                 continue
         else:
             end_block()
-        if m["close"]:
-            if any(s[0] == name for s in stack):
+        if closes:
+            if held[name]:
                 end_block()
-                while stack.pop()[0] != name:
-                    pass
+                while True:
+                    last = stack.pop()[0]
+                    held[last] -= 1
+                    if last == name:
+                        break
                 part, in_article, level, bare = stack[-1][1:] if stack else page
             continue
-        if name in _VOID or m["attrs"].endswith("/") and name not in _CONTAINERS:
+        if name in _VOID or attrs.endswith("/") and name not in _CONTAINERS:
             continue
         if stack and stack[-1][0] in ("p", "li") and (name == stack[-1][0] or stack[-1][0] == "p" and name not in _INLINE):
-            stack.pop()  # these end where the next one starts
+            held[stack.pop()[0]] -= 1  # these end where the next one starts
             part, in_article, level, bare = stack[-1][1:] if stack else page
-        own = _furniture(name, m["attrs"], in_article)
+        own = _furniture(name, attrs, in_article)
         if name == "article" and in_article:
             own = SHUT
         before = part, level
@@ -133,8 +179,9 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
             part, level = FURNITURE, max(level, own)
         if (part, level) != before or name in _CONTAINERS:
             stack.append((name, part, in_article, level, bare))
+            held[name] += 1
     text.append(html[at:])
     end_block()
-    held = sum(len(t.split()) for p, t, b in out if p != b)
-    around = held > sum(len(t.split()) for p, t, _ in out if p != FURNITURE)
+    in_forms = sum(len(t.split()) for p, t, b in out if p != b)
+    around = in_forms > sum(len(t.split()) for p, t, _ in out if p != FURNITURE)
     return [(b if around else p, t) for p, t, b in out]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 from tallyspark.llm import html_text as H
@@ -137,3 +138,26 @@ def test_open_text_beside_articles(spark):
         4: "left open of main alone",
         5: "of main alone",
     }
+
+
+def test_hostile_pages():
+    """Pages that make a backtracking reader slow are read in time that grows with their length."""
+    pages = [
+        "<a" * 100_000, '<p "' * 100_000, '<p ="' * 100_001 + ">", "<div>" * 200_000, "<div><b>" * 60_000 + "</i></p>" * 60_000, "</x>" * 200_000, "<!--" * 200_000, "<script>" * 100_000,
+        "<a href=" * 100_000, '<p a="x" ' * 60_000, "<p a='" * 99_999 + ">", "<" * 300_000, "<p " + "a " * 300_000 + ">", '<p class="' + "ad-x " * 100_000 + '">x',
+    ]
+    for page in pages:
+        began = time.process_time()
+        blocks_of(page)
+        assert time.process_time() - began < 2, page[:20]
+    assert blocks_of('<p title="a > b">one</p><p title="open>two</p>three') == [(OTHER, "one"), (OTHER, "two"), (OTHER, "three")]
+    assert blocks_of("x<svg><p>no</p></svg>y<textarea>no</textarea><SCRIPT>a</scripty></script >z") == [(OTHER, "xyz")]
+
+
+def test_array_and_markup_share_the_work(spark):
+    """Furniture on several pages of a host goes by the array, what else is furniture by markup."""
+    menu, story = "<nav><a>Home</a> <a>News</a></nav>", "<article>a story that is told on both pages of the host in these words</article>"
+    rows = [(1, "http://a/1", f"{menu}{story}<aside>only here</aside>"), (2, "http://a/2", f"{menu}{story}open once <footer>seen on b too</footer>"), (3, "http://b/1", "<footer>seen on b too</footer>")]
+    got = {r.page_id: (r.text, r.n_repeated, r.n_marked) for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "a story that is told on both pages of the host in these words"
+    assert got == {1: (text, 2, 2), 2: (f"{text} open once", 2, 4), 3: ("", 0, 4)}
