@@ -115,9 +115,9 @@ def test_runs_against_brute_force(spark, monkeypatch):
 
 
 def test_odd_rows(spark):
-    pages = spark.createDataFrame([(1, None, None), (2, "x", ""), (None, None, "<p>alone</p>"), (3, "http://a/", "<article></article><p>x</p>"), (4, "http://a/", "<p>twice</p>"), (4, "http://a/", "<p>twice</p>")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, None, None), (2, "x", ""), (None, None, "<p>alone</p>"), (3, "http://a/", "<article></article><p>x</p>"), (4, "http://a/", "<p>twice</p>"), (4, "http://a/", "<p>twice</p>"), (5, "http://b/", "<p>two</p>"), (6, "http://b/", "<p>two</p>")], "page_id long, url string, html string")
     got = sorted(((r.page_id, r.text, r.n_chars) for r in H.main_text(pages).collect()), key=repr)
-    assert got == sorted([(1, "", 0), (2, "", 0), (None, "alone", 5), (3, "x", 1), (4, "", 0), (4, "", 0)], key=repr)
+    assert got == sorted([(1, "", 0), (2, "", 0), (None, "alone", 5), (3, "x", 1), (4, "twice", 5), (4, "twice", 5), (5, "", 0), (6, "", 0)], key=repr)
     assert H.main_text(pages.limit(0)).collect() == []
 
 
