@@ -13,7 +13,8 @@ stretches of a document made of possible seeds travel further, and they meet the
 joins on seeds. Of an item, the most frequent seeds that together cover less than COVERAGE
 of its words make no candidates: a document that shares no other seed cannot reach the
 threshold. So a phrase that all items share does not pair everything with everything, and
-nothing is lost. Words are compared themselves; hashes only propose.
+nothing is lost. Words are compared themselves; hashes only propose. Items of equal words
+are tiled once and get their ids back at the end.
 
 Defined results: null texts count as empty; items of fewer than MIN_MATCH words are not
 looked for; rows that repeat an id count as rows of their own (a pair is then reported
@@ -28,6 +29,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,68 +75,97 @@ def seed_hashes(words: list[str], width: int = MIN_MATCH) -> np.ndarray:
 def tiles(a: list, b: list, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in a, start in b, length), longest first.
 
-    Of equally long matches, the first in a, then the first in b, is marked first.
+    Of equally long matches, the first in a, then the first in b, is marked first. None in a
+    or b matches nothing.
     """
-    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    ids: dict = {}
+    x, y = (np.array([0 if w is None else ids.setdefault(w, len(ids) + 1) for w in words], np.int64) for words in (a, b))
+    marked_x, marked_y, out = bytearray(len(a)), bytearray(len(b)), []
     size = least
     while size * 2 <= min(len(a), len(b)):
         size *= 2
     while True:
-        heap = [(-n, i, j) for i, j, n in _matches(a, b, free_a, free_b, size)]
-        heapq.heapify(heap)
-        while heap:
-            n, i, j = heapq.heappop(heap)
+        found, at = _matches(x, y, size), 0
+        rest: list[tuple[int, int, int]] = []  # a heap of what is left of matches between marks
+        while at < len(found) or rest:
+            if rest and (at == len(found) or rest[0] < found[at]):
+                n, i, j = heapq.heappop(rest)
+            else:
+                n, i, j = found[at]
+                at += 1
             n = -n
-            free = [free_a[i + k] and free_b[j + k] for k in range(n)]
-            if all(free):
+            if marked_x.find(1, i, i + n) < 0 and marked_y.find(1, j, j + n) < 0:
                 out.append((i, j, n))
-                free_a[i : i + n] = [False] * n
-                free_b[j : j + n] = [False] * n
+                marked_x[i : i + n] = marked_y[j : j + n] = b"\1" * n
+                x[i : i + n] = y[j : j + n] = 0
+                if marked_y.find(0) < 0:
+                    return out
                 continue
-            at = 0
-            while at < n:  # what is left of it between the marks
-                end = at
-                while end < n and free[end]:
-                    end += 1
-                if end - at >= size:
-                    heapq.heappush(heap, (at - end, i + at, j + at))
-                at = max(end, at) + 1
+            busy = np.frombuffer(marked_x[i : i + n], np.uint8) | np.frombuffer(marked_y[j : j + n], np.uint8)
+            edges = np.flatnonzero(np.diff(np.r_[1, busy, 1])).tolist()  # where free stretches begin and end
+            for start, end in zip(edges[::2], edges[1::2], strict=True):
+                if end - start >= size:
+                    heapq.heappush(rest, (start - end, i + start, j + start))
         if size <= least:
             return out
         size = max(least, size // 2)
 
 
-def _matches(a: list, b: list, free_a: list, free_b: list, size: int) -> list[tuple[int, int, int]]:
-    """Maximal unmarked matches of size or more, by running Karp-Rabin hashes of the windows."""
-    mod, base = (1 << 61) - 1, 1_000_003
-
-    def windows(x, free):
-        top, h, run = pow(base, size, mod), 0, 0
-        for i, w in enumerate(x):
-            if not free[i]:
-                h = run = 0
-                continue
-            h = (h * base + hash(w)) % mod
-            run += 1
-            if run > size:
-                h = (h - hash(x[i - size]) * top) % mod
-            if run >= size:
-                yield i - size + 1, h
-
-    at: dict[int, list[int]] = {}
-    for i, h in windows(a, free_a):
-        at.setdefault(h, []).append(i)
-    out = []
-    for j, h in windows(b, free_b):
-        for i in at.get(h, ()):
-            if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
-                continue  # the match begins earlier
-            n = 0
-            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            if n >= size:
-                out.append((i, j, n))
-    return out
+def _windows(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of so many words (ids above 0) and their Karp-Rabin hashes."""
+    n = len(x) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = x.astype(np.uint64) * _STEP
+    h ^= h >> np.uint64(32)
+    out, done, width, power = np.zeros(n, np.uint64), 0, 1, int(_BASE)
+    while True:  # windows of doubling width, put together to one of `size`
+        if size & width:
+            out = out * np.uint64(power) + h[done : done + n]
+            done += width
+        if done == size:
+            break
+        h = h[:-width] * np.uint64(power) + h[width:]
+        width, power = 2 * width, power * power & (1 << 64) - 1
+    gaps = np.cumsum(np.r_[0, x == 0])
+    at = np.flatnonzero(gaps[size:] == gaps[:-size])
+    return at, out[at]
+
+
+def _matches(x: np.ndarray, y: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(-length, i, j), in order, of the maximal matches of size or more words; 0 matches nothing.
+
+    Equal windows are paired only where the words before them differ or are marked, so words
+    and phrases that repeat give one pair for each maximal match, not for each pair of places.
+    """
+    (i, hi), (j, hj) = _windows(x, size), _windows(y, size)
+    _, code = np.unique(np.r_[hi, hj], return_inverse=True)
+    ci, cj = code[: len(i)], code[len(i) :]
+    i, ci = i[np.isin(ci, cj)], ci[np.isin(ci, cj)]
+    j, cj = j[np.isin(cj, ci)], cj[np.isin(cj, ci)]
+    if not len(i):
+        return []
+    words = int(max(x.max(), y.max())) + 1
+    before = np.r_[0, y][j]
+    key = ci * words + np.r_[0, x][i]
+    order = np.lexsort((i, key))
+    i, key = i[order], key[order]
+    low, high = np.searchsorted(key, cj * words), np.searchsorted(key, (cj + 1) * words)
+    same, other = (np.where(before > 0, np.searchsorted(key, cj * words + before, side), high) for side in ("left", "right"))
+    start, n, j = np.r_[low, other], np.r_[same - low, high - other], np.r_[j, j]
+    found, x, y = [], np.r_[x, 0], np.r_[y, 0]
+    for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) >> 20)) + 1):
+        k = np.repeat(start[part] - np.cumsum(n[part]) + n[part], n[part]) + np.arange(n[part].sum())
+        a, b = i[k], np.repeat(j[part], n[part])
+        length, on = np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(on):  # words themselves are compared
+            p, q = x[a[on] + length[on]], y[b[on] + length[on]]
+            on = on[(p == q) & (p > 0)]
+            length[on] += 1
+        long = length >= size
+        found.append(np.stack([-length[long], a[long], b[long]]))
+    found = np.concatenate(found, axis=1)
+    return [tuple(r) for r in found[:, np.lexsort(found[::-1])].T.tolist()]
 
 
 def common_seeds(n_words: int, hashes: list[int], items: list[int], coverage: float, width: int = MIN_MATCH) -> list[int]:
@@ -155,16 +186,22 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
-def _items(benchmark: DataFrame, coverage: float) -> DataFrame:
-    """_item, item_id, words, seeds (all), makers (those that make candidates); written."""
-    schema = {"item_id": pa.int64(), "words": pa.list_(pa.string()), "seeds": pa.list_(pa.int64())}
+def _items(benchmark: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """(members: _item, item_id, a row per row of benchmark; items: _item, words, seeds (all),
+    makers (those that make candidates), a row per distinct list of words); written.
+
+    _item is a hash of the words, 128 bits wide.
+    """
+    schema = {"item_id": pa.int64(), "_item": pa.binary(), "words": pa.list_(pa.string()), "seeds": pa.list_(pa.int64())}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [words_of(t) for t in batch.column("text").to_pylist()]
-        return record(schema, item_id=batch.column("item_id"), words=words, seeds=[_signed(seed_hashes(w)) for w in words])
+        names = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
+        return record(schema, item_id=batch.column("item_id"), _item=names, words=words, seeds=[_signed(seed_hashes(w)) for w in words])
 
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = written(with_row_id(by_batch(texts, run, "item_id long, words array<string>, seeds array<long>").where(F.size("seeds") > 0), "_item"), "items")
+    rows = written(by_batch(texts, run, "item_id long, _item binary, words array<string>, seeds array<long>").where(F.size("seeds") > 0), "items")
+    items = written(rows.groupBy("_item").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds")), "items")
     frequent = items.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").count()
     ranked = (
         items.select("_item", F.posexplode("seeds").alias("at", "seed")).join(frequent, "seed")
@@ -174,10 +211,10 @@ def _items(benchmark: DataFrame, coverage: float) -> DataFrame:
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.to_pylist()
         makers = [common_seeds(len(r["words"]), r["seeds"], [x["n"] for x in r["f"]], coverage) for r in rows]
-        return pa.RecordBatch.from_arrays([batch.column(k) for k in ("_item", "item_id", "words", "seeds")] + [pa.array(makers, pa.list_(pa.int64()))], names=["_item", "item_id", "words", "seeds", "makers"])
+        return pa.RecordBatch.from_arrays([batch.column(k) for k in ("_item", "words", "seeds")] + [pa.array(makers, pa.list_(pa.int64()))], names=["_item", "words", "seeds", "makers"])
 
-    joined = items.join(ranked, "_item").select("_item", "item_id", "words", "seeds", "f")
-    return written(by_batch(joined, pick, "_item long, item_id long, words array<string>, seeds array<long>, makers array<long>"), "items")
+    joined = items.join(ranked, "_item").select("_item", "words", "seeds", "f")
+    return rows.select("_item", "item_id"), written(by_batch(joined, pick, "_item binary, words array<string>, seeds array<long>, makers array<long>"), "items")
 
 
 def bit_field(seeds: DataFrame) -> np.ndarray:
@@ -231,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     A row for each document and item whose tiles cover so much of the item.
     """
-    items = _items(benchmark, coverage)
+    members, items = _items(benchmark, coverage)
     stretches = _stretches(docs, bit_field(items.select(F.explode("seeds").alias("seed"))))
     makers = items.select("_item", F.explode("makers").alias("seed"))
     # Seeds that very many documents hold are split by adaptive execution: both sides are dealt anew.
@@ -242,9 +279,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         pairs.join(stretches.select("_row", "doc_id", "start", "words"), "_row")
         .groupBy("_row", "_item").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("start", "words"))).alias("parts"))
     )
-    sides = written(sides, "sides").join(items.select("_item", "item_id", F.col("words").alias("item")), "_item")
+    sides = written(sides, "sides").join(items.select("_item", F.col("words").alias("item")), "_item")
     tile = pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())])
-    names = {"doc_id": pa.int64(), "item_id": pa.int64(), "coverage": pa.float64(), "n_tiles": pa.int32(), "tiles": pa.list_(tile)}
+    names = {"doc_id": pa.int64(), "_item": pa.binary(), "coverage": pa.float64(), "n_tiles": pa.int32(), "tiles": pa.list_(tile)}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = {k: [] for k in names}
@@ -257,14 +294,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             share = sum(n for *_, n in found) / len(r["item"])
             if share >= coverage:
                 out["doc_id"].append(r["doc_id"])
-                out["item_id"].append(r["item_id"])
+                out["_item"].append(r["_item"])
                 out["coverage"].append(share)
                 out["n_tiles"].append(len(found))
                 out["tiles"].append([{"doc_start": place[i], "item_start": j, "words": n} for i, j, n in found])
         return record(names, **out)
 
-    schema = "doc_id long, item_id long, coverage double, n_tiles int, tiles array<struct<doc_start:int,item_start:int,words:int>>"
-    return by_batch(sides, run, schema)
+    schema = "doc_id long, _item binary, coverage double, n_tiles int, tiles array<struct<doc_start:int,item_start:int,words:int>>"
+    found = written(by_batch(sides, run, schema), "found")
+    return found.join(members, "_item").select("doc_id", "item_id", "coverage", "n_tiles", "tiles")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -50,6 +51,25 @@ def test_tiles(a, b, least):
     assert D.tiles(a, b, least) == brute_tiles(a, b, least)
 
 
+def test_tiles_of_repeated_words_and_phrases():
+    """Words, phrases and periods that repeat do not multiply, and the tiles are the same."""
+    def took(a, b):
+        began = time.process_time()
+        found = D.tiles(a, b)
+        return found, time.process_time() - began
+
+    found, seconds = took(["w"] * 20_000, ["w"] * 400)
+    assert found == [(0, 0, 400)] and seconds < 0.5
+    found, seconds = took(["a", "b", "c"] * 20_000, (["a", "b", "c"] * 60 + ["x"]) * 3)
+    assert [n for *_, n in found] == [180] * 3 and seconds < 3
+    phrase = "one two three four five".split()
+    a = [x for k in range(3000) for x in (f"a{k}", *phrase)]
+    found, seconds = took(a, [x for k in range(60) for x in (f"b{k}", *phrase)])
+    assert len(found) == 60 and seconds < 5
+    for a, b in ((["w"] * 60, ["w"] * 23), (["a", "b"] * 30, ["b", "a", "b"] * 9), (["w"] * 30 + [None] + ["w"] * 8, ["w"] * 45), (["w"] * 9, ["w"] * 50 + ["v"])):
+        assert D.tiles(a, b) == brute_tiles([object() if w is None else w for w in a], b, 5)
+
+
 @given(st.lists(st.text(alphabet="abé", min_size=1, max_size=4), max_size=30))
 def test_equal_windows_have_equal_hashes(words):
     h = D.seed_hashes(words)
