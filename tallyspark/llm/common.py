@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +18,63 @@ TEXT_BATCH_ROWS = 500
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder all executors share.
 
-    Only where that setting is absent (tests, a laptop) a local folder is used.
+    Only where that setting is absent and the master is local (tests, a laptop) a local
+    folder is used; a cluster without it is an error, since executors share no local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.tallyspark.fallback.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
             spark.conf.set("spark.tallyspark.fallback.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+#: Paths that the open scratch scopes remove at their ends.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes what shared_dir and written made inside, when it ends. Results must be
+    written outside of it, by the caller, before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, whatever store that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back."""
-    path = shared_dir(df.sparkSession, name)
+    return written_to(df, shared_dir(df.sparkSession, name), compression)
+
+
+def written_to(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import by_batch, record, with_row_id, written
+from tallyspark.llm.common import by_batch, free_name, record, with_row_id, written
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: The field has 2**FIELD_BITS bits and is put together from blocks of 2**BLOCK_BITS.
@@ -307,6 +307,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with all their columns."""
-    given = written(with_row_id(docs, "_given"), "docs")
-    found = contaminated(given.select(F.col("_given").alias("doc_id"), "text"), benchmark, coverage)
-    return given.join(written(found.select(F.col("doc_id").alias("_given")).distinct(), "found"), "_given", "left_anti").drop("_given")
+    row = free_name(docs, "_given")
+    given = written(with_row_id(docs, row), "docs")
+    found = contaminated(given.select(F.col(row).alias("doc_id"), "text"), benchmark, coverage)
+    return given.join(written(found.select(F.col("doc_id").alias(row)).distinct(), "found"), row, "left_anti").drop(row)

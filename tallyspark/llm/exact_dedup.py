@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import by_batch, record, with_row_id, written
+from tallyspark.llm.common import by_batch, free_name, record, with_row_id, written
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Chunk sizes in bytes. The mask has 11 bits: a cut about every 2 KiB.
@@ -147,13 +147,14 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     doc_ids that are unique are assumed nowhere: of repeated rows one stays.
     """
-    given = written(with_row_id(docs, "_given"), "docs")
-    own = chunk_recipes(given.select(F.col("_given").alias("doc_id"), "text"))
-    ids = given.select("_given", F.col("doc_id").alias("_doc"))
+    row = free_name(docs, "_given")
+    given = written(with_row_id(docs, row), "docs")
+    own = chunk_recipes(given.select(F.col(row).alias("doc_id"), "text"))
+    ids = given.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"))
     rows = written(
-        verified(own).select("recipe", F.xxhash64("recipe").alias("key"), F.col("doc_id").alias("_given")).join(ids, "_given"),
+        verified(own).select("recipe", F.xxhash64("recipe").alias("key"), F.col("doc_id").alias("row")).join(ids, "row"),
         "verified",
     )
-    first = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_given")).alias("first")
-    keep = rows.groupBy("key", "recipe").agg(first).select(F.col("first._given").alias("_given"))
-    return given.join(keep, "_given", "left_semi").drop("_given")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first")
+    keep = rows.groupBy("key", "recipe").agg(first).select(F.col("first.row").alias(row))
+    return given.join(keep, row, "left_semi").drop(row)

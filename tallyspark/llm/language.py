@@ -73,7 +73,9 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     chosen = rows.join(F.broadcast(counts), "lang").where(lot < F.col("share") * (1 << 20))
-    sample = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS).select("lang", "n", "text")
+    sample = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS)
+    # No row gives more than DICT_BYTES of letters, so a long one need not come whole.
+    sample = sample.select("lang", "n", F.substring("text", 1, 4 * DICT_BYTES).alias("text"))
     found = sample.groupBy("lang").applyInPandas(_dictionary, "lang string, dictionary binary").collect()  # DICT_BYTES a language at most
     return {r["lang"]: bytes(r["dictionary"]) for r in sorted(found, key=lambda r: r["lang"]) if r["dictionary"]}
 

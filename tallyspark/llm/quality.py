@@ -8,7 +8,8 @@ fold that was kept out, each view is calibrated (Platt scaling) and a last logis
 combines the calibrated views. All documents are scored over their whole texts.
 
 Bounds: LABELLED rows with a label and POOL rows without are used at most, the first by a
-hash of doc_id; models are fitted on the driver from these alone.
+hash of doc_id; models are fitted on the driver from these alone. Both are parameters of
+learn(); README has the accuracy at other sizes of the pool.
 
 Defined results: a null text counts as empty, null metadata as a value of its own; labels
 that contradict each other count by majority, ties as good; without any label, or with
@@ -153,10 +154,12 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     lot = F.xxhash64("doc_id")
-    taken = known.orderBy(lot, "doc_id").limit(labelled)
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull())
+    # Labels of absent documents do not use up the bound.
+    taken = known.join(there, "doc_id", "left_semi").orderBy(lot, "doc_id").limit(labelled)
+    free = there.distinct().orderBy(lot.desc(), "doc_id").limit(pool)
     # Rows are few by construction, so they may be broadcast.
-    free = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).orderBy(lot.desc(), "doc_id").limit(pool)
-    ids = taken.unionByName(free.distinct().withColumn("quality", F.lit(None).cast("int"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    ids = taken.unionByName(free.withColumn("quality", F.lit(None).cast("int"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = _columns(docs).join(F.broadcast(ids), "doc_id")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,5 +184,5 @@ def score(docs: DataFrame, views: Views) -> DataFrame:
     return by_batch(_columns(docs), run, "doc_id long, score double, text_score double, meta_score double, kept boolean", rows=200)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, learn(docs, labels))
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    return score(docs, learn(docs, labels, labelled, pool))

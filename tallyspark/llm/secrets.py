@@ -62,6 +62,10 @@ def find_spans(text: str, kinds, patterns: dict) -> list[dict]:
     return out
 
 
+#: Blobs to scan that are sent to all tasks, so that other texts need not move (64 bytes each).
+FEW_BLOBS = 200_000
+
+
 def scan(versions: DataFrame, ledger: str, rules=RULES) -> tuple[DataFrame, DataFrame]:
     """Scan what the ledger lacks. versions: path, text.
 
@@ -78,10 +82,15 @@ def scan(versions: DataFrame, ledger: str, rules=RULES) -> tuple[DataFrame, Data
     seen = spark.read.schema(schema).parquet(ledger)
     done = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("done"))
     every = F.array(*map(F.lit, wanted))
+    # What is to do is found out by digests alone; no text moves for a blob that the ledger has.
+    left = paths.select("blob").distinct().join(done, "blob", "left").select("blob", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
+    left = written(left.where(F.size("todo") > 0), "todo")
+    few = left.limit(FEW_BLOBS + 1).count() <= FEW_BLOBS
+    left = F.broadcast(left) if few else left
+    texts = rows.join(left, "blob") if few else rows
     # First copies are picked before the shuffle, so a blob with very many paths is no hot key.
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    todo = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
-    todo = todo.where(F.size("todo") > 0).select("blob", "text", "todo")
+    blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+    todo = blobs.join(left, "blob").select("blob", "text", "todo")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         patterns = compiled(rules)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import by_batch, record, with_row_id, written
+from tallyspark.llm.common import by_batch, free_name, record, with_row_id, written
 
 SEED, SHINGLE, RADIUS, HALF = 42, 4, 4, 2
 #: Leading bits by which variants are dealt, at least; variants that one task holds at once.
@@ -170,14 +170,19 @@ def links(fps: DataFrame) -> DataFrame:
     n = fps.count()
     bits = min(24, max(PREFIX_BITS, math.ceil(math.log2(max(1, n) * 2081 / (1 << 24)))))
     dealt = _deal(fps.select(F.lit(0).cast("long").alias("prefix"), F.lit(HALF).alias("left"), "fp"), 0, bits)
-    hot = dealt.groupBy("prefix").count().where(F.col("count") > HOT_PREFIX).select("prefix")
-    hot = [r.prefix for r in hot.take(1 << 12)] if n > HOT_PREFIX else []  # at most 2**12 long integers
     forest = lambda df, rest: df.groupBy("prefix").applyInPandas(lambda pdf: _links(pdf, rest), "a long, b long")
-    plain = dealt.where(~F.col("prefix").isin(hot)) if hot else dealt
-    out = forest(plain, 64 - bits)
-    if hot:
-        out = out.union(forest(_deal(dealt.where(F.col("prefix").isin(hot)), bits, 8), 64 - bits - 8))
-    return out.distinct()
+    out = None
+    while True:
+        done, hot = bits, None
+        if n > HOT_PREFIX and done < 56:
+            hot = written(dealt.groupBy("prefix").count().where(F.col("count") > HOT_PREFIX).select("prefix"), "hot")
+            hot = None if hot.isEmpty() else hot
+        found = forest(dealt if hot is None else dealt.join(hot, "prefix", "left_anti"), 64 - done)
+        out = found if out is None else out.union(found)
+        if hot is None:
+            return out.distinct()
+        # Hot prefixes are dealt by their next bits, again and again until none is hot.
+        dealt, bits = written(_deal(dealt.join(hot, "prefix", "left_semi"), done, 8), "dealt"), done + 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,10 +236,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns."""
-    given = written(with_row_id(docs, "_given"), "docs")
-    keep = near_duplicates(given.select(F.col("_given").alias("doc_id"), "text"))
-    # Rows go by _given here; the one that stays is chosen by doc_id.
-    pairs = keep.select(F.col("doc_id").alias("_given"), F.col("component_id").alias("c"))
-    ranked = pairs.join(given.select("_given", "doc_id"), "_given").groupBy("c")
-    first = ranked.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_given")).alias("first"))
-    return given.join(first.select(F.col("first._given").alias("_given")), "_given", "left_semi").drop("_given")
+    row = free_name(docs, "_given")
+    given = written(with_row_id(docs, row), "docs")
+    found = near_duplicates(given.select(F.col(row).alias("doc_id"), "text"))
+    # Rows go by their number here; the one that stays is chosen by doc_id.
+    pairs = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c"))
+    named = pairs.join(given.select(F.col(row).alias("row"), F.col("doc_id").alias("doc")), "row").groupBy("c")
+    first = named.agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first"))
+    return given.join(first.select(F.col("first.row").alias(row)), row, "left_semi").drop(row)

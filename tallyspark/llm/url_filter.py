@@ -2,11 +2,12 @@
 
 A rule is a host with a path, such as ``example.com/en/``; it fits its host and all
 subdomains of it if the path of the url starts with the rule's. Each distinct url (host
-and path) is expanded into the expressions whose shape (number of host labels, length of
-path) some rule has, so every rule that fits is met by equality. Expressions and rules
-join on the first 32 bits of their SHA-256; full digests confirm. The longest rule wins,
-and block wins over allow where one rule is given with both. All of it is DataFrame
-operations.
+and path) is expanded into its host suffixes; those that are a rule's host are expanded
+into the path prefixes of the lengths that rules of that host have, so every rule that
+fits is met by equality. Both joins go by the first 32 bits of a SHA-256, and full digests
+confirm. The longest rule wins, and block wins over allow where one rule is given with
+both. All of it is DataFrame operations; of the rules, only the greatest number of labels
+comes to the driver.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule and
 the default verdict; rows that repeat a url each get its verdict; a null page_id stays;
@@ -39,27 +40,35 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 2)
 
 
+def _hashed(df: DataFrame, column: str, digest: str) -> DataFrame:
+    """Adds the column's digest and the digest's short prefix."""
+    return df.withColumn(digest, F.sha2(column, 256)).withColumn("short", F.substring(digest, 1, SHORT))
+
+
 def digested(rules: DataFrame) -> DataFrame:
-    """rules: action, host, path. Adds rule, its digest and the digest's short prefix."""
-    rule = F.concat(F.translate("host", UPPER, LOWER), F.col("path"))
+    """rules: action, host, path. rule_host, labels, len, rule, action: each distinct rule once."""
+    host = F.translate("host", UPPER, LOWER)
     return (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != ""))
-        .select("action", rule.alias("rule"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("len"))
-        .groupBy("rule", "labels", "len").agg(F.max("action").alias("action"))  # block comes after allow
-        .withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, SHORT))
+        .select("action", host.alias("rule_host"), F.concat(host, F.col("path")).alias("rule"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("len"))
+        .groupBy("rule_host", "rule", "labels", "len").agg(F.max("action").alias("action"))  # block comes after allow
     )
 
 
-def expressions(urls: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
-    """Adds expr for each shape (labels of the host, length of the path) that a url has."""
-    shape = F.explode(F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(n).alias("len")) for a, n in shapes])).alias("shape")
-    labels = F.split("host", r"\.")
-    suffix = F.concat_ws(".", F.slice("l", F.size("l") - F.col("shape.labels") + 1, F.col("shape.labels")))
+def expressions(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, suffix, expr: a url's host suffixes that are hosts of rules, with the path
+    prefixes of the lengths that those rules have."""
+    most = rules.agg(F.max("labels")).first()[0]
+    hosts = _hashed(rules.groupBy("rule_host").agg(F.collect_set("len").alias("lens")), "rule_host", "digest")
+    n = F.size("l")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), lambda k: F.concat_ws(".", F.slice("l", F.size("l") - k + 1, k)))
+    split = urls.select("host", "path", F.split("host", r"\.").alias("l"))
+    split = _hashed(split.select("host", "path", F.explode(suffixes).alias("suffix")), "suffix", "full")
+    met = split.join(hosts, "short").where(F.col("full") == F.col("digest"))
     return (
-        urls.select("host", "path", labels.alias("l"), shape)
-        .where((F.size("l") >= F.col("shape.labels")) & (F.length("path") >= F.col("shape.len")))
-        .select("host", "path", F.concat(suffix, F.expr("substring(path, 1, shape.len)")).alias("expr"), F.col("shape").alias("shape"))
-    )
+        met.select("host", "path", "suffix", F.explode(F.filter("lens", lambda n: n <= F.length("path"))).alias("len"))
+        .select("host", "path", "suffix", F.concat("suffix", F.expr("substring(path, 1, len)")).alias("expr"))
+    )
 
 
 def judge(pages: DataFrame, rules: DataFrame | list | None = None, default: str = "allow") -> DataFrame:
@@ -69,16 +78,14 @@ def judge(pages: DataFrame, rules: DataFrame | list | None = None, default: str
         rules = spark.createDataFrame(RULES if rules is None else rules, "action string, host string, path string")
     rows = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     rules = digested(rules)
-    # Shapes are few: at most the labels of a host times the lengths of a path.
-    shapes = [(r.labels, r.len) for r in rules.select("labels", "len").distinct().collect()]
-    if not shapes:
+    if rules.isEmpty():
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    found = expressions(rows.select("host", "path").distinct(), shapes)
-    found = found.withColumn("full", F.sha2("expr", 256)).withColumn("short", F.substring("full", 1, SHORT))
-    fits = (F.col("full") == F.col("digest")) & (F.col("shape.labels") == F.col("labels")) & (F.col("shape.len") == F.col("len"))
+    found = _hashed(expressions(rows.select("host", "path").distinct(), rules), "expr", "full")
+    # A rule and an expression of equal text are the same if their hosts are too.
+    fits = (F.col("full") == F.col("digest")) & (F.col("suffix") == F.col("rule_host"))
     # No broadcast is asked for: Spark compares the rules' size with its threshold.
     best = (
-        found.join(rules, "short").where(fits)
+        found.join(_hashed(rules, "rule", "digest"), "short").where(fits)
         .groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "labels", "action", "rule")).alias("best"))
     )
     # Written, so that the join deals both sides anew and can split a url with very many pages.

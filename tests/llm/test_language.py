@@ -85,3 +85,32 @@ def test_rows_beyond_the_first_hundred_count(spark):
     docs = spark.createDataFrame([(n, f"x{name(n)}x " + "word " * 400, "en") for n in range(L.SAMPLE_ROWS)], "doc_id long, text string, lang string")
     got = L.learn(docs)["en"].decode()
     assert all(f"x{name(n)}x" in got for n in range(L.SAMPLE_ROWS))
+
+
+def test_sizes_against_brute_force(spark, sf_dir):
+    """Each text compressed by itself, language by language: the least total is the prediction."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dictionaries = L.learn(docs.where(~L.held_out(docs.doc_id)))
+    got = {r.doc_id: r for r in L.predict(docs, dictionaries).collect()}
+    ties = 0
+    for r in docs.collect():
+        plain = " ".join("".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split())
+        if not plain:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score, got[r.doc_id].rejected) == ("und", 0.0, True)
+            continue
+        data, sizes = plain.encode(), {}
+        for lang, d in dictionaries.items():
+            total = 0
+            for at in range(0, len(data), L.BLOCK):
+                how = zstandard.ZstdCompressionParameters.from_level(L.LEVEL, source_size=L.BLOCK, dict_size=len(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+                total += len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(data[at : at + L.BLOCK]))
+            sizes[lang] = total
+        least = sorted(k for k, n in sizes.items() if n == min(sizes.values()))
+        ties += len(least) > 1
+        assert got[r.doc_id].lang_pred in least
+        if len(least) == 1:
+            second = sorted(sizes.values())[1]
+            assert got[r.doc_id].rejected == ((second - min(sizes.values())) / second < L.MIN_MARGIN)
+    assert ties < 0.05 * len(got)

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
 import sentencepiece
 
+from tallyspark.llm.common import shared_dir, written
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -20,7 +22,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     for name, stage in corpus_pipeline.STAGES:
         rows = [(r.doc_id, r.text or "") for r in docs.collect()]
-        out = corpus_pipeline.written(stage(spark, docs, sf_dir), name)
+        out = written(stage(spark, docs, sf_dir), name)
         if name != "encode":
             assert out.columns == columns
         if name == "language_id":
@@ -45,3 +47,36 @@ def test_it_is_registered(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def _tables(spark, folder, docs, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, empty tables; nothing is left behind but the result."""
+    long, story = "eine lange zeile mit immer anderen worten " * 20_000, "the quick brown fox is not here today but it was there all of last week"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _given string, _row int, fp string, recipe int"
+    rows = [(5, story), (5, story), (3, story + " "), (None, story), (7, None), (8, ""), (9, "12 ?"), (10, long), (11, long + "ende"), (12, "der hund und die katze sind nicht mehr im haus oder auf der strasse"), (None, "und noch ein kleiner satz der keine nummer hat und doch bleiben soll")]
+    rows = [(d, t, "en" if t and t[:3] == "the" else "de", "s", 1, "g", 2, "f", 3) for d, t in rows]
+    docs, items = spark.createDataFrame(rows, schema), spark.createDataFrame([(1, "the benchmark asks for one thing only and nothing more"), (2, None)], "item_id long, text string")
+    for name, d, i in (("full", docs, items), ("empty", docs.limit(0), items), ("no-items", docs, items.limit(0))):
+        folder = _tables(spark, tmp_path / name, d, i)
+        kept = {"full": [3, 10, 12, None], "empty": [], "no-items": [3, 10, 12, None]}[name]
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = written(f(spark, now, folder), stage)
+            assert now.columns == docs.columns
+        assert {r["_given"] for r in now.collect()} <= {"g"}
+        out = corpus_pipeline.run(spark, folder)
+        assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted((r.doc_id for r in now.collect()), key=repr)
+        assert sorted((r.doc_id for r in now.collect()), key=repr) == sorted(kept, key=repr), name
+
+
+def test_scratch_removes_its_tables(spark, sf_dir):
+    folder = Path(re.sub("^file:/*", "/", shared_dir(spark, "any"))).parent
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["encode"] and out.count() > 0

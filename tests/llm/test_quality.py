@@ -42,3 +42,41 @@ def test_odd_rows(spark):
     many = spark.createDataFrame([(i, "good words here" if i % 2 else "%%% $$$ ###", "s", "en", 9) for i in range(40)], "doc_id long, text string, source string, lang string, n_chars long")
     assert all(r.kept == bool(r.doc_id % 2) for r in Q.classify(many, labels).collect())
     assert Q.classify(docs.limit(0), labels).collect() == []
+
+
+def test_against_brute_force(spark, sf_dir):
+    """The same rounds over rows that are collected and read one by one give the same scores."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    absent = spark.createDataFrame([(10**7 + i, i % 2) for i in range(50)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in Q.classify(docs, labels.select("doc_id", "quality").union(absent)).collect()}
+    rows = docs.withColumn("lot", F.xxhash64("doc_id")).orderBy("lot", "doc_id").collect()
+    votes = {}
+    for r in labels.collect():
+        votes.setdefault(r.doc_id, []).append(r.quality)
+    known = [r for r in rows if r.doc_id in votes]
+    free = [r for r in rows if r.doc_id not in votes]
+    assert 8 <= len(known) <= Q.LABELLED and 8 <= len(rows) <= Q.POOL
+    text = lambda rs: np.stack([Q.text_features(r.text) for r in rs])
+    meta = lambda rs: np.stack([Q.meta_features(r.source, r.lang, r.n_chars) for r in rs])
+    y = np.array([float(np.mean(votes[r.doc_id]) >= 0.5) for r in known], np.float32)
+    out = np.arange(len(y)) % 4 == 3
+    views = [(text(known), text(free)), (meta(known), meta(free))]
+    extra = [({}), ({})]  # labels that a view was given, by row of free
+    for k in range(Q.ROUNDS + 1):
+        models, cal = [], []
+        for v, (x, pool) in enumerate(views):
+            r = sorted(extra[v])
+            models.append(Q.fit_logistic(np.concatenate([x[~out], pool[r]]), np.array([*y[~out], *(extra[v][i] for i in r)], np.float32)))
+            cal.append(Q.fit_logistic((x[out] @ models[v][:-1] + models[v][-1])[:, None], y[out], l2=1e-3))
+        if k < Q.ROUNDS:
+            for v, (_, pool) in enumerate(views):
+                p = 1 / (1 + np.exp(-(cal[v][0] * (pool @ models[v][:-1] + models[v][-1]) + cal[v][1])))
+                for i in range(len(p)):
+                    if p[i] >= Q.CONFIDENT or p[i] <= 1 - Q.CONFIDENT:
+                        extra[1 - v][i] = float(p[i] > 0.5)
+    margin = lambda v, x: cal[v][0] * (x @ models[v][:-1] + models[v][-1]) + cal[v][1]
+    both = Q.fit_logistic(np.c_[margin(0, views[0][0][out]), margin(1, views[1][0][out])], y[out], l2=1e-3)
+    for r in rows:
+        want = 1 / (1 + np.exp(-(both[0] * margin(0, text([r]))[0] + both[1] * margin(1, meta([r]))[0] + both[2])))
+        assert abs(got[r.doc_id].score - want) < 1e-3
+    assert max(len(e) for e in extra) > 0 and len(got) == len(rows)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from tallyspark.llm import secrets as S
 from tallyspark.llm.common import shared_dir
@@ -57,6 +58,35 @@ def test_ledger_scans_only_what_is_new(spark):
     assert sorted(len(r.rules) for r in added) == [1, len(newer)]  # the known blob was scanned for the new version only
 
 
+def test_known_blobs_move_no_text(spark, monkeypatch):
+    """A second scan shuffles digests only, and both ways of dealing give the same."""
+    docs = spark.createDataFrame([(f"p{k}", f"text {k % 20} token=abcdefgh{k % 20} " + "x" * 100_000) for k in range(40)], "path string, text string").repartition(4)
+    def shuffled():
+        time.sleep(1)  # the listener is told a little later
+        every = spark._jsc.sc().statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    want = None
+    for most in (S.FEW_BLOBS, 3):
+        monkeypatch.setattr(S, "FEW_BLOBS", most)
+        ledger = shared_dir(spark, "ledger")
+        docs = spark.read.parquet(_written(docs, shared_dir(spark, "docs")))
+        before = shuffled()
+        first = sorted(map(str, S.secrets_by_path(docs, ledger).collect()))
+        middle = shuffled()
+        again = sorted(map(str, S.secrets_by_path(docs, ledger).collect()))
+        assert first == again == (want or first) and len(first) == 40
+        want = first
+        assert shuffled() - middle < (middle - before) / 4
+        later = docs.union(spark.createDataFrame([("new", "token=abcdefgh99")], docs.schema))
+        assert len(S.secrets_by_path(later, ledger).collect()) == 41
+
+
+def _written(df, path):
+    df.write.parquet(path)
+    return path
+
+
 def test_empty_and_clashing_columns(spark):
     assert S.secrets_by_path(spark.createDataFrame([], "path long, text string")).collect() == []
     odd = spark.createDataFrame([(1, "x", b"y", "z", 3)], "path long, text string, blob binary, spans string, _row int")

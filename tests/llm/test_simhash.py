@@ -108,8 +108,8 @@ def test_long_chain_of_edges(spark):
 
 
 def test_hot_prefixes_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT_PREFIX", 3)
-    fps = planted(250, 9)
+    monkeypatch.setattr(S, "HOT_PREFIX", 9)
+    fps = planted(120, 9)
     edges = S.links(spark.createDataFrame([(S._signed(x),) for x in fps], "fp long"))
     roots = {r.node: r.root for r in S.components(edges).collect()}
     got = {}

@@ -47,6 +47,17 @@ def test_generated_urls(spark):
     assert got == {i: brute(u, RULES) for i, u in enumerate(found)}
 
 
+def test_many_rules(spark):
+    """Thousands of lengths and labels of rules: the plan and a url's expressions stay small."""
+    rules = [("block", f"h{k % 50}.example.org", "/" + "x" * k) for k in range(3000)] + [("allow", "example.org", "/x" * k) for k in range(400)] + [("block", ".".join("a" * 60), "/")]
+    frame = spark.createDataFrame(rules, "action string, host string, path string")
+    urls = [f"http://{h}/{'x' * n}{t}" for h in ("h7.example.org", "www.h7.example.org", "h49.example.org", "example.org", "a." * 80 + "a") for n in (0, 1, 57, 107, 2999) for t in ("", "/x/x?q")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = U.judge(pages, frame)
+    assert {r.page_id: tuple(r)[1:] for r in judged.collect()} == {i: brute(u, rules) for i, u in enumerate(urls)}
+    assert len(judged._jdf.queryExecution().toString()) < 100_000
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert U.judge(pages.limit(0)).collect() == []
