@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +31,11 @@ def compose(c: Column) -> Column:
     return c
 
 
-def compose_all(df: DataFrame, column: str) -> DataFrame:
-    """NFC of a column. Only rows with a combining mark leave the JVM."""
-    import pandas as pd
-
-    marked = F.coalesce(F.col(column).rlike(r"\p{M}"), F.lit(False))
-
-    def run(batches):
-        for pdf in batches:
-            pdf[column] = pdf[column].map(lambda s: unicodedata.normalize("NFC", s) if isinstance(s, str) else s)
-            yield pd.DataFrame(pdf)
-
-    df = df.withColumn(column, compose(F.col(column)))
-    return df.where(~marked).unionByName(df.where(marked).mapInPandas(run, df.schema))
+def compose_all(df: DataFrame, *columns: str) -> DataFrame:
+    """NFC of string columns: for sources, before any other rule reads a text. Only texts with
+    a combining mark are composed, by the Unicode library that Spark itself comes with."""
+    whole = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return df.withColumns({k: F.when(F.col(k).rlike(r"\p{M}"), whole(F.col(k))).otherwise(F.col(k)) for k in columns})
 
 
 def soft_clean(c: Column) -> Column:
@@ -61,6 +51,16 @@ def clean_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s{2,}", " "), r"(?U)^\s+|\s+$", "")
 
 
+#: What clean_text would change somewhere in a text.
+DIRTY = rf"(?U)[\p{{M}}{fixed.APOSTROPHES.replace(chr(39), '')}\n\r\t\u00a0\u2007\u202f]|\s\s|^\s|\s$"
+
+
+def clean_all(cells: Column) -> Column:
+    """clean_text of each text of an array; arrays that it would not change are passed through."""
+    cells = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
+    return F.when(F.exists(cells, lambda c: c.rlike(DIRTY)), F.transform(cells, lambda c: clean_text(c))).otherwise(cells)
+
+
 def name_tokens(c: Column) -> Column:
     """The words of a name that count: lower case, look-alikes unified, no marks, no stop words."""
     c = F.translate(F.lower(clean_text(c)), fixed.LATIN, fixed.CYRILLIC)
@@ -92,8 +92,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
-def unit_raw(c: Column) -> Column:
-    return F.translate(F.trim(F.rtrim(F.lower(clean_text(c)), F.lit("."))), "²³", "23")
+def unit_raw(c: Column, clean: bool = False) -> Column:
+    """clean: the text is clean already."""
+    return F.translate(F.trim(F.rtrim(F.lower(c if clean else clean_text(c)), F.lit("."))), "²³", "23")
 
 
 def unit_of(raw: Column) -> Column:
@@ -101,8 +102,8 @@ def unit_of(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(table, raw), F.try_element_at(table, F.regexp_replace(raw, r"(?U)[\s.]", "")), raw)
 
 
-def normalise_unit(c: Column) -> Column:
-    return unit_of(unit_raw(c))
+def normalise_unit(c: Column, clean: bool = False) -> Column:
+    return unit_of(unit_raw(c, clean))
 
 
 def unit_set(units: list[str]) -> list[str]:
@@ -117,9 +118,11 @@ def unit_set(units: list[str]) -> list[str]:
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def parse_number(c: Column, kind: str = "double") -> Column:
-    """Number with spaces between thousands, point or comma; null for anything else."""
-    raw = F.replace(F.replace(clean_text(c), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
+def parse_number(c: Column, kind: str = "double", clean: bool = False) -> Column:
+    """Number with spaces between thousands, point or comma; null for anything else.
+
+    clean: the text is clean already."""
+    raw = F.replace(F.replace(c if clean else clean_text(c), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
     return F.when(c.isNotNull() & raw.rlike(_NUMBER), raw.try_cast("double")).try_cast(kind)
 
 

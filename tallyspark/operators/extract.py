@@ -152,17 +152,26 @@ def list_profile(prices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of bounds by site, with its upper median and rows that look wrong."""
     top = lambda c, empty, k: prices.groupBy(F.when(F.col(c) == "", empty).otherwise(F.col(c)).alias(c)).count().orderBy(F.desc("count"), c).limit(k)
     odd = (F.col("price") < 5) | (F.length("name") < 10) | (F.col("unit") == "")
-    rank = Window.partitionBy("site").orderBy("price")
-    n = F.count("*").over(Window.partitionBy("site"))
-    ranked = prices.withColumns({"_i": F.row_number().over(rank), "_n": n})
-    bounds = ranked.groupBy("site").agg(F.count("*").alias("rows"), F.min("price").alias("least"), F.max("price").alias("most"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col("price"))).alias("median"), F.count_if(odd).alias("suspicious"))
+    # The upper median is the lower one from above; percentiles are counts of values, combined before the shuffle.
+    median = F.expr("percentile_disc(0.5) within group (order by price desc)")
+    bounds = prices.groupBy("site").agg(F.count("*").alias("rows"), F.min("price").alias("least"), F.max("price").alias("most"), median.alias("median"), F.count_if(odd).alias("suspicious"))
     return top("unit", "—", 8), top("category", "(без розділу)", 15), bounds
 
 
-def page_diagnosis(pages: DataFrame) -> DataFrame:
-    """page_id, length and how often prices and units are mentioned."""
+# fixed values: what counts as a mention of a price and of a unit
+PRICE_MENTION = r"(?iu)\d[\d\s]{0,7}\s*(?:грн|₴)"
+UNIT_MENTION = r"(?iuU)\b(?:м2|м²|кв\.?\s?м|шт|м\.?п|пог\.?\s?м)\b"
+
+
+def page_diagnosis(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """page_id, length, how often prices and units are mentioned; with the pages' rows
+    (page_id, cells) also how many rows there are and how many hold a price."""
     html = F.coalesce("html", F.lit(""))
-    return pages.select(
-        "page_id", F.length(html).alias("length"), F.regexp_count(html, F.lit(r"(?iu)\d[\d\s]{0,7}\s*(?:грн|₴)")).alias("price_mentions"),
-        F.regexp_count(html, F.lit(r"(?iuU)\b(?:м2|м²|кв\.?\s?м|шт|м\.?п|пог\.?\s?м)\b")).alias("unit_mentions"),
+    out = pages.select(
+        "page_id", F.length(html).alias("length"), F.regexp_count(html, F.lit(PRICE_MENTION)).alias("price_mentions"), F.regexp_count(html, F.lit(UNIT_MENTION)).alias("unit_mentions"),
     )
+    if rows is None:
+        return out
+    priced = F.exists("cells", lambda c: c.rlike(PRICE_MENTION))
+    counts = rows.groupBy("page_id").agg(F.count("*").alias("rows"), F.count_if(priced).alias("priced_rows"))
+    return out.join(counts, "page_id", "left").na.fill(0, ["rows", "priced_rows"])

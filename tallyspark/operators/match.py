@@ -148,12 +148,12 @@ def _score(coverage: Column, actions: bool, units: bool) -> Column:
 
 def _queries(df: DataFrame) -> DataFrame:
     distinct = df.select("name", "unit").distinct().where(F.trim(F.coalesce("name", F.lit(""))) != "")
-    # Distinct names are few next to rows and used many times over: written once.
-    return written(with_name_parts(distinct.withColumn("qid", F.xxhash64("name", F.coalesce("unit", F.lit(""))))), "queries")
+    # Distinct names are few next to rows and used many times over: written once, with a number that no other has.
+    return written(with_name_parts(distinct).withColumn("qid", F.monotonically_increasing_id()), "queries")
 
 
 def _items(items: DataFrame, keep: int) -> DataFrame:
-    return written(item_forms(items, keep).withColumn("iid", F.col("ord")), "items")
+    return written(item_forms(items, keep).withColumn("iid", F.monotonically_increasing_id()), "items")
 
 
 def _ranked(pairs: DataFrame, limit: int) -> DataFrame:
@@ -195,17 +195,19 @@ def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFram
     """The best so many items of each distinct (name, unit), whatever they score.
 
     Queries with fewer than `limit` items that share a word are filled up from the rest:
-    those score by similarity and unit only, and only these few queries are compared.
+    those score by similarity and unit only, and only these few queries are compared with all.
     """
     q = _queries(queries)
     q = q.where(F.size("stems") > 0)
     forms = _items(items, limit)
     pairs = written(scored_pairs(q, forms, items).select("qid", "iid", "raw", "code", "name", "unit", "category", "labor", "material", "machines", "ord"), "pairs")
     few = q.join(pairs.groupBy("qid").count().where(F.col("count") >= limit), "qid", "left_anti")
-    # A stated query set against all forms; forms are distinct names, not rows.
     side = few.select("qid", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
-    filled = written(side.join(forms, F.lit(True)).join(pairs.select("qid", "iid"), ["qid", "iid"], "left_anti"), "filled")
-    filled = with_similarity(filled).withColumn("raw", _score(F.lit(0.0), True, True))
+    # A stated query set against all forms: nothing of it is stored, since each task keeps the best
+    # so many of a query (fewer than `limit` of them can be pairs that share a word).
+    all_of = side.join(forms, F.lit(True)).withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase")))
+    best = _ranked(all_of.withColumn("raw", _score(F.lit(0.0), True, True)).withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1)), 2 * limit)
+    filled = best.join(pairs.select("qid", "iid"), ["qid", "iid"], "left_anti")
     both = pairs.drop("iid").unionByName(filled.select(*[c for c in pairs.columns if c != "iid"]))
     both = both.withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1))
     return q.select("qid", F.col("name").alias("query_name"), F.col("unit").alias("query_unit")).join(_result(_ranked(both, limit)), "qid").drop("qid").withColumnsRenamed({"query_name": "name", "query_unit": "unit"})
@@ -220,7 +222,7 @@ def search(texts: DataFrame, items: DataFrame, limit: int = 20, category: str |
     fetch = limit * 3 if category else limit
     q = texts.select(F.trim(F.coalesce("text", F.lit(""))).alias("text")).distinct()
     asked = with_name_parts(q.where("text <> ''").select("text", F.col("text").alias("name"), F.lit("").alias("unit"))).where(F.size("stems") > 0)
-    asked = asked.withColumn("qid", F.xxhash64("text"))
+    asked = written(asked.withColumn("qid", F.monotonically_increasing_id()), "asked")
     forms = _items(items, fetch).withColumn("category_stems", T.stems(F.col("category")))
     need = (fixed.SEARCH_SCORE - fixed.SIMILARITY_SHARE) / fixed.COVERAGE_SHARE
     named = scored_pairs(asked, forms, items, need, actions=False, units=False).select("qid", "iid", "raw")
@@ -243,6 +245,16 @@ def search(texts: DataFrame, items: DataFrame, limit: int = 20, category: str |
     return found.unionByName(blank)
 
 
+def search_totals(texts: DataFrame, items: DataFrame, limit: int = 20, category: str | None = None) -> DataFrame:
+    """text, total: how many items a search gives; for an empty text, how many there are."""
+    found = search(texts, items, limit, category).where("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
+    kept = items if category is None else items.where(F.col("category") == category)
+    every = kept.agg(F.count("*").alias("every"))  # one row
+    asked = texts.select(F.trim(F.coalesce("text", F.lit(""))).alias("text")).distinct()
+    total = F.when(F.col("text") == "", F.col("every")).otherwise(F.coalesce("n", F.lit(0)))
+    return asked.join(found, "text", "left").join(F.broadcast(every)).select("text", total.alias("total"))
+
+
 def site_items(site_prices: DataFrame) -> DataFrame:
     """Rows of a site's price list as items: their price is for labour."""
     zero = F.lit(0).cast("decimal(18,6)")
@@ -288,6 +300,14 @@ def review_list(matched: DataFrame, items: DataFrame, limit: int = 6) -> DataFra
     return joined.groupBy("position_id", "name", "unit", "match_code", "match_score").agg(F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), one))).alias("candidates"))
 
 
+def position_candidates(positions: DataFrame, items: DataFrame, limit: int = 6) -> DataFrame:
+    """position_id, rank, code, match_name, match_unit, score and prices scaled by the
+    position's factor: the best items of every position."""
+    found = candidates(positions, items, limit)
+    joined = positions.select("position_id", "name", "unit", "factor").join(found, ["name", "unit"])
+    return joined.select("position_id", "rank", "code", "match_name", "match_unit", "score", *(scaled(F.col(p), F.col("factor")).alias(p) for p in ("labor", "material", "machines")))
+
+
 def apply_choices(positions: DataFrame, choices: DataFrame, items: DataFrame) -> DataFrame:
     """Positions with the items that were chosen for them (position_id, code)."""
     chosen = choices.join(items.select("code", F.col("unit").alias("c_unit"), *(F.col(p).alias(f"c_{p}") for p in ("labor", "material", "machines"))), "code")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tallyspark.functions import fixed
 from tallyspark.functions import text as T
 from tallyspark.operators import catalog, match
+from tallyspark.sources.shared import written
 
 PRICES = ("labor", "material", "machines")
 
@@ -23,10 +24,13 @@ def history_facts(positions: DataFrame) -> DataFrame:
     positions: name, unit, city, region, labor_price, material_price, machines_price, ...
     """
     any_price = sum((F.coalesce(F.col(f"{p}_price"), F.lit(0)) != 0).cast("int") for p in PRICES) > 0
-    return positions.where(any_price).withColumns({
-        "work_key": T.work_key(F.col("name"), F.col("unit")), "name": T.clean_text(F.col("name")), "unit": T.normalise_unit(F.col("unit")),
-        "city": T.clean_text(F.col("city")), "region": T.clean_text(F.col("region")),
-    })
+    facts = positions.where(any_price)
+    # Names and units are few next to positions: their forms are made once for each and joined back.
+    n, u = F.col("name"), F.col("unit")
+    forms = facts.select("name", "unit").distinct().select(n.alias("n"), u.alias("u"), T.work_key(n, u).alias("work_key"), T.clean_text(n).alias("f_name"), T.normalise_unit(u).alias("f_unit"))
+    joined = facts.join(written(forms, "forms"), n.eqNullSafe(F.col("n")) & u.eqNullSafe(F.col("u"))).drop("n", "u")
+    changed = {"name": F.col("f_name"), "unit": F.col("f_unit"), "city": T.clean_text(F.col("city")), "region": T.clean_text(F.col("region"))}
+    return joined.withColumns(changed).drop("f_name", "f_unit")
 
 
 def append_history(facts: DataFrame, path: str) -> None:
@@ -34,31 +38,38 @@ def append_history(facts: DataFrame, path: str) -> None:
     facts.repartition("work_key").sortWithinPartitions("work_key", "created_at").write.mode("append").parquet(path)
 
 
-def _latest_medians(history: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Medians of the last rows of each key. row_number <= window is pushed below the
-    shuffle as a group limit, so a key with very many facts sends few rows."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("id"))
-    last = history.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= window)
-    return last.groupBy(*keys).agg(
-        *(money_round(F.median(f"{p}_price").cast("decimal(18,6)")).alias(p) for p in PRICES),
-        F.count("*").alias("samples"), F.max("created_at").alias("last_used"),
-    )
+#: Scopes of history prices in the order in which they are tried, and their labels.
+SCOPES = {"city": "місто ", "region": "область ", "all": "уся історія"}
+
+
+def _scopes(city: Column, region: Column) -> Column:
+    """array<struct<rank, place>>: the scopes of a row; a city or region that is not known is none."""
+    known = lambda c: F.coalesce(c, F.lit(""))
+    every = F.array(*(F.struct(F.lit(i).alias("rank"), known(c).alias("place")) for i, c in enumerate((city, region, F.lit("")))))
+    return F.filter(every, lambda s: (s["rank"] == 2) | (s["place"] != ""))
 
 
 def history_price(asked: DataFrame, history: DataFrame, window: int = fixed.HISTORY_WINDOW) -> DataFrame:
     """For each distinct (work_key, city, region): medians of the first scope with facts,
-    tried in the order city, region, all. history: id, work_key, city, region, prices, created_at."""
+    tried in the order city, region, all. history: id, work_key, city, region, prices, created_at.
+
+    Only facts of asked keys are dealt, all scopes in one pass: row_number <= window is pushed
+    below the shuffle as a group limit, so a key with very many facts sends few rows.
+    """
     asked = asked.select("work_key", "city", "region").distinct()
-    out = asked
-    for scope, keys in (("city", ["work_key", "city"]), ("region", ["work_key", "region"]), ("all", ["work_key"])):
-        found = _latest_medians(history, keys, window).select(*keys, F.struct(F.lit(scope).alias("scope"), *PRICES, "samples", "last_used").alias(f"by_{scope}"))
-        usable = F.lit(True) if scope == "all" else F.coalesce(F.col(scope), F.lit("")) != ""
-        out = out.join(found, keys, "left").withColumn(f"by_{scope}", F.when(usable, F.col(f"by_{scope}")))
-    label = F.when(F.col("h.scope") == "city", F.concat(F.lit("місто "), "city")).when(F.col("h.scope") == "region", F.concat(F.lit("область "), "region")).otherwise("уся історія")
-    return (
-        out.withColumn("h", F.coalesce("by_city", "by_region", "by_all")).where(F.col("h").isNotNull())
-        .select("work_key", "city", "region", *(f"h.{p}" for p in PRICES), "h.samples", label.alias("scope"), "h.last_used")
+    keys = written(asked.select("work_key").distinct(), "keys")  # Spark compares its size with its broadcast threshold
+    facts = history.join(keys, "work_key", "left_semi").select("work_key", "id", "created_at", *(f"{p}_price" for p in PRICES), F.inline(_scopes(F.col("city"), F.col("region"))))
+    order = Window.partitionBy("work_key", "rank", "place").orderBy(F.desc("created_at"), F.desc("id"))
+    last = facts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= window)
+    found = last.groupBy("work_key", "rank", "place").agg(
+        *(money_round(F.median(f"{p}_price").cast("decimal(18,6)")).alias(p) for p in PRICES),
+        F.count("*").alias("samples"), F.max("created_at").alias("last_used"),
     )
+    wanted = asked.select("*", F.inline(_scopes(F.col("city"), F.col("region"))))
+    best = wanted.join(found, ["work_key", "rank", "place"]).groupBy("work_key", "city", "region").agg(F.min(F.struct("rank", "place", *PRICES, "samples", "last_used")).alias("h"))
+    labels = list(SCOPES.values())
+    label = F.when(F.col("h.rank") == 2, labels[2]).otherwise(F.concat(F.when(F.col("h.rank") == 0, labels[0]).otherwise(labels[1]), "h.place"))
+    return best.select("work_key", "city", "region", *(f"h.{p}" for p in PRICES), "h.samples", label.alias("scope"), "h.last_used")
 
 
 def fresh_cache(asked: DataFrame, cache: DataFrame, as_of: str, days: int = fixed.CACHE_DAYS) -> DataFrame:
@@ -82,7 +93,7 @@ def site_age(site_prices: DataFrame, as_of: str, limit: int = fixed.SITE_DAYS) -
 
 def overwrite_site(rows: DataFrame, path: str) -> None:
     """Replace the snapshots of the sites in rows, and only those."""
-    keyed = rows.withColumn("work_key", T.work_key(F.col("name"), F.col("unit")))
+    keyed = rows.withColumns({"price": F.col("price").cast("decimal(18,2)"), "work_key": T.work_key(F.col("name"), F.col("unit"))})
     keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)
 
 
@@ -133,18 +144,23 @@ def live_queries(asked: DataFrame, limit: int = fixed.QUERY_LIMIT) -> DataFrame:
     its key is never found (what is not found is not cached). The first `limit` live ones
     are used (0: all); later requests of a key whose first one was blocked are blocked too.
     """
-    first = F.row_number().over(Window.partitionBy("run", "work_key").orderBy("seq")) == 1
-    live = ~F.col("cached") & (~F.col("found") | first)
-    rank = F.sum(F.col("live").cast("int")).over(Window.partitionBy("run").orderBy("seq"))
-    ranked = asked.withColumn("live", live).withColumn("rank", rank)
-    allowed = F.lit(limit == 0) | (F.col("rank") <= limit)
-    ranked = ranked.withColumn("allowed", F.when(F.col("live"), allowed))
-    got = F.max(F.when(F.col("found"), F.col("allowed"))).over(Window.partitionBy("run", "work_key"))
+    firsts = asked.groupBy("run", "work_key").agg(F.min("seq").alias("first_seq"))  # combined before the shuffle
+    known = asked.join(firsts, ["run", "work_key"])
+    known = known.withColumn("live", ~F.col("cached") & (~F.col("found") | (F.col("seq") == F.col("first_seq"))))
+    if limit:
+        # The last live request that is used: a group limit below the shuffle leaves `limit` rows a run.
+        order = Window.partitionBy("run").orderBy("seq")
+        used = known.where("live").select("run", "seq").withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+        last = used.groupBy("run").agg(F.max("seq").alias("last_seq"))  # fewer live ones than the limit: all of them
+        known = known.join(last, "run", "left")
+        allowed = lambda c: F.col(c) <= F.col("last_seq")
+    else:
+        allowed = lambda c: F.lit(True)
     status = (
-        F.when(F.col("cached"), "cached").when(F.col("live") & F.col("allowed"), "used").when(F.col("live"), "blocked")
-        .when(got, "cached").otherwise("blocked")
+        F.when(F.col("cached"), "cached").when(F.col("live") & allowed("seq"), "used").when(F.col("live"), "blocked")
+        .when(allowed("first_seq"), "cached").otherwise("blocked")
     )
-    return ranked.withColumn("status", status).drop("live", "rank", "allowed")
+    return known.withColumn("status", status).select(*asked.columns, "status")
 
 
 def budget(statuses: DataFrame, limit: int = fixed.QUERY_LIMIT) -> DataFrame:

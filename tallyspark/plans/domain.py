@@ -61,17 +61,19 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as positions; prices are fixed shares of the line's price."""
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    # Names are made once for each part, not for each line.
+    plain = work_name(F.col("p_name"))
+    forms = {"plain": plain, "other": work_name(F.col("p_name"), OTHER_FORMS), "upper": F.concat(F.upper(plain), F.lit(",  ")), "p_unit": pick(RAW_UNITS, F.col("p_size"))}
+    part = read(spark, sf_dir, "part").select("p_partkey", *(c.alias(k) for k, c in forms.items()))
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     form = F.col("l_linenumber") % 3
-    plain = work_name(F.col("p_name"))
-    name = F.when(form == 0, plain).when(form == 1, work_name(F.col("p_name"), OTHER_FORMS)).otherwise(F.concat(F.upper(plain), F.lit(",  ")))
+    name = F.when(form == 0, F.col("plain")).when(form == 1, F.col("other")).otherwise(F.col("upper"))
     share = lambda s: (price * F.lit(s).cast("decimal(4,3)")).cast(MONEY)
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("object_id"), F.col("l_linestatus").alias("estimate_id"), F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("estimate_ord"),
         F.col("l_returnflag").alias("division_id"), F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3).alias("division_ord"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price).alias("position_id"), F.col("l_linenumber").alias("ordinal"), name.alias("name"),
-        pick(RAW_UNITS, F.col("p_size")).alias("unit"), F.col("l_quantity").cast(MONEY).alias("quantity"),
+        F.col("p_unit").alias("unit"), F.col("l_quantity").cast(MONEY).alias("quantity"),
         share("0.010").alias("labor_price"), share("0.005").alias("material_price"), share("0.002").alias("machines_price"), (F.col("l_linenumber") == 7).alias("manual"),
     )
 
@@ -87,7 +89,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed prices for every tenth part, and codes that the base does not know."""
+    """Changed prices for every tenth part (few rows of a catalogue have any), and codes that
+    the base does not know."""
     c = catalogue(spark, sf_dir).where(F.col("ord") % 10 == 0)
     more = {"labor": (F.col("labor") + 1).cast(MONEY), "unit": F.lit("кв. м"), "category": F.when(F.col("ord") % 20 == 0, "").otherwise("ЗМІНА")}
     changed = c.withColumns(more)
@@ -96,19 +99,20 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices paid: positions with the supplier's place and the order's date."""
+    """Prices paid: positions with the supplier's place and the order's date. Works on parts of
+    sizes that three divides were never paid for, so that other sources have something to price."""
     from tallyspark.functions import text as T
 
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    name, unit = work_name(F.col("p_name")), pick(UNITS, F.col("p_size"))
+    part = read(spark, sf_dir, "part").where(F.col("p_size") % 3 != 0).select("p_partkey", name.alias("name"), unit.alias("unit"), T.work_key(name, unit).alias("work_key"))
     order = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     joined = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     share = lambda s: (price * F.lit(s).cast("decimal(4,3)")).cast(MONEY)
-    return joined.where(F.col("p_size") % 3 != 0).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price).alias("id"), T.work_key(work_name(F.col("p_name")), pick(UNITS, F.col("p_size"))).alias("work_key"),
-        work_name(F.col("p_name")).alias("name"), pick(UNITS, F.col("p_size")).alias("unit"), pick(PLACES, F.col("s_nationkey")).alias("city"), pick(AREAS, F.col("s_suppkey")).alias("region"),
+    return joined.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price).alias("id"), "work_key", "name", "unit", pick(PLACES, F.col("s_nationkey")).alias("city"), pick(AREAS, F.col("s_suppkey")).alias("region"),
         share("0.010").alias("labor_price"), share("0.005").alias("material_price"), share("0.002").alias("machines_price"), F.col("o_orderdate").alias("created_at"),
     )
 
@@ -120,8 +124,8 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = work_name(F.col("p_name"))
     form = F.col("p_partkey") % 5
     text = (
-        F.when(form == 0, F.concat(name, F.lit(" — ціна від "), n, F.lit(" грн/м2, роботи під ключ")))
-        .when(form == 1, F.concat(F.lit("Купити "), F.lower(name), F.lit(", "), n, F.lit(" грн за м.кв, в наявності, доставка")))
+        F.when(form == 0, F.concat(name, F.lit(" — "), n, F.lit(" грн/м2, роботи з гарантією")))
+        .when(form == 1, F.concat(F.lit("Купити "), F.lower(name), F.lit(" по "), n, F.lit(" грн за м.кв, товар з доставкою")))
         .when(form == 2, F.concat(name, F.lit(" "), low, F.lit("-"), high, F.lit(" грн/шт")))
         .when(form == 3, F.concat(name, F.lit(": "), n, F.lit(" грн/м.п, або "), high, F.lit(",50 грн монтаж")))
         .otherwise(F.concat(name, F.lit(" без ціни")))
@@ -151,7 +155,25 @@ def list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def price_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price lists as HTML: fifty parts a page, five sites; every third page names no prices."""
+    n = F.col("p_partkey")
+    page = F.floor(n / 50)
+    order = F.floor(page / 5)
+    price = F.when(order % 3 == 1, "за домовленістю").otherwise(F.concat(F.col("p_retailprice").cast("int").cast("string"), F.lit(" грн")))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(work_name(F.col("p_name"))), cell(pick(RAW_UNITS, F.col("p_size"))), cell(price), F.lit("</tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), row.alias("row")))), lambda x: x["row"]), "")
+    pages = read(spark, sf_dir, "part").groupBy(page.alias("page_id"), (page % 5).alias("site"), order.alias("page_ord")).agg(rows.alias("rows"))
+    title = F.concat(F.lit("<h2>Розділ "), F.col("page_id").cast("string"), F.lit("</h2><table>"))
+    return pages.select(
+        "page_id", F.concat(F.lit("site"), F.col("site").cast("string")).alias("site"), "page_ord", F.concat(F.lit("https://site"), F.col("site").cast("string"), F.lit(".example/"), F.col("page_ord").cast("string")).alias("url"),
+        F.concat(title, "rows", F.lit("</table>")).alias("html"),
+    )
+
+
 def site_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One site's price list: every third part, its price a little above the catalogue's."""
+    """One site's price list: every third part (a site offers a share of all works), its price
+    a little above the catalogue's."""
     c = catalogue(spark, sf_dir).where(F.col("ord") % 3 == 0)
     return c.select("ord", "name", "unit", (F.col("labor") + F.lit("10.50").cast("decimal(6,2)")).cast(MONEY).alias("price"), "category", F.lit("site").alias("site"))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspark.functions import fixed
 from tallyspark.functions import similarity as S
@@ -18,6 +17,7 @@ from tallyspark.plans import oracle as O
 from tallyspark.sources import bills as bill_sources
 from tallyspark.sources import pages as page_sources
 from tallyspark.sources import search as search_sources
+from tallyspark.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,6 +63,25 @@ def b_text_forms(spark, sf_dir):
     )
 
 
+_MARKED = {"é": "e\u0301", "è": "e\u0300", "à": "a\u0300", "ç": "c\u0327", "ñ": "n\u0303", "ü": "u\u0308", "ö": "o\u0308", "ä": "a\u0308", "ó": "o\u0301", "í": "i\u0301", "n ": "n\u0323\u0307 "}
+
+
+def _marked_sql(x: str) -> str:
+    for letter, marked in _MARKED.items():
+        x = f"replace({x}, {O.quoted(letter)}, {O.quoted(marked)})"
+    return x
+
+
+@query(f"""SELECT doc_id, md5({O.soft('text')}) AS soft, md5({O.clean('text')}) AS clean FROM (SELECT doc_id, nfc_normalize({_marked_sql('text')}) AS text FROM documents)""")
+def b_composed_forms(spark, sf_dir):
+    """Texts whose letters are written with combining marks, composed and cleaned."""
+    text = F.col("text")
+    for letter, marked in _MARKED.items():
+        text = F.replace(text, F.lit(letter), F.lit(marked))
+    docs = T.compose_all(D.read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "text")
+    return docs.select("doc_id", F.md5(T.soft_clean(F.col("text"))).alias("soft"), F.md5(T.clean_text(F.col("text"))).alias("clean"))
+
+
 _UNIT_FORMS = ["кв.м", "КВ. М.", "м²", "м кв", "куб. м", "м³", "пог. м", "п.м", "шт.", "к-т", "вимір.", "комплектів", "kW", "щось", "струм ч", ""]
 _NUMBERS = ["9,690009", "1 234,56", "13.84287", "", "не число", "1e3", "-5", "007", ".5", "12-3"]
 
@@ -98,6 +117,24 @@ def b_region_factor(spark, sf_dir):
     return D.objects(spark, sf_dir).select("object_id", factor.alias("factor"), label.alias("label"))
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 1 + n_nationkey / 100::DOUBLE ELSE 1 + r_regionkey / 10::DOUBLE END AS factor, CASE c_custkey % 3 WHEN 0 THEN 'місто ' || n_name ELSE r_name || ' область' END AS label
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def b_region_factor_file(spark, sf_dir):
+    """Factors out of a file of two maps, for cities, regions, and regions that are only named in part."""
+    nation, region = D.read(spark, sf_dir, "nation"), D.read(spark, sf_dir, "region").withColumn("area", F.concat("r_name", F.lit(" область")))
+    entries = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
+    cities = nation.agg(entries(F.col("n_name"), 1 + F.col("n_nationkey") / 100).alias("cities"))
+    areas = region.agg(entries(F.col("area"), 1 + F.col("r_regionkey") / 10).alias("regions"))
+    path = shared_path(spark, "factors")
+    cities.join(areas, F.lit(True)).select(F.to_json(F.struct("cities", "regions"))).write.text(path)  # one row
+    city_map, area_map = catalog.factor_maps(catalog.region_table(spark, path))
+    of = D.read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    form = F.col("c_custkey") % 3
+    place = F.when(form == 1, F.col("area")).when(form == 2, F.concat(F.lower("r_name"), F.lit(" край"))).otherwise("")
+    factor, label = catalog.region_factor(F.when(form == 0, F.col("n_name")).otherwise(""), place, city_map, area_map)
+    return of.select("c_custkey", factor.alias("factor"), label.alias("label"))
+
+
 @query(O.with_views("""SELECT object_id, CAST(CASE WHEN object_id % 4 < 2 THEN 15 ELSE o_custkey % 20 END AS DOUBLE) AS overhead_pct, CAST(8 AS DOUBLE) AS profit_pct, CAST(2 AS DOUBLE) AS admin_pct,
     CAST(0 AS DOUBLE) AS risk_pct, CAST(CASE WHEN object_id % 4 < 2 THEN 20 ELSE 7 END AS DOUBLE) AS vat_pct FROM objects""", "objects"))
 def b_settings(spark, sf_dir):
@@ -195,6 +232,32 @@ def c_page_rows(spark, sf_dir):
     return rows.select("page_id", "row_no", F.size("cells").alias("n_cells"), F.md5(F.array_join("cells", "\n")).alias("cells"), "category")
 
 
+_ON_PAGES = f"""SELECT p_partkey, p_partkey // 50 AS page_id, 'site' || (p_partkey // 50 % 5) AS site, p_partkey // 250 AS page_ord, p_partkey // 250 % 3 <> 1 AS priced, {O.work_name('p_name')} AS name, {O.pick(D.RAW_UNITS, 'p_size')} AS raw_unit,
+    CAST(floor(p_retailprice) AS INT) AS price FROM part"""
+
+
+@query(O.with_views(f"""SELECT site, name, {O.unit('raw_unit')} AS unit, CAST(price AS DOUBLE) AS price, page_id, 'Розділ ' || page_id AS category FROM (SELECT *, row_number() OVER (PARTITION BY site, {O.phrase('name')}, {O.unit('raw_unit')}, price ORDER BY page_ord, p_partkey) AS k FROM on_pages WHERE priced) WHERE k = 1""", on_pages=_ON_PAGES))
+def c_site_prices(spark, sf_dir):
+    """Price pages of sites, read as HTML: each work and price once, from the page that has it first."""
+    rows = extract.first_of_each(page_sources.site_prices(D.price_pages(spark, sf_dir)), "page_ord", "row_no")
+    return rows.select("site", "name", "unit", *nums("price"), "page_id", "category")
+
+
+@query(O.with_views("""SELECT site, count(DISTINCT page_id) FILTER (priced OR page_ord = 0) AS pages, count(*) FILTER (priced) AS rows FROM on_pages GROUP BY site""", on_pages=_ON_PAGES))
+def c_site_pages(spark, sf_dir):
+    """How many pages and rows make up each site's list."""
+    pages = D.price_pages(spark, sf_dir)
+    return page_sources.site_page_counts(pages, page_sources.site_prices(pages))
+
+
+@query(O.with_views("""SELECT page_id, CAST(length('<h2>Розділ </h2><table></table>' || page_id) + sum(length('<tr><td></td><td></td><td></td></tr>' || name || raw_unit || CASE WHEN priced THEN price || ' грн' ELSE 'за домовленістю' END)) AS INT) AS length,
+    CAST(count(*) FILTER (priced) AS INT) AS price_mentions, CAST(count(*) FILTER (raw_unit IN ('кв.м', 'пог. м')) AS INT) AS unit_mentions, 4 * count(*) AS rows, 2 * count(*) FILTER (priced) AS priced_rows FROM on_pages GROUP BY page_id""", on_pages=_ON_PAGES))
+def c_price_page_diagnosis(spark, sf_dir):
+    """Mentions of prices and units on price pages, and the rows that hold a price."""
+    pages = D.price_pages(spark, sf_dir)
+    return extract.page_diagnosis(pages, page_sources.page_rows(pages))
+
+
 @query(r"""WITH sites AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/The' AS url, replace(html, 'href="/', 'href="/The/') AS html FROM pages),
     x AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1) AS hs FROM sites), l AS (SELECT page_id, url, unnest(hs) AS h, unnest(range(len(hs))) AS o FROM x),
     a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_replace(h, '#.*$', '') AS link, min(o) AS o FROM l WHERE starts_with(h, '/The/') AND rtrim(regexp_replace(regexp_replace(h, '#.*$', ''), '\?.*$', ''), '/') <> '/The' GROUP BY ALL)
@@ -231,7 +294,8 @@ def a_search_results(spark, sf_dir):
 
 _OVERLAID = f"""SELECT coalesce(o.code, b.code) AS code, CASE WHEN o.code IS NOT NULL THEN o.name ELSE b.name END AS name, CASE WHEN o.code IS NOT NULL THEN {O.unit('o.unit')} ELSE b.unit END AS unit,
     coalesce(nullif(o.category, ''), b.category, '') AS category, coalesce(o.labor, b.labor) AS labor, coalesce(o.material, b.material) AS material, coalesce(o.machines, b.machines) AS machines,
-    CASE WHEN o.code IS NOT NULL THEN 'override' ELSE 'base' END AS source, b.ord AS ord FROM catalogue b FULL JOIN overrides o ON b.code = o.code"""
+    CASE WHEN o.code IS NOT NULL THEN 'override' ELSE 'base' END AS source,
+    coalesce(b.ord, (SELECT max(ord) FROM catalogue) + row_number() OVER (PARTITION BY b.code IS NULL ORDER BY o.code)) AS ord FROM catalogue b FULL JOIN overrides o ON b.code = o.code"""
 
 
 @query(O.with_views(f"SELECT code, name, unit, category, {sql_nums(*PRICES)}, source, ord FROM over_", "catalogue", "overrides", over_=_OVERLAID))
@@ -248,13 +312,12 @@ def a_categories(spark, sf_dir):
 
 @query(O.with_views(f"""SELECT code, name, {O.unit('unit')} AS unit, {sql_nums('labor')} FROM (SELECT * FROM overrides WHERE code NOT IN (SELECT code FROM overrides WHERE code LIKE 'P%20'))
     WHERE code NOT IN ('N100')
-    UNION ALL SELECT code, name, {O.unit('unit')}, CAST(labor + 5 AS DOUBLE) FROM overrides WHERE code LIKE 'P%20' UNION ALL SELECT 'U' || lpad(CAST(row_number() OVER (ORDER BY code) AS VARCHAR), 4, '0'), name, {O.unit('unit')}, CAST(labor AS DOUBLE) FROM overrides WHERE code LIKE 'N%'""", "catalogue", "overrides"))
+    UNION ALL SELECT code, name, {O.unit('unit')}, CAST(labor + 5 AS DOUBLE) FROM overrides WHERE code LIKE 'P%20' UNION ALL SELECT 'U' || lpad(CAST(row_number() OVER (ORDER BY CAST(substr(code, 2) AS BIGINT)) AS VARCHAR), 4, '0'), name, {O.unit('unit')}, CAST(labor AS DOUBLE) FROM overrides WHERE code LIKE 'N%'""", "catalogue", "overrides"))
 def a_override_upsert(spark, sf_dir):
     """Overrides after changes, additions without a code, and a deletion."""
     old = D.overrides(spark, sf_dir).withColumns({"unit": T.normalise_unit(F.col("unit")), "updated_at": F.lit("2024-01-01").cast("timestamp")})
     changed = old.where(F.col("code").like("P%20")).withColumns({"labor": (F.col("labor") + 5).cast(D.MONEY), "updated_at": F.lit("2024-02-01").cast("timestamp")})
-    order = F.rank().over(Window.orderBy("code"))
-    added = old.where(F.col("code").like("N%")).withColumn("updated_at", F.timestamp_seconds(order)).withColumn("code", F.lit(""))
+    added = old.where(F.col("code").like("N%")).withColumn("updated_at", F.timestamp_seconds(F.substring("code", 2, 20).cast("long"))).withColumn("code", F.lit(""))
     blank = changed.withColumn("name", F.lit(" "))
     after = catalog.upsert(old, changed.union(added).union(blank), D.catalogue(spark, sf_dir))
     after = catalog.delete(after, spark.createDataFrame([("N100",)], "code string"))
@@ -348,7 +411,7 @@ def e_candidates(spark, sf_dir):
 _SEARCHED = f"SELECT *, row_number() OVER () AS qid FROM ({_FORMS} (SELECT DISTINCT lower(p_type) || ' ' || split_part({O.work_name('p_name', D.OTHER_FORMS)}, ' ', 2) AS name, '' AS unit FROM part))"
 _CATEGORY = f"SELECT DISTINCT qid, c.category FROM (SELECT qid, unnest(stems) AS q FROM asked), (SELECT category, unnest({O.stems('category')}) AS w FROM (SELECT DISTINCT category FROM catalogue)) c WHERE (starts_with(w, q) AND length(q) >= 4) OR (starts_with(q, w) AND length(w) >= 5) OR (length(q) >= 4 AND length(w) >= 4 AND {O.ratio('q', 'w')} >= CASE WHEN least(length(q), length(w)) < 6 THEN 90 ELSE 82 END)"
 _SEARCH_RAW = """SELECT c.qid, a.name AS q_name, i.name AS name, i.unit AS unit, 78.0 * coverage + 0.22 * sim AS raw FROM cover c JOIN asked a USING (qid) JOIN items i USING (iid) JOIN sim ON p = a.phrase AND q = i.phrase"""
-_SEARCH = """SELECT q_name AS text, c.code, round(least(greatest(raw, CASE WHEN g.qid IS NOT NULL THEN 63.0 ELSE 0.0 END), 100.0), 1) AS score, c.name AS match_name, c.ord, greatest(raw, CASE WHEN g.qid IS NOT NULL THEN 63.0 ELSE 0.0 END) AS full_
+_SEARCH = """SELECT q_name AS text, c.code, round(least(greatest(raw, CASE WHEN g.qid IS NOT NULL THEN 63.0 ELSE 0.0 END), 100.0), 1) AS score, c.name AS match_name, c.ord, c.category AS category, greatest(raw, CASE WHEN g.qid IS NOT NULL THEN 63.0 ELSE 0.0 END) AS full_
     FROM raw r JOIN catalogue c ON c.name = r.name AND c.unit = r.unit LEFT JOIN cat g ON g.qid = r.qid AND g.category = c.category"""
 
 
@@ -361,7 +424,17 @@ def e_search(spark, sf_dir):
     return match.search(texts, D.catalogue(spark, sf_dir)).select("text", "rank", "code", "score", "match_name")
 
 
-@query()
+def _searched(names: str) -> dict[str, str]:
+    """Views of a search for the names that a query gives."""
+    return _MATCHING | {"asked": f"SELECT *, row_number() OVER () AS qid FROM ({_FORMS} ({names}))", "cat": _CATEGORY, "raw": _SEARCH_RAW}
+
+
+_THINGS = f"SELECT DISTINCT split_part({O.work_name('p_name', D.OTHER_FORMS)}, ' ', 2) AS name, '' AS unit FROM part"
+_FETCHED = f"SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, length(match_name), ord) AS fetched FROM ({_SEARCH}) WHERE full_ >= 55"
+_IN_CATEGORY = f"SELECT text, CAST(row_number() OVER (PARTITION BY text ORDER BY fetched) AS INT) AS rank, code, score, match_name FROM ({_FETCHED}) WHERE fetched <= 60 AND category = 'PROMO'"
+
+
+@query(O.with_views(f"SELECT * FROM ({_IN_CATEGORY}) WHERE rank <= 20", "catalogue", **_searched(_THINGS)))
 def e_search_in_category(spark, sf_dir):
     """Catalogue search within a category: filtered after three times the limit is fetched."""
     text = F.split(D.work_name(F.col("p_name"), D.OTHER_FORMS), " ")[1]
@@ -369,13 +442,34 @@ def e_search_in_category(spark, sf_dir):
     return match.search(texts, D.catalogue(spark, sf_dir), limit=20, category="PROMO").select("text", "rank", "code", "score", "match_name")
 
 
+@query(O.with_views(f"""SELECT name AS text, count(r.text) AS total FROM asked LEFT JOIN (SELECT * FROM ({_IN_CATEGORY}) WHERE rank <= 20) r ON r.text = asked.name GROUP BY name
+    UNION ALL SELECT '', count(*) FROM catalogue WHERE category = 'PROMO'""", "catalogue", **_searched(_THINGS + " UNION SELECT DISTINCT lower(p_brand), '' FROM part")))
+def e_search_totals(spark, sf_dir):
+    """How many items searches within a category give, for known and unknown texts and for none."""
+    part = D.read(spark, sf_dir, "part")
+    texts = part.select(F.split(D.work_name(F.col("p_name"), D.OTHER_FORMS), " ")[1].alias("text")).union(part.select(F.lower("p_brand"))).distinct()
+    return match.search_totals(texts.union(spark.createDataFrame([(" ",)], "text string")), D.catalogue(spark, sf_dir), category="PROMO")
+
+
 _SITE_CATALOGUE = "SELECT ord, 'site-' || ord AS code, name, unit, category, price AS labor, CAST(0 AS DECIMAL(18,6)) AS material, CAST(0 AS DECIMAL(18,6)) AS machines FROM site_prices"
 
 
 def _on_site(parts: dict[str, str]) -> dict[str, str]:
+    return {"site_items": _SITE_CATALOGUE} | _over("site_items", parts)
+
+
+def _over(view: str, parts: dict[str, str]) -> dict[str, str]:
+    """The same views over other items than the catalogue's."""
     import re
 
-    return {"site_items": _SITE_CATALOGUE} | {k: re.sub(r"\bcatalogue\b", "site_items", v) for k, v in parts.items()}
+    return {k: re.sub(r"\bcatalogue\b", view, v) for k, v in parts.items()}
+
+
+@query(O.with_views(f"SELECT name, unit, code, score, match_name, match_unit, {sql_nums(*PRICES)} FROM best", "catalogue", "overrides", "positions", over_=_OVERLAID, **_over("over_", _MATCHED)))
+def e_match_overlaid(spark, sf_dir):
+    """The best item of each name and unit, out of the catalogue with its overrides."""
+    items = catalog.overlay(D.catalogue(spark, sf_dir), D.overrides(spark, sf_dir))
+    return match.match(D.positions(spark, sf_dir), items).select("name", "unit", "code", "score", "match_name", "match_unit", *nums(*PRICES))
 
 
 @query(O.with_views(f"SELECT name, unit, code, score, match_name, {sql_nums('labor')} FROM best", "catalogue", "positions", "site_prices", **_on_site(_MATCHED)))
@@ -426,6 +520,14 @@ def e_review_list(spark, sf_dir):
     return out.select("position_id", "match_code", "match_score", F.explode("candidates").alias("c")).select("position_id", "match_code", "match_score", "c.rank", "c.code", "c.score")
 
 
+@query(O.with_views(f"""SELECT position_id, CAST(rank AS INT) AS rank, code, match_name, score, {', '.join(f"CAST({_scaled('r.' + p)} AS DOUBLE) AS {p}" for p in PRICES)} FROM placed JOIN ({_RANKED}) r ON r.name = placed.name AND r.unit = placed.unit AND rank <= 6""",
+                    "catalogue", "positions", "objects", **_MATCHING, placed=_PLACED))
+def e_position_candidates(spark, sf_dir):
+    """The six best items of every position, with prices scaled to its place."""
+    out = match.position_candidates(_placed(spark, sf_dir), D.catalogue(spark, sf_dir))
+    return out.select("position_id", "rank", "code", "match_name", "score", *nums(*PRICES))
+
+
 _CHOSEN = "SELECT p.*, 'P' || (ordinal * 7) AS chosen FROM placed p WHERE ordinal <= 3"
 
 
@@ -462,7 +564,7 @@ _HISTORY = {"placed": _PLACED, "wanted": _WANTED, **_SCOPES, "past": _PAST}
 @query(O.with_views(f"SELECT work_key, city, region, scope, {sql_nums(*PRICES)}, samples, last_used FROM past", "positions", "objects", "history", **_HISTORY))
 def f_history_price(spark, sf_dir):
     """Medians of the last prices paid, by city, region or anywhere."""
-    asked = _placed(spark, sf_dir).select(T.work_key(F.col("name"), F.col("unit")).alias("work_key"), "city", "region")
+    asked = _placed(spark, sf_dir).select("name", "unit", "city", "region").distinct().select(T.work_key(F.col("name"), F.col("unit")).alias("work_key"), "city", "region")
     out = pricing.history_price(asked, D.history(spark, sf_dir))
     return out.select("work_key", "city", "region", "scope", *nums(*PRICES), "samples", "last_used")
 
@@ -724,6 +826,30 @@ def h_save_history(spark, sf_dir):
     return pricing.history_facts(_placed(spark, sf_dir)).select("position_id", "work_key", "name", "unit", "city", "region", *nums("labor_price"))
 
 
+@query(O.with_views(f"""SELECT work_key, city, count(*) AS n, CAST(sum(labor_price) AS DOUBLE) AS labor, count(DISTINCT created_at) AS days FROM (SELECT {O.key('name', 'unit')} AS work_key, city, labor_price, material_price, machines_price, CAST('2024-01-0' || CASE WHEN ordinal <= 3 THEN '1' ELSE '2' END AS DATE) AS created_at
+    FROM placed) WHERE labor_price <> 0 OR material_price <> 0 OR machines_price <> 0 GROUP BY ALL""", "positions", "objects", placed=_PLACED))
+def h_append_history(spark, sf_dir):
+    """Facts appended to a history in two goes, and read back."""
+    path, early = shared_path(spark, "history"), F.col("ordinal") <= 3
+    p = _placed(spark, sf_dir).withColumn("created_at", F.when(early, "2024-01-01").otherwise("2024-01-02").cast("timestamp"))
+    for part in (p.where(early), p.where(~early)):
+        pricing.append_history(pricing.history_facts(part), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("work_key", "city").agg(F.count("*").alias("n"), num(F.sum("labor_price")).alias("labor"), F.count_distinct("created_at").alias("days"))
+
+
+@query(O.with_views(f"""SELECT site, row_no AS ord, name, unit, CAST(price + CASE site WHEN 'site1' THEN 1 ELSE 0 END AS DOUBLE) AS price, {O.key('name', 'unit')} AS work_key
+    FROM (SELECT *, row_number() OVER (PARTITION BY site, {O.phrase('name')}, unit, price ORDER BY row_no) AS k FROM listed) WHERE k = 1 AND site IN ('site1', 'site2')""", cells=_CELLS, listed=_LISTED))
+def h_site_snapshot(spark, sf_dir):
+    """Snapshots of all sites are stored, one of them is replaced, two are read back."""
+    path = shared_path(spark, "site_prices")
+    rows = extract.first_of_each(extract.price_rows(D.list_cells(spark, sf_dir)), "row_no").withColumnRenamed("row_no", "ord")
+    pricing.overwrite_site(rows, path)
+    pricing.overwrite_site(rows.where("site = 'site1'").withColumn("price", F.col("price") + 1), path)
+    stored = pricing.read_site(spark, path, "site1").union(pricing.read_site(spark, path, "site2"))
+    return stored.select("site", "ord", "name", "unit", *nums("price"), "work_key")
+
+
 @query(O.with_views("SELECT id, name, created_at FROM history WHERE name LIKE '%розеток%' ORDER BY created_at DESC, id DESC LIMIT 100", "history"))
 def h_history_browse(spark, sf_dir):
     """The latest hundred facts about sockets."""
@@ -763,7 +889,7 @@ def d_table_positions(spark, sf_dir):
     return out.select("doc_id", "number", "code", "title", "name", "unit", *nums("quantity"), "object_name", "city", "region")
 
 
-@query(O.with_views("SELECT doc_id, number, dense_rank() OVER (PARTITION BY doc_id ORDER BY estimate_ord) AS estimate_ord, code AS estimate_code, title AS estimate_title, 'Роботи' AS division_title, number AS ordinal FROM bill", "positions", bill=_BILL))
+@query(O.with_views("SELECT doc_id, number, dense_rank() OVER (PARTITION BY doc_id ORDER BY estimate_ord) AS estimate_ord, code AS estimate_code, title AS estimate_title, 'Роботи' AS division_title, CAST(row_number() OVER (PARTITION BY doc_id, estimate_ord ORDER BY number) AS INT) AS ordinal FROM bill", "positions", bill=_BILL))
 def d_import_plan(spark, sf_dir):
     """Estimates and divisions that an import opens."""
     p = bills.table_positions(_bill_cells(spark, sf_dir)).withColumn("seq", F.col("row_no"))
@@ -778,9 +904,54 @@ def d_preview(spark, sf_dir):
     return bills.statistics(bills.preview(p, D.catalogue(spark, sf_dir)))
 
 
-def _bill_lines(spark, sf_dir) -> DataFrame:
-    """Printed bills: header, headings, wrapped names, numbers that are not next, an end."""
+_IN_ORDER = "row_number() over (partition by object_id order by estimate_ord, division_ord, ordinal, position_id)"
+
+
+def _division_cells(spark, sf_dir) -> DataFrame:
+    """Bills with estimates and divisions; the first division's positions stand directly in their
+    estimate, and even objects begin with an empty division that no estimate holds."""
+    p = D.positions(spark, sf_dir).withColumns({"n": F.expr(_IN_ORDER), "doc_id": F.col("object_id").cast("string")})
+    row = lambda at, *cells: [at.cast("int").alias("row_no"), F.array(*cells).alias("cells")]
+    q = F.replace(F.col("quantity").cast("decimal(18,1)").cast("string"), F.lit("."), F.lit(","))
+    body = p.select("doc_id", *row(F.col("n") * 10, F.col("n").cast("string"), F.col("name"), F.col("unit"), q))
+    first = lambda *keys: p.groupBy("doc_id", *keys).agg(F.min("n").alias("n"))
+    title = F.concat(F.lit("Локальний кошторис 0"), F.col("estimate_ord").cast("string"), F.lit(" на "), "estimate_id")
+    estimates = first("estimate_ord", "estimate_id").select("doc_id", *row(F.col("n") * 10 - 6, title))
+    title = F.concat(F.lit("Розділ "), F.col("division_ord").cast("string"), F.lit(". роботи "), "division_id")
+    divisions = first("estimate_ord", "division_ord", "division_id").where("division_id <> 'A'").select("doc_id", *row(F.col("n") * 10 - 3, title))
+    docs = p.select("doc_id", "object_id").distinct()
+    top = docs.select("doc_id", *row(F.lit(1), *map(F.lit, ("№", "Найменування робіт", "Одиниця виміру", "Кількість"))))
+    empty = docs.where("object_id % 2 = 0").select("doc_id", *row(F.lit(2), F.lit("Розділ 9. Порожній")))
+    return bill_sources.clean_cells(body.union(estimates).union(divisions).union(top).union(empty))
+
+
+@query(O.with_views(f"""SELECT CAST(object_id AS VARCHAR) AS doc_id, CAST({_IN_ORDER} AS INT) AS number, dense_rank() OVER (PARTITION BY object_id ORDER BY estimate_ord) + (1 - object_id % 2) AS estimate_ord, '0' || estimate_ord AS estimate_code, estimate_id AS estimate_title,
+    dense_rank() OVER (PARTITION BY object_id ORDER BY estimate_ord, division_ord) + (1 - object_id % 2) AS division_ord, CASE division_id WHEN 'A' THEN '' ELSE CAST(division_ord AS VARCHAR) END AS division_code, CASE division_id WHEN 'A' THEN 'Роботи' ELSE 'роботи ' || division_id END AS division_title,
+    CAST(row_number() OVER (PARTITION BY object_id, estimate_ord, division_ord ORDER BY ordinal, position_id) AS INT) AS ordinal, {O.clean('name')} AS name FROM positions""", "positions"))
+def d_division_plan(spark, sf_dir):
+    """What an import opens for bills with divisions, some empty, some outside any estimate."""
+    p = bills.table_positions(_division_cells(spark, sf_dir)).withColumn("seq", F.col("row_no"))
+    out = bills.import_plan(p).withColumns({c: F.col(c).cast("long") for c in ("estimate_ord", "division_ord")})
+    return out.select("doc_id", "number", "estimate_ord", "estimate_code", "estimate_title", "division_ord", "division_code", "division_title", "ordinal", "name")
+
+
+@query(O.with_views(f"""SELECT CAST(object_id AS VARCHAR) AS doc_id, CAST({_IN_ORDER} AS INT) AS number, {O.clean("name || '; «' || chr(34) || division_id || chr(34) || '»'")} AS name, {O.unit('unit')} AS unit, CAST(quantity AS DOUBLE) AS quantity FROM positions""", "positions"))
+def d_quoted_positions(spark, sf_dir):
+    """Bills as delimited texts whose names hold the delimiter and quotes."""
+    p = D.positions(spark, sf_dir).withColumns({"n": F.expr(_IN_ORDER), "doc_id": F.col("object_id").cast("string")})
+    q = F.replace(F.col("quantity").cast("decimal(18,1)").cast("string"), F.lit("."), F.lit(","))
+    name = F.concat(F.lit('"'), "name", F.lit('; «""'), "division_id", F.lit('""»"'))
+    body = p.select("doc_id", F.col("n").cast("int").alias("row_no"), F.concat_ws(";", F.col("n").cast("string"), name, "unit", F.concat(F.lit('"'), q, F.lit('"'))).alias("line"))
+    top = p.select("doc_id").distinct().select("doc_id", F.lit(0).alias("row_no"), F.lit('№;"Найменування, робіт";Одиниця виміру;Кількість').alias("line"))
+    return bills.table_positions(bill_sources.split_cells(body.union(top))).select("doc_id", "number", "name", "unit", *nums("quantity"))
+
+
+def _bill_lines(spark, sf_dir, unknown: int | None = None) -> DataFrame:
+    """Printed bills: header, headings, wrapped names, numbers that are not next, an end. Every
+    seventh position, from `unknown`, has a unit that no list knows."""
     p = D.positions(spark, sf_dir)
+    if unknown is not None:
+        p = p.withColumn("unit", F.when(F.expr(_IN_ORDER) % 7 == unknown, "дивн").otherwise(F.col("unit")))
     rows = p.withColumn("n", F.expr("row_number() over (partition by object_id order by estimate_ord, division_ord, ordinal, position_id)"))
     rows = rows.withColumns({"doc_id": F.col("object_id").cast("string"), "q": F.replace(F.col("quantity").cast("decimal(18,1)").cast("string"), F.lit("."), F.lit(","))})
     line = lambda k, text, cond=None: F.when(F.lit(True) if cond is None else cond, F.struct(F.lit(k).alias("k"), text.alias("line")))
@@ -809,6 +980,13 @@ def d_line_positions(spark, sf_dir):
     return bills.line_positions(kept)[0].select("doc_id", "number", "code", "title", "name", "unit", *nums("quantity"))
 
 
+@query(O.with_views(f"""SELECT doc_id, CAST(n AS INT) AS number, rtrim(substr(name || CASE WHEN n % 4 = 0 THEN ' 1000 штук окремих деталей з матеріалом дивн ' ELSE ' дивн ' END || replace(CAST(CAST(quantity AS DECIMAL(18,1)) AS VARCHAR), '.', ','), 1, 90)) AS text FROM lines_ WHERE n % 7 = 3""", "positions", lines_=_PRINTED_LINES))
+def d_line_warnings(spark, sf_dir):
+    """Positions of printed bills whose end is not read."""
+    kept, _ = bill_sources.content_lines(_bill_lines(spark, sf_dir, unknown=3))
+    return bills.line_positions(kept)[1].select("doc_id", "number", F.rtrim("text").alias("text"))
+
+
 @query(O.with_views("SELECT DISTINCT CAST(object_id AS VARCHAR) AS doc_id, 'Капітальний ремонт школи' AS object_name, 'м. Полтава, Полтавська область' AS address, 'Полтава' AS city, 'Полтавська область' AS region, '118_ДЦ_ВОБ' AS doc_code FROM positions", "positions"))
 def d_line_headers(spark, sf_dir):
     """Object headers and document codes of printed bills."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
@@ -16,28 +16,49 @@ CODE = r"(?U)\b(\d{2,5}[_-][А-ЯЇІЄҐA-Z]{1,5}[_-][А-ЯЇІЄҐA-Z]{2,6})\b
 FOOTER = "Програмний комплекс"
 
 
+#: A quoted part: doubled quotes inside stand for one. No part of it is tried twice.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+#: A line of a text that starts with a line end; quotes at the start of a cell hold line ends and delimiters.
+_LINE = rf'\n([^\n"]*+(?:(?:(?<=[\n;,\t]){_QUOTED}|")[^\n"]*+)*+)'
+
+
+def _cells(line: Column, delimiter: str) -> Column:
+    """Cells of a line; a cell that starts with a quote goes to the quote that closes it."""
+    d = F.lit(delimiter)
+    raw = F.regexp_extract_all(F.concat(d, line), F.lit(rf"{delimiter}((?:{_QUOTED})?+[^{delimiter}]*+)"), F.lit(1))
+    plain = lambda c: F.replace(F.regexp_replace(c, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?+', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.when(F.startswith(c, F.lit('"')), plain(c)).otherwise(c))
+
+
 def split_cells(lines: DataFrame) -> DataFrame:
     """Lines of delimited text -> cells. lines: doc_id, row_no, line. The delimiter of a
-    document is the one of ; , tab that its first line has most of, ; if none."""
-    first = F.min_by("line", "row_no")
+    document is the one of ; , tab that its first line has most of outside quotes, ; if none.
+    Cells may be quoted, with delimiters and doubled quotes inside."""
+    lines = T.compose_all(lines, "line")
+    first = F.regexp_replace(F.min_by("line", "row_no"), _QUOTED, "")
     n = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
     head = lines.groupBy("doc_id").agg(first.alias("head")).withColumns({"s": n(F.col("head"), ";"), "c": n(F.col("head"), ","), "t": n(F.col("head"), "\t")})
     best = F.when((F.col("s") >= F.col("c")) & (F.col("s") >= F.col("t")), ";").when(F.col("c") >= F.col("t"), ",").otherwise("\t")
     joined = lines.join(head.select("doc_id", best.alias("delimiter")), "doc_id")
-    raw = F.when(F.col("delimiter") == ";", F.split("line", ";")).when(F.col("delimiter") == ",", F.split("line", ",")).otherwise(F.split("line", "\t"))
-    return clean_cells(joined.select("doc_id", "row_no", F.transform(raw, lambda c: F.regexp_replace(c, '^"|"$', "")).alias("cells")))
+    line = F.col("line")
+    cells = F.when(F.col("delimiter") == ";", _cells(line, ";")).when(F.col("delimiter") == ",", _cells(line, ",")).otherwise(_cells(line, "\t"))
+    return clean_cells(joined.select("doc_id", "row_no", cells.alias("cells")))
 
 
 def clean_cells(rows: DataFrame) -> DataFrame:
     """Cells cleaned, rows without any text gone."""
-    return rows.withColumn("cells", F.transform("cells", lambda c: T.clean_text(c))).where(F.exists("cells", lambda c: c != ""))
+    return rows.withColumn("cells", T.clean_all(F.col("cells"))).where(F.exists("cells", lambda c: c != ""))
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    """doc_id, row_no, line of whole texts (doc_id, text); a quoted cell may go over lines."""
+    text = F.concat(F.lit("\n"), F.replace(F.regexp_replace("text", "^\ufeff", ""), F.lit("\r\n"), F.lit("\n")))
+    return texts.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(_LINE), F.lit(1))).alias("row_no", "line"))
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """Files of delimited text, a document each."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), "value")
-    lines = text.select("doc_id", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("row_no", "line"))
-    return split_cells(lines)
+    return split_cells(text_lines(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))))
 
 
 def content_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +66,7 @@ def content_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The code comes from the first footer that has one; footers and the print form go.
     """
-    clean = lines.select("doc_id", "line_no", T.soft_clean(F.col("line")).alias("line")).where(F.trim("line") != "")
+    clean = T.compose_all(lines, "line").select("doc_id", "line_no", T.soft_clean(F.col("line")).alias("line")).where(F.trim("line") != "")
     code = F.regexp_extract("line", CODE, 1)
     footer = clean.where(F.contains("line", F.lit(FOOTER)) & (code != ""))
     codes = footer.groupBy("doc_id").agg(F.min_by(code, "line_no").alias("doc_code"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from html import unescape
 
 import pandas as pd
@@ -37,7 +38,7 @@ def cells_of(html: str) -> list[tuple[list[str], str]]:
         if text and opened:
             opened[-1].append(text)
 
-    for slash, name, attrs, text in _PIECE.findall(html or ""):
+    for slash, name, attrs, text in _PIECE.findall(unicodedata.normalize("NFC", html or "")):
         if text:
             if not hidden:
                 (piece if heading is None else heading).append(text)
@@ -96,6 +97,14 @@ def site_prices(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "row_no", "name", "unit", "price", "category").join(pages.select("page_id", "site", "page_ord", "url"), "page_id")
 
 
+def site_page_counts(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """site, pages, rows: the pages that a site's list is made of: its first one, and others that
+    have a row. rows: those of site_prices."""
+    firsts = pages.groupBy("site").agg(F.min("page_ord").alias("page_ord"))
+    counted = rows.groupBy("site", "page_ord").agg(F.count("*").alias("rows"))
+    return firsts.join(counted, ["site", "page_ord"], "full").groupBy("site").agg(F.count("*").alias("pages"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
 def section_links(pages: DataFrame, most: int = 19) -> DataFrame:
     """page_id, ord, link: pages of the same host below the page's own path, first ones first."""
     href = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import compose_all
+
 #: provider -> (schema of the answer, path of the results, columns of title, snippet, url)
 SHAPES = {
     "serpapi": ("organic_results array<struct<title:string,snippet:string,link:string>>", "organic_results", ("title", "snippet", "link")),
@@ -30,7 +32,8 @@ def search_results(answers: DataFrame) -> DataFrame:
             parsed = parsed[step]
         found = F.when(F.col("provider") == name, F.transform(parsed, _row(keys))).otherwise(found)
     rest = [c for c in answers.columns if c != "answer"]
-    return answers.select(*rest, F.posexplode(found).alias("_at", "r")).select(*rest, (F.col("_at") + 1).alias("rank"), "r.*")
+    rows = answers.select(*rest, F.posexplode(found).alias("_at", "r")).select(*rest, (F.col("_at") + 1).alias("rank"), "r.*")
+    return compose_all(rows, "title", "snippet")
 
 
 def search_text(name: Column, unit: Column, city: Column, region: Column) -> Column:

@@ -17,6 +17,38 @@ def test_delimited(spark):
     assert [(r.number, r.name, r.unit, float(r.quantity), r.title) for r in got] == [(1, "Демонтаж розеток", "шт", 4.0, "Локальний кошторис"), (2, "Штукатурення стін", "м2", 18.5, "Локальний кошторис")]
 
 
+def test_quoted_cells(spark, tmp_path):
+    """Delimiters, doubled quotes and line ends inside quotes, and quotes that are none."""
+    text = '\ufeff№;Найменування робіт;Одиниця виміру;Кількість\r\n1;"Демонтаж ""старих"" розеток";шт;4\r\n2;"Фарбування; два шари";м2;4\r\n3;"Заміна\nвікон";шт;"7,5"\r\n4;Труба 5" сталева;м;1\r\n5;"";шт;1\r\n6;"без кінця;шт;2'
+    (tmp_path / "bill.csv").write_text(text, encoding="utf-8")
+    got = B.table_positions(S.read_delimited(spark, str(tmp_path / "bill.csv"))).orderBy("number").collect()
+    assert [(r.name, r.unit, float(r.quantity)) for r in got] == [
+        ('Демонтаж "старих" розеток', "шт", 4.0), ("Фарбування; два шари", "м2", 4.0), ("Заміна вікон", "шт", 7.5), ('Труба 5" сталева', "м", 1.0), ("без кінця", "шт", 2.0),
+    ]
+    import csv
+    import io
+
+    odd = ['a;"b;c";d', ';;', '"x""y";"";z', 'a"b;c', '"tail"more;e', '";";";"', 'one', 'a;"b""";"""c"']
+    df = spark.createDataFrame([(k, line) for k, line in enumerate(odd)], "k int, line string").select("k", S._cells(F.col("line"), ";").alias("c"))
+    assert {r.k: list(r.c) for r in df.collect()} == {k: next(csv.reader(io.StringIO(line), delimiter=";")) for k, line in enumerate(odd)}
+
+
+def test_header_rows_until_one_names_the_object(spark):
+    rows = [(0, ["за адресою: м. Полтава, ремонт будівлі школи"]), (1, ["Капітальний ремонт школи № 5 за адресою: Сумська область"]), (2, ["№", "Найменування", "Кількість"]), (3, ["1", "Капітальний ремонт даху старої школи", "4"])]
+    got = B.table_positions(spark.createDataFrame([("d", i, c) for i, c in rows], "doc_id string, row_no int, cells array<string>")).collect()
+    assert [(r.name, r.object_name, r.city, r.region) for r in got] == [("Капітальний ремонт даху старої школи", "Капітальний ремонт школи № 5", "Полтава", "Сумська область")]
+
+
+def test_plan_of_divisions_before_estimates(spark):
+    """Divisions before any estimate get one; empty ones count too."""
+    head = [["№", "Найменування", "Од. виміру", "Кількість"], ["Розділ 1. Порожній"], ["Розділ 2. Стіни"], ["1", "Демонтаж дверей", "шт", "1"], ["Локальний кошторис 5 на дах"], ["Локальний кошторис 6 на підлогу"], ["2", "Заміна вікон", "шт", "1"], ["3", "Заміна дверей", "шт", "1"], ["Розділ 3. Інше"], ["4", "Монтаж розеток", "шт", "2"]]
+    rows = spark.createDataFrame([("d", i, c) for i, c in enumerate(head)], "doc_id string, row_no int, cells array<string>")
+    plan = B.import_plan(B.table_positions(rows).withColumn("seq", F.col("row_no"))).orderBy("seq").collect()
+    assert [(r.estimate_ord, r.estimate_title, r.division_ord, r.division_title, r.ordinal) for r in plan] == [
+        (1, "Локальний кошторис", 2, "Стіни", 1), (3, "підлогу", 3, "Роботи", 1), (3, "підлогу", 3, "Роботи", 2), (3, "підлогу", 4, "Інше", 1),
+    ]
+
+
 def test_sections_and_headers(spark):
     of = lambda t: spark.createDataFrame([(t,)], "t string").select(B.section(F.col("t")).alias("s")).first()["s"]
     assert tuple(of("Локальний кошторис 02-01 на ремонт даху")) == ("estimate", "02-01", "ремонт даху")
@@ -65,6 +97,7 @@ def test_import_plan(spark):
     kept, _ = S.content_lines(lines(spark, "d", DOC))
     positions, _, headers = B.line_positions(kept)
     given = spark.createDataFrame([("d", "Моя назва", "", "", "")], "doc_id string, object_name string, address string, city string, region string")
-    plan = B.import_plan(positions.withColumn("seq", F.col("block")), headers, given).orderBy("ordinal").collect()
-    assert [(r.estimate_ord, r.division_ord, r.division_title) for r in plan] == [(1, 1, "Стіни"), (1, 1, "Стіни"), (1, 2, "Підлога"), (1, 3, "Роботи")]
+    plan = B.import_plan(positions.withColumn("seq", F.col("block")), headers, given).orderBy("seq").collect()
+    assert [(r.estimate_ord, r.division_ord, r.ordinal, r.division_title) for r in plan] == [(1, 1, 1, "Стіни"), (1, 1, 2, "Стіни"), (1, 2, 1, "Підлога"), (2, 3, 1, "Роботи")]
+    assert [r.estimate_code for r in plan] == ["02-01-01"] * 3 + ["02-01-02"]
     assert plan[0].object_name == "Моя назва" and plan[0].city == "Семенівка"

@@ -118,3 +118,49 @@ def test_overrides(spark):
     assert shown["C1"] == ("a2", "x", "override") and shown["U0001"] == ("b", "", "base") and len(shown) == 4
     gone = catalog.delete(after, spark.createDataFrame([("C1",)], "code string"))
     assert {r.name for r in catalog.overlay(items, gone).collect()} == {"a", "b", "new", "other"}
+
+
+def test_overlay_appends_new_codes(spark):
+    """Items that only an override has follow the base in the overrides' order, and are matched."""
+    from tallyspark.operators import match
+
+    base = spark.createDataFrame([(4, "C0", "Демонтаж розеток", "шт", "Електрика", N(55), N(0), N(0)), (7, "C1", "Заміна вікон", "шт", "", N(9), N(0), N(0))], ITEMS)
+    over = "code string, name string, unit string, category string, labor decimal(18,6), material decimal(18,6), machines decimal(18,6)"
+    rows = [("N2", "Демонтаж розеток", "шт.", "", N(99), N(0), N(0)), ("N1", "Шліфування паркетної підлоги", "кв. м", "Підлога", N(40), N(0), N(0)), ("C1", "Заміна вікон дерев'яних", "шт", "", N(11), N(0), N(0))]
+    overrides = spark.createDataFrame(rows, over)
+    items = catalog.overlay(base, overrides)
+    assert {r.code: (r.ord, r.unit, r.source) for r in items.collect()} == {"C0": (4, "шт", "base"), "C1": (7, "шт", "override"), "N1": (8, "м2", "override"), "N2": (9, "шт", "override")}
+    asked = spark.createDataFrame([("Демонтаж розеток", "шт"), ("Шліфування паркетних підлог дубових", "м2")], "name string, unit string")
+    assert {r.name: r.code for r in match.match(asked, items).collect()} == {"Демонтаж розеток": "C0", "Шліфування паркетних підлог дубових": "N1"}
+    in_order = overrides.withColumn("seq", F.when(F.col("code") == "N2", 1).otherwise(2))
+    assert {r.code: r.ord for r in catalog.overlay(base, in_order).collect()} == {"C0": 4, "C1": 7, "N2": 8, "N1": 9}
+    assert {r.code: r.ord for r in catalog.overlay(base.limit(0), overrides).collect()} == {"C1": 0, "N1": 1, "N2": 2}
+    assert [r.name for r in catalog.by_code(items, "C1").collect()] == ["Заміна вікон дерев'яних"] and catalog.overlay(base, overrides.limit(0)).count() == 2
+
+
+def test_free_codes_and_numbers(spark):
+    from tallyspark.sources.shared import numbered
+
+    df = spark.range(0, 1000, numPartitions=7).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("k"), F.lit("x").alias("_part"))
+    assert sorted((r.k, r.n) for r in numbered(df.drop("_part"), "n", "k").collect()) == [(k, k + 1) for k in range(1000)]
+    assert [r.n for r in numbered(df.drop("_part"), "n", F.desc("k")).orderBy("k").collect()] == list(range(1000, 0, -1)) and numbered(df.limit(0), "n", "k").count() == 0
+    over = "code string, name string, unit string, category string, labor decimal(18,6), material decimal(18,6), machines decimal(18,6), updated_at timestamp"
+    day = dt.datetime(2024, 1, 1)
+    taken = spark.range(1, 10_001).select(F.format_string("U%04d", "id").alias("code"))
+    new = spark.createDataFrame([(None, "b", "шт", "", None, N(1), N(2), day), ("", "a", "шт", "", N(1), N(1), N(1), day), ("U10001", "c", "", "", N(1), N(1), N(1), day)], over)
+    got = {r.name: r.code for r in catalog.upsert(new.limit(0), new, taken).collect()}
+    assert got == {"a": "U10002", "b": "U10003", "c": "U10001"}
+
+
+def test_candidates_of_positions(spark):
+    from tallyspark.operators import match
+
+    items = spark.createDataFrame([(i, f"C{i}", n, "шт", "A" if i % 2 else "B", N(10 * i), N(1), N(0)) for i, n in enumerate(["Демонтаж розеток", "Монтаж розеток", "Заміна вікон", "Фарбування стін"], 1)], ITEMS)
+    p = spark.createDataFrame([("1", "Монтаж розетки", "шт", 1.5), ("2", "зовсім інше", "шт", 1.0), ("3", "Монтаж розетки", "шт", 2.0)], "position_id string, name string, unit string, factor double")
+    got = {}
+    for r in match.position_candidates(p, items, 2).orderBy("rank").collect():
+        got.setdefault(r.position_id, []).append((r.code, float(r.labor)))
+    assert got["1"] == [("C2", 30.0), ("C1", 15.0)] and got["3"] == [("C2", 40.0), ("C1", 20.0)] and len(got["2"]) == 2
+    texts = spark.createDataFrame([("розетки",), ("",), ("нема такого",)], "text string")
+    assert {r.text: r.total for r in match.search_totals(texts, items, 5).collect()} == {"розетки": 2, "": 4, "нема такого": 0}
+    assert {r.text: r.total for r in match.search_totals(texts, items, 5, "A").collect()} == {"розетки": 1, "": 2, "нема такого": 0}

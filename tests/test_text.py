@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,8 +44,12 @@ def test_cleaning(spark):
 def test_marks_are_composed(spark):
     pair = "й"
     assert one(spark, T.clean_text, f"Ки{pair}в") == "Кийв"
-    got = T.compose_all(spark.createDataFrame([(1, "é"), (2, "plain"), (3, None), (4, pair)], "id int, t string"), "t")
-    assert {r.id: r.t for r in got.collect()} == {1: "é", 2: "plain", 3: None, 4: "й"}
+    got = T.compose_all(spark.createDataFrame([(1, "é"), (2, "plain"), (3, None), (4, pair), (5, "e\u0301 q\u0307\u0323 \u1100\u1161\u0300")], "id int, t string"), "t")
+    assert {r.id: r.t for r in got.collect()} == {1: "é", 2: "plain", 3: None, 4: "й", 5: unicodedata.normalize("NFC", "e\u0301 q\u0307\u0323 \u1100\u1161\u0300")}
+    cells = ["a\u0301", " x", "y  z", "ok", None, "a’b", "z\u00a0", "line\nend", ""]
+    df = spark.createDataFrame([([c],) for c in cells] + [(cells,)], "c array<string>")
+    every = df.select(T.clean_all(F.col("c")).alias("a"), F.transform("c", lambda c: T.clean_text(c)).alias("b")).collect()
+    assert all(r.a == r.b for r in every)
 
 
 def test_keys_and_actions(spark):
