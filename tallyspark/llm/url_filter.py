@@ -88,6 +88,7 @@ def judge(pages: DataFrame, rules: DataFrame | list | None = None, default: str
         found.join(_hashed(rules, "rule", "digest"), "short").where(fits)
         .groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "labels", "action", "rule")).alias("best"))
     )
-    # Written, so that the join deals both sides anew and can split a url with very many pages.
+    # Written, so that the join deals both sides anew and can split a url with very many pages; a
+    # merge join, since the urls grow with the pages.
     best = written(best.select("host", "path", "best.rule", "best.action"), "judged")
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
+    return rows.join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
