@@ -95,11 +95,10 @@ def token_weights(hits: DataFrame, items: DataFrame) -> DataFrame:
     return found.join(F.broadcast(size)).select("q", F.log1p(F.col("total") / F.col("found")).alias("weight"))  # one row
 
 
-def scored_pairs(queries: DataFrame, items: DataFrame, all_items: DataFrame, need: float = 0.0, actions: bool = True, units: bool = True) -> DataFrame:
-    """Pairs of a query and an item form that share a hit, with raw score.
+def token_lists(queries: DataFrame, items: DataFrame, all_items: DataFrame) -> DataFrame:
+    """qid, tokens (struct at, q, weight, words: the items' words that it finds), total weight.
 
-    queries: qid, name, stems, phrase, action, unit_n. need: the least coverage that
-    matters; pairs that cannot reach it may be left out.
+    Words for actions do not count where a query has others.
     """
     words = lambda df, c: df.select(F.explode("stems").alias(c)).distinct()
     hits = written(vocabulary_hits(words(queries, "q"), words(items, "w")), "hits")
@@ -110,14 +109,21 @@ def scored_pairs(queries: DataFrame, items: DataFrame, all_items: DataFrame, nee
     lists = tokens.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("at", "q", "weight", "words"))).alias("all"))
     plain = F.filter("all", lambda t: ~T.is_action_word(t["q"]))
     lists = lists.select("qid", F.when(F.size(plain) > 0, plain).otherwise(F.col("all")).alias("tokens"))
-    total = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + t["weight"])
-    lists = lists.withColumn("total", total)
+    return lists.withColumn("total", F.aggregate("tokens", F.lit(0.0), lambda s, t: s + t["weight"]))
+
+
+def scored_pairs(queries: DataFrame, items: DataFrame, lists: DataFrame, need: float = 0.0, actions: bool = True, units: bool = True) -> DataFrame:
+    """Pairs of a query and an item form that share a hit, with raw score.
+
+    queries: qid, name, stems, phrase, action, unit_n. lists: their token_lists. need: the least
+    coverage that matters; pairs that cannot reach it may be left out.
+    """
     # Rarest first; a word makes candidates unless it and all commoner ones weigh under `need`.
     order = F.reverse(F.array_sort(F.transform("tokens", lambda t: F.struct(t["weight"].alias("weight"), t["at"].alias("at"), t["words"].alias("words")))))
-    lists = lists.withColumn("order", order)
+    dealt = lists.withColumn("order", order)
     rest = lambda i: F.aggregate(F.slice("order", i + 1, F.size("order")), F.lit(0.0), lambda s, t: s + t["weight"])
     makers = F.filter("order", lambda t, i: (rest(i) >= need * F.col("total") - 1e-9) & (t["weight"] > 0))
-    asked = lists.select("qid", F.explode(F.array_distinct(F.flatten(F.transform(makers, lambda t: t["words"])))).alias("w")).distinct()
+    asked = dealt.select("qid", F.explode(F.array_distinct(F.flatten(F.transform(makers, lambda t: t["words"])))).alias("w")).distinct()
     post = items.select(F.col("iid"), F.explode(F.array_distinct("stems")).alias("w"))
     pairs = asked.join(post, "w").select("qid", "iid").distinct()
     q = queries.join(lists.select("qid", "tokens", "total"), "qid").select("qid", "tokens", "total", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
@@ -184,7 +190,8 @@ def match(queries: DataFrame, items: DataFrame, limit: int = 1) -> DataFrame:
     exact = named.where(sure).select("qid", F.lit(1).alias("rank"), "item.code", F.lit(100.0).alias("score"), F.col("item.name").alias("match_name"), F.col("item.unit").alias("match_unit"), "item.category", "item.labor", "item.material", "item.machines")
     rest = named.where(~F.coalesce(sure, F.lit(False))).select(*q.columns)
     need = (fixed.MIN_SCORE - 0.05 - fixed.SIMILARITY_SHARE - fixed.UNIT_BONUS) / fixed.COVERAGE_SHARE
-    pairs = scored_pairs(rest, _items(items, limit), items, need)
+    forms = _items(items, limit)
+    pairs = scored_pairs(rest, forms, token_lists(rest, forms, items), need)
     opposite = (F.col("q_action") != "") & (F.col("action") != "") & (F.col("q_action") != F.col("action"))
     pairs = pairs.where(~opposite).withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1)).where(F.col("score") >= fixed.MIN_SCORE)
     found = exact.unionByName(_result(_ranked(pairs, limit)))
@@ -194,21 +201,23 @@ def match(queries: DataFrame, items: DataFrame, limit: int = 1) -> DataFrame:
 def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFrame:
     """The best so many items of each distinct (name, unit), whatever they score.
 
-    Queries with fewer than `limit` items that share a word are filled up from the rest:
-    those score by similarity and unit only, and only these few queries are compared with all.
+    Items that share no word with a query score by similarity and unit only, at most `most`.
+    Queries with fewer than `limit` better pairs are compared with all of those items.
     """
     q = _queries(queries)
     q = q.where(F.size("stems") > 0)
     forms = _items(items, limit)
-    pairs = written(scored_pairs(q, forms, items).select("qid", "iid", "raw", "code", "name", "unit", "category", "labor", "material", "machines", "ord"), "pairs")
-    few = q.join(pairs.groupBy("qid").count().where(F.col("count") >= limit), "qid", "left_anti")
-    side = few.select("qid", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
+    lists = written(token_lists(q, forms, items), "lists")
+    pairs = written(scored_pairs(q, forms, lists).select("qid", "raw", "code", "name", "unit", "category", "labor", "material", "machines", "ord"), "pairs")
+    most = fixed.SIMILARITY_SHARE + fixed.UNIT_BONUS
+    few = q.join(pairs.where(F.col("raw") > most).groupBy("qid").count().where(F.col("count") >= limit), "qid", "left_anti")
+    found = lists.select("qid", F.array_distinct(F.flatten(F.transform("tokens", lambda t: t["words"]))).alias("found"))
+    side = few.join(found, "qid").select("qid", "found", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
     # A stated query set against all forms: nothing of it is stored, since each task keeps the best
-    # so many of a query (fewer than `limit` of them can be pairs that share a word).
-    all_of = side.join(forms, F.lit(True)).withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase")))
-    best = _ranked(all_of.withColumn("raw", _score(F.lit(0.0), True, True)).withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1)), 2 * limit)
-    filled = best.join(pairs.select("qid", "iid"), ["qid", "iid"], "left_anti")
-    both = pairs.drop("iid").unionByName(filled.select(*[c for c in pairs.columns if c != "iid"]))
+    # so many of a query.
+    rest = side.join(forms, ~F.arrays_overlap("found", "stems")).withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase")))
+    filled = _ranked(rest.withColumn("raw", _score(F.lit(0.0), True, True)).withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1)), limit)
+    both = pairs.unionByName(filled.select(*pairs.columns))
     both = both.withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1))
     return q.select("qid", F.col("name").alias("query_name"), F.col("unit").alias("query_unit")).join(_result(_ranked(both, limit)), "qid").drop("qid").withColumnsRenamed({"query_name": "name", "query_unit": "unit"})
 
@@ -225,7 +234,7 @@ def search(texts: DataFrame, items: DataFrame, limit: int = 20, category: str |
     asked = written(asked.withColumn("qid", F.monotonically_increasing_id()), "asked")
     forms = _items(items, fetch).withColumn("category_stems", T.stems(F.col("category")))
     need = (fixed.SEARCH_SCORE - fixed.SIMILARITY_SHARE) / fixed.COVERAGE_SHARE
-    named = scored_pairs(asked, forms, items, need, actions=False, units=False).select("qid", "iid", "raw")
+    named = scored_pairs(asked, forms, token_lists(asked, forms, items), need, actions=False, units=False).select("qid", "iid", "raw")
     hits = vocabulary_hits(asked.select(F.explode("stems").alias("q")).distinct(), forms.select(F.explode("category_stems").alias("w")).distinct())
     by_category = (
         asked.select("qid", F.explode("stems").alias("q")).join(hits, "q").select("qid", "w").distinct()

@@ -99,6 +99,11 @@ def work_name(part: str, things: dict[str, str] = D.THINGS) -> str:
     return f"concat_ws(' ', {lookup(D.ACTIONS, f'split_part({part}, chr(32), 1)')}, {lookup(things, f'split_part({part}, chr(32), 2)')})"
 
 
+def wide_name(of: str, things: dict[str, str] = D.THINGS) -> str:
+    digits = f"translate(CAST({of}.p_partkey AS VARCHAR), '0123456789', {quoted(D.SYLLABLE_LETTERS)})"
+    return f"{work_name(f'{of}.p_name', things)} || ' ' || lower({of}.p_type) || ' серії ' || {digits} || 'ор'"
+
+
 def factor(city: str, region: str) -> str:
     inside = " ".join(f"WHEN {clean(region)} <> '' AND contains(lower({clean(region)}), {quoted(k.split()[0].lower())}) THEN CAST({v} AS DOUBLE)" for k, v in fixed.REGIONS.items())
     return f"coalesce({lookup(fixed.CITIES, clean(city))}, {lookup(fixed.REGIONS, clean(region))}, CASE {inside} ELSE 1.0 END)"

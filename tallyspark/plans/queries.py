@@ -385,14 +385,15 @@ def e_token_weights(spark, sf_dir):
     return out.select("q", F.round("weight", 9).alias("weight"))
 
 
-@query(f"""WITH d AS (SELECT DISTINCT p_name FROM part), w AS (SELECT {O.phrase(O.work_name('a.p_name'))} AS a, {O.phrase(O.work_name('b.p_name', D.OTHER_FORMS))} AS b FROM d a, d b)
-    SELECT a, b, round({O.ratio('a', 'b')}, 6) AS ratio, round({_token_set('a', 'b')}, 6) AS token_set FROM w""")
+@query(f"""WITH w AS (SELECT a.p_partkey AS p_partkey, {O.phrase(O.wide_name('a'))} AS a, {O.phrase(O.wide_name('b', D.OTHER_FORMS))} AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 + a.p_size % 3)
+    SELECT p_partkey, a, b, round({O.ratio('a', 'b')}, 6) AS ratio, round({_token_set('a', 'b')}, 6) AS token_set FROM w""")
 def g_similarity(spark, sf_dir):
-    """Both similarities for all pairs of the few distinct names."""
-    d = D.read(spark, sf_dir, "part").select("p_name").distinct()
-    left, right = (d.select(T.stem_phrase(D.work_name(F.col("p_name"), t)).alias(n)) for n, t in (("a", D.THINGS), ("b", D.OTHER_FORMS)))
-    pairs = left.join(right, F.lit(True))
-    return pairs.select("a", "b", F.round(S.ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(S.token_set_ratio(F.col("a"), F.col("b")), 6).alias("token_set"))
+    """Both similarities of each part's name and the name of a part near it."""
+    part = D.read(spark, sf_dir, "part")
+    left = part.select("p_partkey", (F.col("p_partkey") + 1 + F.col("p_size") % 3).alias("near"), T.stem_phrase(D.wide_name()).alias("a"))
+    right = part.select(F.col("p_partkey").alias("near"), T.stem_phrase(D.wide_name(D.OTHER_FORMS)).alias("b"))
+    pairs = left.join(right, "near")
+    return pairs.select("p_partkey", "a", "b", F.round(S.ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(S.token_set_ratio(F.col("a"), F.col("b")), 6).alias("token_set"))
 
 
 @query(O.with_views(f"SELECT name, unit, code, score, match_name, match_unit, {sql_nums(*PRICES)} FROM best", "catalogue", "positions", **_MATCHED))
@@ -402,6 +403,16 @@ def e_match(spark, sf_dir):
     return found.select("name", "unit", "code", "score", "match_name", "match_unit", *nums(*PRICES))
 
 
+@query()
+def e_match_wide(spark, sf_dir):
+    """The best item of each part's name in other words, over names whose words grow in number
+    with the table. A cross product in SQL is too slow; a test compares it with brute force."""
+    part = D.read(spark, sf_dir, "part")
+    asked = part.select(D.wide_name(D.OTHER_FORMS).alias("name"), D.pick(D.RAW_UNITS, F.col("p_size")).alias("unit"))
+    found = match.match(asked, D.wide_catalogue(spark, sf_dir))
+    return found.select("name", "unit", "code", "score", "match_name")
+
+
 @query(O.with_views(f"SELECT name, unit, CAST(rank AS INT) AS rank, code, score, match_name FROM ({_RANKED}) WHERE rank <= 5", "catalogue", "positions", **_MATCHING))
 def e_candidates(spark, sf_dir):
     """The five best items of each distinct name and unit, whatever their score."""

@@ -36,7 +36,8 @@ def report_rows(positions: DataFrame, title: str = TITLE) -> DataFrame:
     empty = {"number": "int", "unit": "string", "quantity": "decimal(18,6)", "unit_price": "decimal(28,2)"}
     marks = marks.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
     body = p.select(*[F.col(c) for c in order], F.lit("position").alias("kind"), F.lit(2).alias("place"), "name", F.col("total").cast("decimal(38,2)").alias("total"), *(F.col(c).cast(t).alias(c) for c, t in empty.items()))
-    return body.unionByName(marks).orderBy("object_id", "estimate_ord", "division_ord", "place", "number")
+    # Each object's rows stand together and in order; objects need none among themselves.
+    return body.unionByName(marks).repartition("object_id").sortWithinPartitions("object_id", "estimate_ord", "division_ord", "place", "number")
 
 
 def header_lines(objects: DataFrame, day: str) -> DataFrame:
