@@ -213,9 +213,11 @@ def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFram
     few = q.join(pairs.where(F.col("raw") > most).groupBy("qid").count().where(F.col("count") >= limit), "qid", "left_anti")
     found = lists.select("qid", F.array_distinct(F.flatten(F.transform("tokens", lambda t: t["words"]))).alias("found"))
     side = few.join(found, "qid").select("qid", "found", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
-    # A stated query set against all forms: nothing of it is stored, since each task keeps the best
-    # so many of a query.
-    rest = side.join(forms, ~F.arrays_overlap("found", "stems")).withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase")))
+    # A stated query set against all forms. Phrases are compared once for all that share them, and
+    # nothing of it is stored, since each task keeps the best so many of a query.
+    alike = side.select("q_phrase").distinct().join(forms.select("phrase").distinct(), F.lit(True))
+    alike = alike.withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase")))
+    rest = side.join(alike, "q_phrase").join(forms, "phrase").where(~F.arrays_overlap("found", "stems"))
     filled = _ranked(rest.withColumn("raw", _score(F.lit(0.0), True, True)).withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1)), limit)
     both = pairs.unionByName(filled.select(*pairs.columns))
     both = both.withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1))

@@ -56,7 +56,7 @@ def history_price(asked: DataFrame, history: DataFrame, window: int = fixed.HIST
     Only facts of asked keys are dealt, all scopes in one pass: row_number <= window is pushed
     below the shuffle as a group limit, so a key with very many facts sends few rows.
     """
-    asked = asked.select("work_key", "city", "region").distinct()
+    asked = written(asked.select("work_key", "city", "region").distinct(), "asked")  # read twice
     keys = written(asked.select("work_key").distinct(), "keys")  # Spark compares its size with its broadcast threshold
     facts = history.join(keys, "work_key", "left_semi").select("work_key", "id", "created_at", *(f"{p}_price" for p in PRICES), F.inline(_scopes(F.col("city"), F.col("region"))))
     order = Window.partitionBy("work_key", "rank", "place").orderBy(F.desc("created_at"), F.desc("id"))

@@ -53,12 +53,6 @@ def wide_name(things: dict[str, str] = THINGS) -> Column:
     return F.concat(work_name(F.col("p_name"), things), F.lit(" "), F.lower("p_type"), F.lit(" серії "), own, F.lit("ор"))
 
 
-def wide_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue with wide names; names come back with other endings and orders when asked for."""
-    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), wide_name().alias("wide"))
-    return catalogue(spark, sf_dir).join(names, "ord").withColumn("name", F.col("wide")).drop("wide")
-
-
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
