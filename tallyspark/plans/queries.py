@@ -872,8 +872,8 @@ def _bill_cells(spark, sf_dir) -> DataFrame:
     rows = p.withColumn("n", F.expr(w))
     q = F.replace(F.col("quantity").cast("decimal(18,1)").cast("string"), F.lit("."), F.lit(","))
     body = rows.select(F.col("object_id").cast("string").alias("doc_id"), (F.col("estimate_ord") * 100_000 + F.col("n") + 1).cast("int").alias("row_no"), F.array(F.col("n").cast("string"), "name", "unit", q, F.lit("")).alias("cells"))
-    heads = rows.select("object_id", "estimate_id", "estimate_ord").distinct().select(F.col("object_id").cast("string").alias("doc_id"), (F.col("estimate_ord") * 100_000).cast("int").alias("row_no"), F.array(F.concat(F.lit("Локальний кошторис 0"), F.col("estimate_ord").cast("string"), F.lit(" на "), "estimate_id")).alias("cells"))
-    ids = rows.select(F.col("object_id").cast("string").alias("doc_id")).distinct()
+    heads = p.select("object_id", "estimate_id", "estimate_ord").distinct().select(F.col("object_id").cast("string").alias("doc_id"), (F.col("estimate_ord") * 100_000).cast("int").alias("row_no"), F.array(F.concat(F.lit("Локальний кошторис 0"), F.col("estimate_ord").cast("string"), F.lit(" на "), "estimate_id")).alias("cells"))
+    ids = p.select(F.col("object_id").cast("string").alias("doc_id")).distinct()
     top = ids.select("doc_id", F.lit(1).alias("row_no"), F.array(F.lit("№"), F.lit("Найменування робіт"), F.lit("Одиниця виміру"), F.lit("Кількість"), F.lit("Примітка")).alias("cells"))
     about = ids.select("doc_id", F.lit(2).alias("row_no"), F.array(F.concat(F.lit("Капітальний ремонт школи № "), "doc_id", F.lit(" за адресою: м. Полтава, Полтавська область"))).alias("cells"))
     return bill_sources.clean_cells(body.union(heads).union(top).union(about))
