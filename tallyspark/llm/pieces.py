@@ -60,7 +60,7 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self._require_identity()
         sp = self.library
-        self.rank: dict[str, tuple[float, int]] = {}
+        self.rank: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.byte = [0] * 256
         for i in range(sp.get_piece_size()):
@@ -69,7 +69,7 @@ class Pieces:
                 self.byte[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.id[piece] = i
-                self.rank[piece] = (-sp.get_score(i), i)
+                self.rank[piece] = -sp.get_score(i)
         self.end = sp.eos_id()
         self.end_bytes = array("i", [self.end]).tobytes()
         self.automaton = ahocorasick.Automaton()
@@ -96,7 +96,7 @@ class Pieces:
         self.prefix = SPACE if norm.add_dummy_prefix else ""
 
     def merged(self, text: str) -> list[str]:
-        """The merge encoding of a short text: best pair first, leftmost of equals."""
+        """The merge encoding of a short text: the best score first, leftmost of equal ones."""
         parts, rank = list(text), self.rank
         while len(parts) > 1:
             best, at = None, -1
