@@ -18,6 +18,14 @@ def money_round(c: Column) -> Column:
     return F.round(c, 2).cast("decimal(18,2)")
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """Adds work_key to rows with name and unit: made once for each distinct pair of them, which
+    are few next to rows, and joined back."""
+    n, u = F.col("name"), F.col("unit")
+    keys = written(df.select("name", "unit").distinct().select(n.alias("n"), u.alias("u"), T.work_key(n, u).alias("work_key")), "keys")
+    return df.join(keys, n.eqNullSafe(F.col("n")) & u.eqNullSafe(F.col("u"))).drop("n", "u")
+
+
 def history_facts(positions: DataFrame) -> DataFrame:
     """Facts to append to the price history: positions with any price, cleaned, with their key.
 
@@ -108,9 +116,9 @@ def resolve(asked: DataFrame, history: DataFrame, items: DataFrame, site_prices:
     web: work_key, city, labor, material. Each source is one join per distinct request.
     """
     order = fixed.STRATEGIES.get(strategy, fixed.STRATEGIES[fixed.DEFAULT_STRATEGY])
-    asked = asked.select("name", "unit", "city", "region").distinct()
+    asked = written(asked.select("name", "unit", "city", "region").distinct(), "requests")  # read by each source
     factor, label = catalog.region_factor(F.col("city"), F.col("region"))
-    base = asked.withColumns({"work_key": T.work_key(F.col("name"), F.col("unit")), "factor": factor, "region_label": label})
+    base = keyed(asked).withColumns({"factor": factor, "region_label": label})
     parts = ["source", *PRICES]
     zero = F.lit(0).cast("decimal(18,2)")
     best = match.match(asked, items).select("name", "unit", F.struct("code", "match_name", "score", *PRICES).alias("c"))

@@ -565,7 +565,7 @@ _HISTORY = {"placed": _PLACED, "wanted": _WANTED, **_SCOPES, "past": _PAST}
 @query(O.with_views(f"SELECT work_key, city, region, scope, {sql_nums(*PRICES)}, samples, last_used FROM past", "positions", "objects", "history", **_HISTORY))
 def f_history_price(spark, sf_dir):
     """Medians of the last prices paid, by city, region or anywhere."""
-    asked = _placed(spark, sf_dir).select("name", "unit", "city", "region").distinct().select(T.work_key(F.col("name"), F.col("unit")).alias("work_key"), "city", "region")
+    asked = pricing.keyed(_placed(spark, sf_dir).select("name", "unit", "city", "region").distinct()).select("work_key", "city", "region")
     out = pricing.history_price(asked, D.history(spark, sf_dir))
     return out.select("work_key", "city", "region", "scope", *nums(*PRICES), "samples", "last_used")
 
