@@ -76,6 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -107,7 +113,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM b
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
-        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op6_html_text, op7_quality, op8_exact_dedup, op9_language, op10_simhash,
+        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op6_html_text, op7_quality, op8_exact_dedup, op9_language, op10_simhash, op13_whitening,
     )
     return {f.__name__: f for f in all_of}
 
