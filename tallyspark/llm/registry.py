@@ -76,6 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.ranked_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.whitening import whitened
 
@@ -111,12 +117,37 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM b
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS big_n, sum(len(terms))::BIGINT AS big_l FROM d
+), t AS (
+  SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d
+), p AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, big_n
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), q AS (
+  SELECT item_id, term, count(*)::BIGINT AS k FROM i GROUP BY ALL
+), f AS (
+  SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM f WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
-        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op6_html_text, op7_quality, op8_exact_dedup, op9_language, op10_simhash, op13_whitening,
+        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op6_html_text, op7_quality, op8_exact_dedup, op9_language, op10_simhash, op12_ranked_search, op13_whitening,
     )
     return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op12_ranked_search": OP12_SQL}
