@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.llm.common import shared_dir, with_row_id, written
+from tallyspark.llm.common import TEXT_BATCH_ROWS, shared_dir, with_row_id, written
 
 BLOCK, LIMIT = 128, 20
 #: Documents and terms (with repeats) of a shard, at most (one document at least).
-SHARD_DOCS, SHARD_TERMS = 1 << 15, 1 << 22
+SHARD_DOCS, SHARD_TERMS = 1 << 15, 1 << 21
 #: Documents that are scored at once; items of a block.
 SPAN, ITEM_BLOCK = 2048, 64
 
@@ -55,20 +55,24 @@ class _Numbers(dict):
         return n
 
 
+def numbered_terms(terms: list[bytes], names: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(names.__getitem__, terms), np.uint32, len(terms))
+
+
 INDEX = pa.schema(
     [("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("lasts", pa.binary()), ("widths", pa.binary()), ("best", pa.binary()), ("best_sizes", pa.binary()), ("blob", pa.binary())]
 )
 INDEX_DDL = "shard long, term string, df long, lasts binary, widths binary, best binary, best_sizes binary, blob binary"
 
 
-def invert(docs: list[tuple], shard: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the index for documents (doc_id, terms).
+def invert(docs: list[tuple], names: dict[bytes, int], shard: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the index for documents (doc_id, numbers of their terms).
 
     The row with a null term holds the documents: doc_ids (best: 1 if null) and lengths.
     """
     docs.sort(key=lambda d: (d[0] is None, d[0] or 0))
-    names, sizes = _Numbers(), np.array([len(t) for _, t in docs], np.int64)
-    ids = np.fromiter((names[t] for _, terms in docs for t in terms), np.int64, int(sizes.sum()))
+    sizes = np.array([len(t) for _, t in docs], np.int64)
+    ids = np.concatenate([t for _, t in docs] or [np.zeros(0, np.int64)]).astype(np.int64)
     keys, tf = np.unique(ids * len(docs) + np.repeat(np.arange(len(docs)), sizes), return_counts=True)
     term, doc = np.divmod(keys, max(1, len(docs)))
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
@@ -124,18 +128,18 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The index of all rows of docs (doc_id, text); written, to `path` if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, size = None, [], 0
-        for batch in batches:
+        shard, names, held, size = None, _Numbers(), [], 0
+        for batch in (whole.slice(at, TEXT_BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, TEXT_BATCH_ROWS)):
             for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 terms = terms_of(text)
                 if held and (len(held) >= SHARD_DOCS or size + len(terms) > SHARD_TERMS):
-                    yield from invert(held, shard)
-                    held, size, shard = [], 0, None
+                    yield from invert(held, names, shard)
+                    shard, names, held, size = None, _Numbers(), [], 0
                 shard = row if shard is None else shard  # named by its first row: no other shard has it
-                held.append((doc, terms))
+                held.append((doc, numbered_terms(terms, names)))
                 size += len(terms)
         if held:
-            yield from invert(held, shard)
+            yield from invert(held, names, shard)
 
     rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     made = rows.select("_row", "doc_id", "text").mapInArrow(run, INDEX_DDL)

@@ -38,6 +38,12 @@ def by_hand(docs, items):
     return out
 
 
+def inverted(docs, shard):
+    names = R._Numbers()
+    made = R.invert([(d, R.numbered_terms(R.terms_of(t), names)) for d, t in docs], names, shard)
+    return [r for b in made for r in b.to_pandas().itertuples(index=False)]
+
+
 def corpus(rng, n):
     words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)] + ["Été", "ABC", "naïve", "日本", "a_b"]
     return [(i, " ".join(rng.choices(words, k=rng.choice([1, 5, 30, 200])))) for i in range(n)]
@@ -69,7 +75,7 @@ def test_shards_and_spans(monkeypatch):
     for cut, span in ((6000, 512), (6000, 6000), (1000, 300)):
         best, packed, blocks = {i: [] for i in range(3)}, 0, 0
         for a in range(0, 6000, cut):
-            rows = [r for b in R.invert([(d, R.terms_of(t)) for d, t in docs[a : a + cut]], a) for r in b.to_pandas().itertuples(index=False)]
+            rows = inverted(docs[a : a + cut], a)
             head, by_term = rows[0], {r.term: r for r in rows[1:]}
             norms = R.norm(np.frombuffer(head.lasts, "<i8"), big_n, n_terms)
             for i, (_, text) in enumerate(items):
@@ -79,14 +85,13 @@ def test_shards_and_spans(monkeypatch):
                 packed += sum(len(p.lasts) - len(p.unpacked) for _, p in lists)
                 blocks += sum(len(p.lasts) for _, p in lists)
         assert {i: sorted(b, key=lambda x: (-x[1], x[0]))[:20] for i, b in best.items()} == want
-        print(cut, span, packed, blocks)
         assert packed > 0 if span == 512 else True
 
 
 def test_block_maxima_are_exact():
     rng = random.Random(4)
-    docs = [(i, R.terms_of(" ".join(rng.choices(["a", "b", "c"], [9, 1, 3], k=rng.randint(1, 900))))) for i in range(900)]
-    rows = [r for b in R.invert(docs, 0) for r in b.to_pandas().itertuples(index=False)]
+    docs = [(i, " ".join(rng.choices(["a", "b", "c"], [9, 1, 3], k=rng.randint(1, 900)))) for i in range(900)]
+    rows = inverted(docs, 0)
     sizes = np.frombuffer(rows[0].lasts, "<i8")
     norms = R.norm(sizes, 900, int(sizes.sum()))
     for r in rows[1:]:
