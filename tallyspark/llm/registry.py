@@ -76,6 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.substring_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.ranked_search import ranked
 
@@ -144,7 +150,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
-        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op6_html_text, op7_quality, op8_exact_dedup, op9_language, op10_simhash, op12_ranked_search, op13_whitening,
+        op1_decontaminate, op2_secrets, op3_sentencepiece, op4_token_files, op5_url_filter, op6_html_text, op7_quality, op8_exact_dedup, op9_language, op10_simhash, op11_substring_dedup, op12_ranked_search, op13_whitening,
     )
     return {f.__name__: f for f in all_of}
 
