@@ -16,8 +16,8 @@ threshold. So a phrase that all items share does not pair everything with everyt
 nothing is lost. Words are compared themselves; hashes only propose. Items of equal words
 are tiled once and get their ids back at the end.
 
-Defined results: null texts count as empty; items of fewer than MIN_MATCH words are not
-looked for; rows that repeat an id count as rows of their own (a pair is then reported
+Defined results: null texts count as empty and so do items without words, which are not looked
+for; an item of fewer than MIN_MATCH words is looked for as a whole, in one tile; rows that repeat an id count as rows of their own (a pair is then reported
 again); null ids stay null; other columns are ignored; empty tables give an empty result.
 """
 
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import by_batch, free_name, record, with_row_id, written
 
 MIN_MATCH, COVERAGE = 5, 0.5
+#: Matches of two texts that are listed, for each of their words; beyond, places take turns (see _Level).
+PAIRS_A_WORD = 4
 #: The field has 2**FIELD_BITS bits and is put together from blocks of 2**BLOCK_BITS.
 FIELD_BITS, BLOCK_BITS = 27, 19
 
@@ -85,7 +87,10 @@ def tiles(a: list, b: list, least: int = MIN_MATCH) -> list[tuple[int, int, int]
     while size * 2 <= min(len(a), len(b)):
         size *= 2
     while True:
-        found, at = _matches(x, y, size), 0
+        found, at = _matches(x, y, size, PAIRS_A_WORD * (len(a) + len(b)) + 4096), 0
+        if found is None:
+            _Level(x, y, size).mark(marked_x, marked_y, out)
+            found = []
         rest: list[tuple[int, int, int]] = []  # a heap of what is left of matches between marks
         while at < len(found) or rest:
             if rest and (at == len(found) or rest[0] < found[at]):
@@ -106,11 +111,93 @@ def tiles(a: list, b: list, least: int = MIN_MATCH) -> list[tuple[int, int, int]
             for start, end in zip(edges[::2], edges[1::2], strict=True):
                 if end - start >= size:
                     heapq.heappush(rest, (start - end, i + start, j + start))
-        if size <= least:
+        if size <= least or marked_y.find(0) < 0:
             return out
         size = max(least, size // 2)
 
 
+class _Level:
+    """Matches of size to 2 size - 1 words where phrases repeat so often that their pairs cannot
+    be listed: each place in x keeps a bound of its longest match, and only the place whose turn
+    it is looks for partners, by running hashes of any length. No longer matches may be left."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, size: int):
+        self.x, self.y, self.size = x, y, size
+        (i, hi), (j, hj) = _windows(x, size), _windows(y, size)
+        _, code = np.unique(np.r_[hi, hj], return_inverse=True)
+        ci, cj = code[: len(i)], code[len(i) :]
+        order = np.argsort(cj, kind="stable")
+        j, cj = j[order], cj[order]
+        cut = np.flatnonzero(np.diff(cj)) + 1
+        self.places = dict(zip(cj[np.r_[0, cut]].tolist(), np.split(j, cut), strict=True)) if len(j) else {}
+        shared = np.isin(ci, cj)
+        self.code = dict(zip(i[shared].tolist(), ci[shared].tolist(), strict=True))
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(max(len(x), len(y)), _BASE)])
+        self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(max(len(x), len(y)), np.uint64(pow(int(_BASE), -1, 1 << 64)))])
+        self.sums = [np.r_[np.uint64(0), np.cumsum((w.astype(np.uint64) * _STEP ^ (w.astype(np.uint64) * _STEP) >> np.uint64(32)) * powers[: len(w)])] for w in (x, y)]
+        self.runs = [self._runs(w) for w in (x, y)]
+
+    @staticmethod
+    def _runs(w: np.ndarray) -> np.ndarray:
+        """How many free words follow from each place on."""
+        ends = np.flatnonzero(np.r_[w == 0, True])
+        return ends[np.searchsorted(ends, np.arange(len(w)))] - np.arange(len(w))
+
+    def _hash(self, side: int, at, n: int):
+        return (self.sums[side][at + n] - self.sums[side][at]) * self.inverse[at]
+
+    def partner(self, i: int, n: int) -> int | None:
+        """The first free place in y of the n words at i."""
+        js = self.places[self.code[i]]
+        js = js[(self.runs[1][js] >= n)]
+        for j in js[self._hash(1, js, n) == self._hash(0, np.array([i]), n)].tolist():
+            if (self.x[i : i + n] == self.y[j : j + n]).all():  # words themselves are compared
+                return j
+        return None
+
+    def longest(self, i: int, most: int) -> int:
+        """Words of the longest free match at i, at most so many; 0 if under size."""
+        js = self.places[self.code[i]]
+        js = self.places[self.code[i]] = js[self.runs[1][js] >= self.size]  # runs only shrink
+        low, high = self.size - 1, most
+        while low < high and len(js):
+            mid = (low + high + 1) // 2
+            js_mid = js[self.runs[1][js] >= mid]
+            hit = self._hash(1, js_mid, mid) == self._hash(0, np.array([i]), mid)
+            if hit.any():
+                low, js = mid, js_mid[hit]
+            else:
+                high = mid - 1
+        return low if low >= self.size and len(js) else 0
+
+    def mark(self, marked_x: bytearray, marked_y: bytearray, out: list[tuple[int, int, int]]) -> None:
+        runs_x, runs_y = self.runs
+        heap = [(-min(2 * self.size - 1, int(runs_x[i])), i) for i in self.code]
+        heapq.heapify(heap)
+        while heap:
+            bound, i = heapq.heappop(heap)
+            most = min(-bound, int(runs_x[i]))
+            n = self.longest(i, most) if most >= self.size else 0
+            if n < -bound:
+                if n:
+                    heapq.heappush(heap, (-n, i))
+                continue
+            j = self.partner(i, n)
+            if j is None:  # hashes were equal, words were not
+                if n > self.size:
+                    heapq.heappush(heap, (1 - n, i))
+                continue
+            out.append((i, j, n))
+            for words, runs, marked, at in ((self.x, runs_x, marked_x, i), (self.y, runs_y, marked_y, j)):
+                marked[at : at + n] = b"\1" * n
+                words[at : at + n] = 0
+                runs[at : at + n] = 0
+                start = marked.rfind(1, 0, at) + 1
+                runs[start:at] = np.minimum(runs[start:at], np.arange(at - start, 0, -1))
+            if marked_y.find(0) < 0:
+                return
+
+
 def _windows(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows of so many words (ids above 0) and their Karp-Rabin hashes."""
     n = len(x) - size + 1
@@ -132,8 +219,9 @@ def _windows(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, out[at]
 
 
-def _matches(x: np.ndarray, y: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+def _matches(x: np.ndarray, y: np.ndarray, size: int, most: int) -> list[tuple[int, int, int]] | None:
     """(-length, i, j), in order, of the maximal matches of size or more words; 0 matches nothing.
+    None if there are more than `most`.
 
     Equal windows are paired only where the words before them differ or are marked, so words
     and phrases that repeat give one pair for each maximal match, not for each pair of places.
@@ -153,6 +241,8 @@ def _matches(x: np.ndarray, y: np.ndarray, size: int) -> list[tuple[int, int, in
     low, high = np.searchsorted(key, cj * words), np.searchsorted(key, (cj + 1) * words)
     same, other = (np.where(before > 0, np.searchsorted(key, cj * words + before, side), high) for side in ("left", "right"))
     start, n, j = np.r_[low, other], np.r_[same - low, high - other], np.r_[j, j]
+    if n.sum() > most:
+        return None
     found, x, y = [], np.r_[x, 0], np.r_[y, 0]
     for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) >> 20)) + 1):
         k = np.repeat(start[part] - np.cumsum(n[part]) + n[part], n[part]) + np.arange(n[part].sum())
@@ -171,17 +261,23 @@ def _matches(x: np.ndarray, y: np.ndarray, size: int) -> list[tuple[int, int, in
 def common_seeds(n_words: int, hashes: list[int], items: list[int], coverage: float, width: int = MIN_MATCH) -> list[int]:
     """The seeds of an item that make candidates: all but the most frequent ones that
     together cover too few words to reach the coverage."""
-    need = int(np.ceil(coverage * n_words - 1e-9))
-    covered, left = np.zeros(n_words, bool), set()
+    need, n = int(np.ceil(coverage * n_words - 1e-9)), 0
+    covered, left = bytearray(n_words), set()
     for i in sorted(range(len(hashes)), key=lambda i: (-items[i], i)):
-        was = covered.copy()
-        covered[i : i + width] = True
-        if covered.sum() >= need:
-            covered = was
+        more = covered.count(0, i, i + width)
+        if n + more >= need:
             left.add(hashes[i])
+        else:
+            covered[i : i + width] = b"\1" * width
+            n += more
     return sorted(left)
 
 
+def seed_width(words: list[str]) -> int:
+    """Words of an item's seeds and tiles, at least: an item of fewer than MIN_MATCH words counts as a whole."""
+    return min(MIN_MATCH, max(1, len(words)))
+
+
 def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
@@ -197,7 +293,7 @@ def _items(benchmark: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame]
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [words_of(t) for t in batch.column("text").to_pylist()]
         names = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
-        return record(schema, item_id=batch.column("item_id"), _item=names, words=words, seeds=[_signed(seed_hashes(w)) for w in words])
+        return record(schema, item_id=batch.column("item_id"), _item=names, words=words, seeds=[_signed(seed_hashes(w, seed_width(w))) for w in words])
 
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = written(by_batch(texts, run, "item_id long, _item binary, words array<string>, seeds array<long>").where(F.size("seeds") > 0), "items")
@@ -210,7 +306,7 @@ def _items(benchmark: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame]
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.to_pylist()
-        makers = [common_seeds(len(r["words"]), r["seeds"], [x["n"] for x in r["f"]], coverage) for r in rows]
+        makers = [common_seeds(len(r["words"]), r["seeds"], [x["n"] for x in r["f"]], coverage, seed_width(r["words"])) for r in rows]
         return pa.RecordBatch.from_arrays([batch.column(k) for k in ("_item", "words", "seeds")] + [pa.array(makers, pa.list_(pa.int64()))], names=["_item", "words", "seeds", "makers"])
 
     joined = items.join(ranked, "_item").select("_item", "words", "seeds", "f")
@@ -234,8 +330,8 @@ def bit_field(seeds: DataFrame) -> np.ndarray:
     return field
 
 
-def _stretches(docs: DataFrame, field: np.ndarray) -> DataFrame:
-    """_row, doc_id, start, words, seeds: stretches of documents made of possible seeds; written."""
+def _stretches(docs: DataFrame, field: np.ndarray, widths: list[int]) -> DataFrame:
+    """_row, doc_id, start, words, seeds: stretches of documents made of possible seeds of these widths; written."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
     names = {"_row": pa.int64(), "doc_id": pa.int64(), "start": pa.int32(), "words": pa.list_(pa.string()), "seeds": pa.list_(pa.int64())}
 
@@ -243,20 +339,27 @@ def _stretches(docs: DataFrame, field: np.ndarray) -> DataFrame:
         bits, out = shared.value, {k: [] for k in names}
         for row, doc, text in zip(*(batch.column(k).to_pylist() for k in ("_row", "doc_id", "text")), strict=True):
             words = words_of(text)
-            h = seed_hashes(words)
-            at = (h & np.uint64((1 << FIELD_BITS) - 1)).astype(np.int64)
-            hits = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-            if not len(hits):
+            starts, ends, found = [], [], []
+            for width in widths:
+                h = seed_hashes(words, width)
+                at = (h & np.uint64((1 << FIELD_BITS) - 1)).astype(np.int64)
+                hits = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                starts, ends, found = [*starts, hits], [*ends, hits + width], [*found, h[hits]]
+            starts, ends, found = np.concatenate(starts), np.concatenate(ends), np.concatenate(found)
+            if not len(starts):
                 continue
+            if len(widths) > 1:
+                order = np.argsort(starts, kind="stable")
+                starts, ends, found = starts[order], np.maximum.accumulate(ends[order]), found[order]
             # Windows whose words touch or overlap are one stretch.
-            cut = np.flatnonzero(np.diff(hits) > MIN_MATCH) + 1
-            for part in np.split(hits, cut):
-                a, b = int(part[0]), int(part[-1]) + MIN_MATCH
+            cut = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+            for part in np.split(np.arange(len(starts)), cut):
+                a, b = int(starts[part[0]]), int(ends[part[-1]])
                 out["_row"].append(row)
                 out["doc_id"].append(doc)
                 out["start"].append(a)
                 out["words"].append(words[a:b])
-                out["seeds"].append(sorted(set(_signed(h[part]))))
+                out["seeds"].append(sorted(set(_signed(found[part]))))
         return record(names, **out)
 
     rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
@@ -269,7 +372,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     A row for each document and item whose tiles cover so much of the item.
     """
     members, items = _items(benchmark, coverage)
-    stretches = _stretches(docs, bit_field(items.select(F.explode("seeds").alias("seed"))))
+    size = F.least(F.lit(MIN_MATCH), F.size("words"))
+    widths = sorted(r["n"] for r in items.select(size.alias("n")).distinct().collect())  # five numbers at most
+    stretches = _stretches(docs, bit_field(items.select(F.explode("seeds").alias("seed"))), widths or [MIN_MATCH])
     makers = items.select("_item", F.explode("makers").alias("seed"))
     # Seeds that very many documents hold are split by adaptive execution: both sides are dealt anew.
     pairs = written(
@@ -290,7 +395,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             for part in r["parts"]:
                 words += [*part["words"], None]  # no tile goes over a gap
                 place += [part["start"] + k for k in range(len(part["words"]) + 1)]
-            found = tiles(words, r["item"])
+            found = tiles(words, r["item"], seed_width(r["item"]))
             share = sum(n for *_, n in found) / len(r["item"])
             if share >= coverage:
                 out["doc_id"].append(r["doc_id"])

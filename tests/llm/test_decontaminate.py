@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-import time
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -34,8 +34,8 @@ def brute(docs, items, least=5, coverage=0.5):
     for d, t in docs:
         for k, u in items:
             a, b = D.words_of(t), D.words_of(u)
-            if len(b) >= least:
-                found = brute_tiles(a, b, least)
+            if b:
+                found = brute_tiles(a, b, min(least, len(b)))
                 if sum(n for *_, n in found) >= coverage * len(b):
                     out.append((d, k, round(sum(n for *_, n in found) / len(b), 9), sorted((i, j, n) for i, j, n in found)))
     return sorted(out, key=repr)
@@ -51,25 +51,57 @@ def test_tiles(a, b, least):
     assert D.tiles(a, b, least) == brute_tiles(a, b, least)
 
 
-def test_tiles_of_repeated_words_and_phrases():
+def test_tiles_of_repeated_words_and_phrases(monkeypatch):
     """Words, phrases and periods that repeat do not multiply, and the tiles are the same."""
-    def took(a, b):
-        began = time.process_time()
-        found = D.tiles(a, b)
-        return found, time.process_time() - began
-
-    found, seconds = took(["w"] * 20_000, ["w"] * 400)
-    assert found == [(0, 0, 400)] and seconds < 0.5
-    found, seconds = took(["a", "b", "c"] * 20_000, (["a", "b", "c"] * 60 + ["x"]) * 3)
-    assert [n for *_, n in found] == [180] * 3 and seconds < 3
-    phrase = "one two three four five".split()
-    a = [x for k in range(3000) for x in (f"a{k}", *phrase)]
-    found, seconds = took(a, [x for k in range(60) for x in (f"b{k}", *phrase)])
-    assert len(found) == 60 and seconds < 5
+    listed, pairs = D._matches, []
+
+    def counted(*args):
+        found = listed(*args)
+        pairs.append(len(found or ()))
+        return found
+
+    monkeypatch.setattr(D, "_matches", counted)
+    assert D.tiles(["w"] * 20_000, ["w"] * 400) == [(0, 0, 400)]
+    assert [n for *_, n in D.tiles(["a", "b", "c"] * 20_000, (["a", "b", "c"] * 60 + ["x"]) * 3)] == [180] * 3
+    assert sum(pairs) < 100_000
     for a, b in ((["w"] * 60, ["w"] * 23), (["a", "b"] * 30, ["b", "a", "b"] * 9), (["w"] * 30 + [None] + ["w"] * 8, ["w"] * 45), (["w"] * 9, ["w"] * 50 + ["v"])):
         assert D.tiles(a, b) == brute_tiles([object() if w is None else w for w in a], b, 5)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=50), st.lists(st.sampled_from("abcd"), max_size=50), st.integers(1, 5))
+def test_tiles_by_turns(a, b, least):
+    """The way for matches too many to list gives the same tiles."""
+    listed = D._matches
+    D._matches = lambda x, y, size, most: None
+    try:
+        assert D.tiles(a, b, least) == brute_tiles(a, b, least)
+    finally:
+        D._matches = listed
+
+
+def test_phrases_that_repeat_on_both_sides(monkeypatch):
+    """Work follows places, not pairs of places: 2,000,000 pairs here."""
+    looked, longest = [], D._Level.longest
+    monkeypatch.setattr(D._Level, "longest", lambda self, i, most: looked.append(i) or longest(self, i, most))
+    phrase = "one two three four five".split()
+    a = [x for k in range(10_000) for x in (f"a{k}", *phrase)]
+    b = [x for k in range(200) for x in (f"b{k}", *phrase)]
+    tracemalloc.start()
+    found = D.tiles(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(1 + 6 * k, 1 + 6 * k, 5) for k in range(200)]
+    assert len(looked) < 3 * 10_000 and most < 100e6
+
+
+def test_items_of_many_words_take_linear_time():
+    """A hundred thousand seeds of an item: each looks at its own words only."""
+    n = 100_000
+    makers = D.common_seeds(n, list(range(n - 4)), [1] * (n - 4), 0.5)
+    assert n // 2 - 10 < len(makers) < n // 2 + 10
+
+
 @given(st.lists(st.text(alphabet="abé", min_size=1, max_size=4), max_size=30))
 def test_equal_windows_have_equal_hashes(words):
     h = D.seed_hashes(words)
@@ -86,7 +118,7 @@ def test_against_brute_force(spark):
     for k in range(24):
         own = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 30))]
         items.append((k, " ".join(common * (k % 2) + own)))
-    items += [(50, None), (51, ""), (52, "one two three four"), (53, items[1][1]), (53, items[1][1]), (None, items[3][1])]
+    items += [(50, None), (51, ""), (52, "one two three four"), (54, "Two three?"), (55, "uno"), (53, items[1][1]), (53, items[1][1]), (None, items[3][1])]
     for d in range(60):
         text = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(40))]
         for _ in range(rng.randrange(3)):
@@ -94,7 +126,7 @@ def test_against_brute_force(spark):
             cut = rng.randrange(len(w) + 1)
             text += rng.choice([w, w[cut:] + ["then"] + w[:cut], common, w[: len(w) // 2]]) + ["x"] * rng.randrange(2)
         docs.append((d, ", ".join(text).upper()))
-    docs += [(90, None), (91, ""), (92, items[5][1]), (92, items[5][1]), (None, items[5][1])]
+    docs += [(90, None), (91, ""), (92, items[5][1]), (92, items[5][1]), (None, items[5][1]), (93, "one two three four"), (94, "one two. Three: w1 w2 w3 w4 four, uno"), (95, "one two four three")]
     got = D.contaminated(spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string"), spark.createDataFrame([(*r, "y") for r in items], "item_id long, text string, words string"))
     want = brute(docs, items)
     # Of equally long matches, tiles may lie elsewhere in a document; coverage must agree.
