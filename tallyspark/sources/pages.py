@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from html import unescape
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.operators.extract import price_rows
+from tallyspark.sources.references import decoded
 
 # fixed values: elements that can be a row, that name a section, or that hold no text
 ROWS = "tr li div p section article td th dd dl".split()
@@ -19,10 +20,39 @@ HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 HIDDEN = "script style noscript svg head".split()
 MOST_CELLS = 8
 
-_PIECE = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|([^<]+|<)", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _SPACE = re.compile(r"\s+")
 
 
+def pieces_of(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(slash, name, attributes, text): the tags and the texts between them, in one pass.
+
+    A comment without end is text, and so is a ``<`` that begins no tag or is the start of one
+    without end; what is not found once is not looked for again.
+    """
+    at, n, comments, tags = 0, len(html), True, True
+    while at < n:
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = n if end < 0 else end
+            yield "", "", "", html[at:end]
+        else:
+            end = 0
+            if comments and html.startswith("<!--", at):
+                end = html.find("-->", at + 4) + 3
+                comments = end > 2
+                end = end if comments else 0
+            elif tags and (m := _TAG.match(html, at)):
+                end = html.find(">", m.end()) + 1
+                tags = end > 0
+                if tags:
+                    yield html[at + 1 : m.start(1)], m[1], html[m.end() : end - 1], ""
+            if not end:
+                end = at + 1
+                yield "", "", "", "<"
+        at = end
+
+
 def cells_of(html: str) -> list[tuple[list[str], str]]:
     """(cells, category) of each block that holds one to eight pieces of text.
 
@@ -33,12 +63,12 @@ def cells_of(html: str) -> list[tuple[list[str], str]]:
     category, hidden = "", 0
 
     def end_piece():
-        text = _SPACE.sub(" ", unescape(" ".join(piece))).strip()
+        text = _SPACE.sub(" ", decoded(" ".join(piece))).strip()
         piece.clear()
         if text and opened:
             opened[-1].append(text)
 
-    for slash, name, attrs, text in _PIECE.findall(unicodedata.normalize("NFC", html or "")):
+    for slash, name, attrs, text in pieces_of(unicodedata.normalize("NFC", html or "")):
         if text:
             if not hidden:
                 (piece if heading is None else heading).append(text)
@@ -50,7 +80,7 @@ def cells_of(html: str) -> list[tuple[list[str], str]]:
             continue
         elif name in HEADINGS:
             if slash:
-                title = _SPACE.sub(" ", unescape(" ".join(heading or ()))).strip()
+                title = _SPACE.sub(" ", decoded(" ".join(heading or ()))).strip()
                 category, heading = title or category, None
                 piece.clear()
             else:
