@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html import unescape
+
+from tallyspark.sources.references import decoded
 
 #: What a block is: inside the article, inside the main element, of no known part, or furniture.
 ARTICLE, MAIN, OTHER, FURNITURE = 0, 1, 2, 3
@@ -136,7 +137,7 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
 
     def end_block():
         if text:
-            plain = " ".join(unescape("".join(text)).split())
+            plain = " ".join(decoded("".join(text)).split())
             if plain:
                 out.append((part, plain, bare if level == FORM else part))
             text.clear()
