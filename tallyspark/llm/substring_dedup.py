@@ -13,8 +13,9 @@ word by word; a match of WINDOW words or more is a repeat. What a member has bey
 can only match members that part from the first one at the same place with the same
 word: they form groups of their own, by the word before or after the match, until a member is alone.
 So a passage that many documents share costs a comparison for each, not for each pair.
-Groups of up to SMALL_GROUP members are split up within a task; larger ones in rounds, each
-of which joins the members with the first one of their group, one row a group.
+Groups of up to SMALL_GROUP members are extended within a task. Members of larger ones, so that
+none meet in one task, are dealt by the windows of their contexts: a window repeats if its
+least document is smaller.
 
 Overlapping repeats are merged to maximal ones before words are removed.
 
@@ -38,8 +39,8 @@ from tallyspark.llm.common import by_batch, record, written
 WINDOW, SEED = 50, 8
 #: Words of a context before its anchor, at most, and after it.
 REACH = WINDOW - SEED
-#: Members of a group that one task splits up.
-SMALL_GROUP = 1000
+#: Members of a group that one task extends.
+SMALL_GROUP = 200
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 1 << 20
 
@@ -253,67 +254,34 @@ def _small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield record(_REPEAT, **out)
 
 
-def _group(anchor_words: list[str], before: list[str], after: list[str]) -> int:
-    """The name of the group of those that share these words."""
-    name = "\n".join([" ".join(anchor_words), " ".join(before), " ".join(after)])
-    return int(_signed([xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))])[0])
-
-
-def _extended(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Members with the first one of their group: the repeat, if any (left, right), and the groups in which a
-    member goes on, each with the words before and after the anchor that its members share."""
-    went = pa.list_(pa.struct([("group", pa.int64()), ("l", pa.int32()), ("r", pa.int32())]))
-    names = {k: t for k, t in _MEMBER.items() if k != "group"} | {"left": pa.int32(), "right": pa.int32(), "went": went}
+def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each window of a context: window (its hash, 128 bits), doc_id, key, at, low."""
+    names = {"window": pa.binary(), "doc_id": pa.int64(), "key": pa.int64(), "at": pa.int32(), "low": pa.int32()}
     out = {k: [] for k in names}
     for r in batch.to_pylist():
-        own, other = r["words"].split(" "), r["f_words"].split(" ")
-        k, f = r["at"] - r["low"], r["f_at"] - r["f_low"]
-        before, seed, after = own[:k][::-1], own[k : k + SEED], own[k + SEED :]
-        f_before, f_seed, f_after = other[:f][::-1], other[f : f + SEED], other[f + SEED :]
-        went, left, right = [], 0, 0
-        if seed != f_seed:  # another anchor of the same hash
-            went.append({"group": _group(seed, [], []), "l": 0, "r": 0})
-        else:
-            while left < min(len(before), len(f_before)) and before[left] == f_before[left]:
-                left += 1
-            while right < min(len(after), len(f_after)) and after[right] == f_after[right]:
-                right += 1
-            if left < len(before):
-                went.append({"group": _group(seed, before[: left + 1], after[: r["r"]]), "l": left + 1, "r": r["r"]})
-            if right < len(after):
-                went.append({"group": _group(seed, before[: r["l"]], after[: right + 1]), "l": r["l"], "r": right + 1})
-        hit = seed == f_seed and r["later"] and left + SEED + right >= WINDOW
-        row = (*(r[c] for c in list(_MEMBER)[1:]), left if hit else None, right if hit else None, went)
-        for c, v in zip(names, row, strict=True):
-            out[c].append(v)
+        words = r["words"].encode("utf-8", "surrogatepass").split(b" ")
+        for k in range(len(words) - WINDOW + 1):
+            row = (xxhash.xxh3_128_digest(b" ".join(words[k : k + WINDOW])), r["doc_id"], r["key"], r["at"], r["low"] + k)
+            for c, v in zip(names, row, strict=True):
+                out[c].append(v)
     return record(names, **out)
 
 
 def repeats(members: DataFrame) -> DataFrame:
     """doc_id, key, at, low, high of all repeats among the contexts of each group; written."""
-    out, members = None, members.withColumns({"l": F.lit(0), "r": F.lit(0)})
+    sizes = written(members.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    hot = sizes.where(F.col("size") > SMALL_GROUP).select("group")
+    small = members.join(sizes.where(F.col("size") <= SMALL_GROUP), "group", "left_semi").select(*_MEMBER)
     order = ["group", F.col("doc_id").asc_nulls_last(), "key", "at"]
-    rank = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(_order())), "key", "at")
-    while True:
-        sizes = written(members.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        hot = sizes.where(F.col("size") > SMALL_GROUP)
-        small = members.join(sizes.where(F.col("size") <= SMALL_GROUP), "group", "left_semi").select(*_MEMBER)
-        found = small.repartition("group").sortWithinPartitions(*order).mapInArrow(_small_groups, "doc_id long, key long, at int, low int, high int")
-        out = found if out is None else out.unionByName(found)
-        if hot.isEmpty():
-            return written(out, "repeats")
-        large = members.join(hot.select("group"), "group").dropDuplicates(["group", "doc_id", "key", "at"])
-        large = written(large, "large")
-        firsts = large.groupBy("group").agg(F.min(F.struct(rank.alias("rank"), "low", "words")).alias("f"))
-        firsts = firsts.select("group", F.col("f.rank").alias("f_rank"), F.col("f.low").alias("f_low"), F.col("f.words").alias("f_words"))
-        # A row a group on one side: adaptive execution splits the members of a hot group.
-        pairs = large.join(written(firsts, "firsts"), "group").where(rank > F.col("f_rank"))
-        later = F.struct("rank.o0", "rank.o1") > F.struct("f_rank.o0", "f_rank.o1")
-        pairs = pairs.withColumns({"rank": rank, "f_at": F.col("f_rank.at")}).withColumn("later", later).drop("rank", "f_rank")
-        schema = "doc_id long, key long, at int, low int, high int, words string, left int, right int, went array<struct<group:long,l:int,r:int>>"
-        parted = written(by_batch(pairs, _extended, schema), "parted")
-        out = out.unionByName(parted.where("left IS NOT NULL").select("doc_id", "key", "at", (F.col("at") - F.col("left")).alias("low"), (F.col("at") + SEED + F.col("right")).alias("high")))
-        members = parted.select("*", F.inline("went")).select(*members.columns)
+    found = small.repartition("group").sortWithinPartitions(*order).mapInArrow(_small_groups, "doc_id long, key long, at int, low int, high int")
+    # Large groups are dealt by windows. Those of a context that repeat all hold its anchor, so they are one stretch.
+    windows = by_batch(members.join(hot, "group", "left_semi"), _windows, "window binary, doc_id long, key long, at int, low int")
+    windows = written(windows, "windows")
+    rank = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(_order())))
+    least = windows.groupBy("window").agg(F.min(rank).alias("least"), F.max(rank).alias("most")).where("least < most")
+    later = windows.join(least, "window").where(rank > F.col("least"))
+    large = later.groupBy("doc_id", "key", "at").agg(F.min("low").alias("low"), (F.max("low") + WINDOW).alias("high"))
+    return written(found.unionByName(large), "repeats")
 
 
 def maximal(spans: DataFrame) -> DataFrame:
