@@ -1,12 +1,15 @@
 """Matching of work names with catalogue items: a token-weighted fuzzy join.
 
 How it is dealt. Queries and items are reduced to distinct (name, unit) first. Their
-vocabularies meet in equi-joins: words that begin alike meet on their first four letters;
-words that are only similar meet on a piece that a small edit distance must leave intact
-(for every pair of lengths, one piece more than edits are allowed). Then queries meet items
-on words; of a query, the commonest words that together weigh too little to reach the
-threshold make no candidates. So cost follows the postings of rare words, not the product
-of queries and items, and nothing that could score is lost.
+vocabularies meet in equi-joins: on beginnings, on what is left of words of up to SHORTENED letters
+without a few of them (two words are alike if they have that in common), and for longer words on a piece
+that a small edit distance must leave intact.
+
+Then queries meet items on words, the rarest one first. Each pair has bounds of its score before
+the phrases are compared. The best lower bounds of a query say how much weight an item must hold to
+get among its best: only the commoner words without which that cannot be reached make more pairs.
+Phrases are compared for pairs whose upper bound is among the best. So cost follows the
+postings of rare words, not the product of queries and items, and nothing that could be among the best is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from tallyspark.sources.shared import written
 
 #: (shorter word has fewer than 6 letters) -> least ratio
 SHORT_RATIO, LONG_RATIO, SHORT_WORD = 90.0, 82.0, 6
+#: Words of more letters meet by pieces: what may be left of them without some letters is too much.
+SHORTENED = 12
+#: No score is shown above TOP_SCORE; scores this much apart may be shown as the same.
+TOP_SCORE, ROUNDING = 99.9, 0.1
 
 
 def least_ratio(a: Column, b: Column) -> Column:
@@ -45,21 +52,37 @@ def _pieces(word: str, own: str, other: str, shifts: bool) -> str:
     key = f"concat_ws('|', {lw}, {lq}, k, substring({word}, {start} + s + 1, {size}))"
     spread = "sequence(-d, d)" if shifts else "array(0)"
     inner = f"flatten(transform(sequence(0, d), k -> transform(filter({spread}, s -> {start} + s >= 0 and {start} + s + {size} <= length({word})), s -> {key})))"
-    lengths = f"filter(sequence(greatest(4, cast(ceil(length({word}) * 0.69) as int)), cast(floor(length({word}) * 1.45) as int)), l -> abs(length({word}) - l) <= element_at(transform(array({edits}), d -> d), 1))"
+    lengths = f"filter(sequence(greatest(4, cast(ceil(length({word}) * 0.69) as int)), cast(floor(length({word}) * 1.45) as int)), l -> greatest(l, length({word})) > {SHORTENED} AND abs(length({word}) - l) <= element_at(transform(array({edits}), d -> d), 1))"
     return f"flatten(transform({lengths}, l -> element_at(transform(array({edits}), d -> {inner}), 1)))"
 
 
+def _shortened(df: DataFrame, word: str) -> DataFrame:
+    """word, key: what is left of words of 4 to SHORTENED letters without any of the letters
+    that a like word may lack. Two words of n and m letters are alike if 2 c / (n + m) reaches the
+    ratio for c common letters, so at most 0.305 n go."""
+    drop = "array_distinct(flatten(transform({0}, x -> transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1))))))"
+    least = f"cast(floor(0.305 * length({word}) + 1e-9) as int)"
+    steps = df.where(F.length(word).between(4, SHORTENED)).withColumn("v0", F.array(word))
+    for k in range(1, int(0.305 * SHORTENED) + 1):
+        steps = steps.withColumn(f"v{k}", F.expr(f"if({least} >= {k}, {drop.format(f'v{k - 1}')}, array())"))
+    every = F.concat(*(f"v{k}" for k in range(int(0.305 * SHORTENED) + 1)))
+    return steps.select(word, F.explode(every).alias("key"))
+
+
 def vocabulary_hits(queries: DataFrame, words: DataFrame) -> DataFrame:
     """(q, w) for which token_hit holds. queries: q; words: w; both distinct."""
-    q4 = queries.where(F.length("q") >= 4).withColumn("key", F.substring("q", 1, 4))
-    w4 = words.where(F.length("w") >= 4).withColumn("key", F.substring("w", 1, 4))
-    starts = (F.startswith("w", "q")) | (F.startswith("q", "w") & (F.length("w") >= 5))
-    alike = q4.join(w4, "key").where(starts).select("q", "w")
+    begin = lambda df, c, n: df.where(F.length(c) >= n).select(c, F.explode(F.transform(F.sequence(F.lit(n), F.length(c)), lambda k: F.substring(c, F.lit(1), k))).alias("key"))
+    longer = begin(words, "w", 4).join(queries.select("q", F.col("q").alias("key")), "key").select("q", "w")
+    shorter = begin(queries, "q", 5).join(words.select("w", F.col("w").alias("key")), "key").select("q", "w")
+    common = _shortened(queries, "q").join(_shortened(words, "w"), "key")
+    near = common.where(200.0 * F.length("key") / (F.length("q") + F.length("w")) >= least_ratio(F.col("q"), F.col("w"))).select("q", "w")
     long = "length({0}) >= 4"
     qs = queries.where(long.format("q")).select("q", F.explode(F.array_distinct(F.expr(_pieces("q", "q", "w", True)))).alias("key"))
     ws = words.where(long.format("w")).select("w", F.explode(F.array_distinct(F.expr(_pieces("w", "w", "q", False)))).alias("key"))
-    near = qs.join(ws, "key").select("q", "w").distinct().where(S.ratio(F.col("q"), F.col("w")) >= least_ratio(F.col("q"), F.col("w")))
-    return alike.union(near).distinct()
+    # Written, or else Spark compares a pair once for each piece that it shares.
+    met = written(qs.join(ws, "key").select("q", "w").distinct(), "met")
+    far = met.where(S.ratio(F.col("q"), F.col("w")) >= least_ratio(F.col("q"), F.col("w")))
+    return longer.union(shorter).union(near).union(far).distinct()
 
 
 def with_name_parts(df: DataFrame) -> DataFrame:
@@ -112,37 +135,54 @@ def token_lists(queries: DataFrame, items: DataFrame, all_items: DataFrame) -> D
     return lists.withColumn("total", F.aggregate("tokens", F.lit(0.0), lambda s, t: s + t["weight"]))
 
 
-def scored_pairs(queries: DataFrame, items: DataFrame, lists: DataFrame, need: float = 0.0, actions: bool = True, units: bool = True) -> DataFrame:
-    """Pairs of a query and an item form that share a hit, with raw score.
+def scored_pairs(queries: DataFrame, items: DataFrame, lists: DataFrame, limit: int, least: float | None = None, actions: bool = True, units: bool = True, opposite: bool = True) -> DataFrame:
+    """Pairs of a query and an item form that share a hit, with raw score: the best `limit` of
+    each query that reach `least`, and few others.
 
-    queries: qid, name, stems, phrase, action, unit_n. lists: their token_lists. need: the least
-    coverage that matters; pairs that cannot reach it may be left out.
+    queries: qid, name, stems, phrase, action, unit_n. lists: their token_lists. opposite: whether
+    pairs of opposite actions count.
     """
-    # Rarest first; a word makes candidates unless it and all commoner ones weigh under `need`.
-    order = F.reverse(F.array_sort(F.transform("tokens", lambda t: F.struct(t["weight"].alias("weight"), t["at"].alias("at"), t["words"].alias("words")))))
-    dealt = lists.withColumn("order", order)
+    beyond = fixed.SIMILARITY_SHARE + (fixed.UNIT_BONUS if units else 0.0)  # the most besides coverage
+    share = lambda score: (score - ROUNDING - beyond) / fixed.COVERAGE_SHARE
+    floor = 0.0 if least is None else max(0.0, share(least))
+    order = F.reverse(F.array_sort(F.transform(F.filter("tokens", lambda t: t["weight"] > 0), lambda t: F.struct(t["weight"].alias("weight"), t["at"].alias("at"), t["words"].alias("words")))))
+    dealt = lists.where("total > 0").withColumn("order", order)  # rarest first
+    asked = queries.join(lists.select("qid", "tokens", "total"), "qid").select("qid", "tokens", "total", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
+    post = items.select("iid", F.explode(F.array_distinct("stems")).alias("w"))
+    differ = (F.col("q_action") != "") & (F.col("action") != "") & (F.col("q_action") != F.col("action"))
+
+    def bounded(makers: DataFrame) -> DataFrame:
+        """Pairs by the words of makers (qid, words, need), with bounds of the score; those below need are left out."""
+        words = makers.select("qid", "need", F.explode(F.array_distinct("words")).alias("w"))
+        pairs = words.join(post, "w").groupBy("qid", "iid").agg(F.first("need").alias("need"))
+        joined = pairs.join(items, "iid").join(asked, "qid")  # lists of words come last: they travel with queries, not with pairs
+        held = F.aggregate(F.filter("tokens", lambda t: F.arrays_overlap(t["words"], F.col("stems"))), F.lit(0.0), lambda s, t: s + t["weight"])
+        joined = joined.withColumn("coverage", held / F.col("total")).where(F.col("coverage") >= F.col("need") - 1e-9)
+        joined = (joined if opposite else joined.where(~differ)).withColumn("sets", S.token_sets(F.col("q_phrase"), F.col("phrase")))
+        score = lambda common: _score(F.col("coverage"), S.of_token_sets(F.col("sets"), common), actions, units)
+        shorter = F.least(F.length("sets.jx"), F.length("sets.jy"))
+        return joined.withColumns({"low": score(F.lit(0)), "high": score(shorter)}).drop("tokens", "total", "stems", "need", "q_phrase", "phrase")
+
+    def kth(pairs: DataFrame) -> DataFrame:
+        """qid, bar: what a pair must reach to be among the best `limit` of its query."""
+        best = pairs.select("qid", "low").withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("low")))).where(F.col("_n") <= limit)
+        return best.groupBy("qid").agg(F.min("low").alias("bar"), F.count("*").alias("n")).where(F.col("n") == limit).select("qid", F.least("bar", F.lit(TOP_SCORE)).alias("bar"))
+
+    first = written(bounded(dealt.select("qid", F.col("order")[0]["words"].alias("words"), F.lit(floor).alias("need"))), "first")
     rest = lambda i: F.aggregate(F.slice("order", i + 1, F.size("order")), F.lit(0.0), lambda s, t: s + t["weight"])
-    makers = F.filter("order", lambda t, i: (rest(i) >= need * F.col("total") - 1e-9) & (t["weight"] > 0))
-    asked = dealt.select("qid", F.explode(F.array_distinct(F.flatten(F.transform(makers, lambda t: t["words"])))).alias("w")).distinct()
-    post = items.select(F.col("iid"), F.explode(F.array_distinct("stems")).alias("w"))
-    pairs = asked.join(post, "w").select("qid", "iid").distinct()
-    q = queries.join(lists.select("qid", "tokens", "total"), "qid").select("qid", "tokens", "total", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
-    joined = pairs.join(q, "qid").join(items, "iid")
-    share = F.aggregate(F.filter("tokens", lambda t: F.arrays_overlap(t["words"], F.col("stems"))), F.lit(0.0), lambda s, t: s + t["weight"])
-    joined = joined.withColumn("coverage", F.when(F.col("total") > 0, share / F.col("total")).otherwise(0.0)).where(F.col("coverage") >= need - 1e-9)
-    joined = with_similarity(written(joined.drop("tokens", "total", "stems"), "joined"))
-    return joined.withColumn("raw", _score(F.col("coverage"), actions, units))
-
-
-def with_similarity(pairs: DataFrame) -> DataFrame:
-    """Adds similarity of q_phrase and phrase, computed once for each distinct pair of them:
-    it is by far the dearest expression, and many items and queries share their phrases."""
-    distinct = pairs.select("q_phrase", "phrase").distinct()
-    return pairs.join(distinct.withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase"))), ["q_phrase", "phrase"])
-
-
-def _score(coverage: Column, actions: bool, units: bool) -> Column:
-    score = fixed.COVERAGE_SHARE * coverage + fixed.SIMILARITY_SHARE / 100 * F.col("similarity")
+    more = dealt.where(F.size("order") > 1).join(kth(first), "qid", "left").withColumn("need", F.greatest(F.lit(floor), F.coalesce(share(F.col("bar")), F.lit(0.0))))
+    makers = F.filter("order", lambda t, i: (i > 0) & (rest(i) >= F.col("need") * F.col("total") - 1e-9))
+    more = more.select("qid", F.flatten(F.transform(makers, lambda t: t["words"])).alias("words"), "need").where(F.size("words") > 0)
+    seen = first.unionByName(bounded(more).join(first.select("qid", "iid"), ["qid", "iid"], "left_anti"))
+    seen = written(seen, "seen")
+    bars = seen.join(kth(seen), "qid", "left").where(F.least("high", F.lit(TOP_SCORE)) >= F.coalesce("bar", F.lit(-1e9)) - ROUNDING)
+    kept = bars if least is None else bars.where(F.col("high") >= least - ROUNDING)
+    similarity = S.of_token_sets(F.col("sets"), S.common_length(F.col("sets.jx"), F.col("sets.jy")))
+    return kept.withColumn("raw", _score(F.col("coverage"), similarity, actions, units)).drop("sets", "low", "high", "bar")
+
+
+def _score(coverage: Column, similarity: Column, actions: bool, units: bool) -> Column:
+    score = fixed.COVERAGE_SHARE * coverage + fixed.SIMILARITY_SHARE / 100 * similarity
     if actions:
         differ = (F.col("q_action") != "") & (F.col("action") != "") & (F.col("q_action") != F.col("action"))
         score = score - F.when(differ, fixed.ACTION_PENALTY).otherwise(0.0)
@@ -189,11 +229,9 @@ def match(queries: DataFrame, items: DataFrame, limit: int = 1) -> DataFrame:
     sure = F.col("item").isNotNull() & ((F.col("unit_n") == "") | (T.normalise_unit(F.col("item.unit")) == F.col("unit_n")))
     exact = named.where(sure).select("qid", F.lit(1).alias("rank"), "item.code", F.lit(100.0).alias("score"), F.col("item.name").alias("match_name"), F.col("item.unit").alias("match_unit"), "item.category", "item.labor", "item.material", "item.machines")
     rest = named.where(~F.coalesce(sure, F.lit(False))).select(*q.columns)
-    need = (fixed.MIN_SCORE - 0.05 - fixed.SIMILARITY_SHARE - fixed.UNIT_BONUS) / fixed.COVERAGE_SHARE
     forms = _items(items, limit)
-    pairs = scored_pairs(rest, forms, token_lists(rest, forms, items), need)
-    opposite = (F.col("q_action") != "") & (F.col("action") != "") & (F.col("q_action") != F.col("action"))
-    pairs = pairs.where(~opposite).withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1)).where(F.col("score") >= fixed.MIN_SCORE)
+    pairs = scored_pairs(rest, forms, written(token_lists(rest, forms, items), "lists"), limit, fixed.MIN_SCORE, opposite=False)
+    pairs = pairs.withColumn("score", F.round(F.least("raw", F.lit(TOP_SCORE)), 1)).where(F.col("score") >= fixed.MIN_SCORE)
     found = exact.unionByName(_result(_ranked(pairs, limit)))
     return q.select("qid", "name", "unit").join(found, "qid").drop("qid")
 
@@ -208,7 +246,7 @@ def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFram
     q = q.where(F.size("stems") > 0)
     forms = _items(items, limit)
     lists = written(token_lists(q, forms, items), "lists")
-    pairs = written(scored_pairs(q, forms, lists).select("qid", "raw", "code", "name", "unit", "category", "labor", "material", "machines", "ord"), "pairs")
+    pairs = written(scored_pairs(q, forms, lists, limit).select("qid", "raw", "code", "name", "unit", "category", "labor", "material", "machines", "ord"), "pairs")
     most = fixed.SIMILARITY_SHARE + fixed.UNIT_BONUS
     few = q.join(pairs.where(F.col("raw") > most).groupBy("qid").count().where(F.col("count") >= limit), "qid", "left_anti")
     found = lists.select("qid", F.array_distinct(F.flatten(F.transform("tokens", lambda t: t["words"]))).alias("found"))
@@ -218,9 +256,9 @@ def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFram
     alike = side.select("q_phrase").distinct().join(forms.select("phrase").distinct(), F.lit(True))
     alike = alike.withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase")))
     rest = side.join(alike, "q_phrase").join(forms, "phrase").where(~F.arrays_overlap("found", "stems"))
-    filled = _ranked(rest.withColumn("raw", _score(F.lit(0.0), True, True)).withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1)), limit)
+    filled = _ranked(rest.withColumn("raw", _score(F.lit(0.0), F.col("similarity"), True, True)).withColumn("score", F.round(F.least("raw", F.lit(TOP_SCORE)), 1)), limit)
     both = pairs.unionByName(filled.select(*pairs.columns))
-    both = both.withColumn("score", F.round(F.least("raw", F.lit(99.9)), 1))
+    both = both.withColumn("score", F.round(F.least("raw", F.lit(TOP_SCORE)), 1))
     return q.select("qid", F.col("name").alias("query_name"), F.col("unit").alias("query_unit")).join(_result(_ranked(both, limit)), "qid").drop("qid").withColumnsRenamed({"query_name": "name", "query_unit": "unit"})
 
 
@@ -235,8 +273,7 @@ def search(texts: DataFrame, items: DataFrame, limit: int = 20, category: str |
     asked = with_name_parts(q.where("text <> ''").select("text", F.col("text").alias("name"), F.lit("").alias("unit"))).where(F.size("stems") > 0)
     asked = written(asked.withColumn("qid", F.monotonically_increasing_id()), "asked")
     forms = _items(items, fetch).withColumn("category_stems", T.stems(F.col("category")))
-    need = (fixed.SEARCH_SCORE - fixed.SIMILARITY_SHARE) / fixed.COVERAGE_SHARE
-    named = scored_pairs(asked, forms, token_lists(asked, forms, items), need, actions=False, units=False).select("qid", "iid", "raw")
+    named = scored_pairs(asked, forms, written(token_lists(asked, forms, items), "lists"), fetch, fixed.SEARCH_SCORE, actions=False, units=False).select("qid", "iid", "raw")
     hits = vocabulary_hits(asked.select(F.explode("stems").alias("q")).distinct(), forms.select(F.explode("category_stems").alias("w")).distinct())
     by_category = (
         asked.select("qid", F.explode("stems").alias("q")).join(hits, "q").select("qid", "w").distinct()
