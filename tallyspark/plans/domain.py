@@ -97,6 +97,17 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with wide names; names come back with other endings and orders when asked for."""
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), wide_name().alias("wide"))
+    return catalogue(spark, sf_dir).join(names, "ord").withColumn("name", F.col("wide")).drop("wide")
+
+
+def wide_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, unit: each part's wide name in other words."""
+    return read(spark, sf_dir, "part").select(wide_name(OTHER_FORMS).alias("name"), pick(RAW_UNITS, F.col("p_size")).alias("unit"))
+
+
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed prices for every tenth part (few rows of a catalogue have any), and codes that
     the base does not know."""

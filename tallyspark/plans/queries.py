@@ -403,6 +403,13 @@ def e_match(spark, sf_dir):
     return found.select("name", "unit", "code", "score", "match_name", "match_unit", *nums(*PRICES))
 
 
+@query()
+def e_match_wide(spark, sf_dir):
+    """The best item of each part's name in other words, over names whose words grow in number
+    with the table. A cross product in SQL is too slow; a test compares it with brute force."""
+    return match.match(D.wide_asked(spark, sf_dir), D.wide_catalogue(spark, sf_dir)).select("name", "unit", "code", "score", "match_name")
+
+
 @query(O.with_views(f"SELECT name, unit, CAST(rank AS INT) AS rank, code, score, match_name FROM ({_RANKED}) WHERE rank <= 5", "catalogue", "positions", **_MATCHING))
 def e_candidates(spark, sf_dir):
     """The five best items of each distinct name and unit, whatever their score."""
