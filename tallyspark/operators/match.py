@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from tallyspark.functions import fixed
 from tallyspark.functions import similarity as S
 from tallyspark.functions import text as T
+from tallyspark.operators.fill import fill
 from tallyspark.sources.shared import written
 
 #: (shorter word has fewer than 6 letters) -> least ratio
@@ -239,8 +240,8 @@ def match(queries: DataFrame, items: DataFrame, limit: int = 1) -> DataFrame:
 def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFrame:
     """The best so many items of each distinct (name, unit), whatever they score.
 
-    Items that share no word with a query score by similarity and unit only, at most `most`.
-    Queries with fewer than `limit` better pairs are compared with all of those items.
+    Items that share no word with a query score by similarity and unit only, at most `most`;
+    queries with fewer than `limit` better pairs are filled up with the best of them.
     """
     q = _queries(queries)
     q = q.where(F.size("stems") > 0)
@@ -250,14 +251,12 @@ def candidates(queries: DataFrame, items: DataFrame, limit: int = 5) -> DataFram
     most = fixed.SIMILARITY_SHARE + fixed.UNIT_BONUS
     few = q.join(pairs.where(F.col("raw") > most).groupBy("qid").count().where(F.col("count") >= limit), "qid", "left_anti")
     found = lists.select("qid", F.array_distinct(F.flatten(F.transform("tokens", lambda t: t["words"]))).alias("found"))
-    side = few.join(found, "qid").select("qid", "found", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"))
-    # A stated query set against all forms. Phrases are compared once for all that share them, and
-    # nothing of it is stored, since each task keeps the best so many of a query.
-    alike = side.select("q_phrase").distinct().join(forms.select("phrase").distinct(), F.lit(True))
-    alike = alike.withColumn("similarity", S.token_set_ratio(F.col("q_phrase"), F.col("phrase")))
-    rest = side.join(alike, "q_phrase").join(forms, "phrase").where(~F.arrays_overlap("found", "stems"))
-    filled = _ranked(rest.withColumn("raw", _score(F.lit(0.0), F.col("similarity"), True, True)).withColumn("score", F.round(F.least("raw", F.lit(TOP_SCORE)), 1)), limit)
-    both = pairs.unionByName(filled.select(*pairs.columns))
+    kth = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("raw")))).where(F.col("_n") == limit).select("qid", F.col("raw").alias("bar"))
+    side = few.join(found, "qid").join(kth, "qid", "left").select("qid", "found", F.col("phrase").alias("q_phrase"), F.col("action").alias("q_action"), F.col("unit_n").alias("q_unit"), "bar")
+    side = written(side, "few")
+    both = pairs
+    if not side.isEmpty():
+        both = pairs.unionByName(fill(side, forms, limit).join(forms, "iid").select(*pairs.columns))
     both = both.withColumn("score", F.round(F.least("raw", F.lit(TOP_SCORE)), 1))
     return q.select("qid", F.col("name").alias("query_name"), F.col("unit").alias("query_unit")).join(_result(_ranked(both, limit)), "qid").drop("qid").withColumnsRenamed({"query_name": "name", "query_unit": "unit"})
 
