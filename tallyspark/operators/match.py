@@ -193,12 +193,17 @@ def _score(coverage: Column, similarity: Column, actions: bool, units: bool) ->
     return score
 
 
-def _queries(df: DataFrame) -> DataFrame:
+def asked_names(df: DataFrame) -> DataFrame:
+    """The distinct (name, unit) of df with their parts: what match makes of its queries; several matches can share it."""
     distinct = df.select("name", "unit").distinct().where(F.trim(F.coalesce("name", F.lit(""))) != "")
     # Distinct names are few next to rows and used many times over: written once, with a number that no other has.
     return written(with_name_parts(distinct).withColumn("qid", F.monotonically_increasing_id()), "queries")
 
 
+def _queries(df: DataFrame) -> DataFrame:
+    return df if "qid" in df.columns else asked_names(df)
+
+
 def _items(items: DataFrame, keep: int) -> DataFrame:
     return written(item_forms(items, keep).withColumn("iid", F.monotonically_increasing_id()), "items")
 

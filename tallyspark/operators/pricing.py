@@ -110,51 +110,149 @@ def read_site(spark, path: str, site: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("site") == site).orderBy("ord")
 
 
-def resolve(asked: DataFrame, history: DataFrame, items: DataFrame, site_prices: DataFrame | None = None, web: DataFrame | None = None, strategy: str = fixed.DEFAULT_STRATEGY) -> DataFrame:
-    """A price for each distinct (name, unit, city, region), from the first source that has one.
+#: What is told about a price beside its source: fields of other sources are null.
+DETAILS = {
+    "samples": "long", "scope": "string", "last_used": "string", "provider": "string", "cached": "boolean", "found_prices": "array<struct<value:double,unit:string,kind:string>>",
+    "site": "string", "matched": "string", "unit": "string", "category": "string", "score": "double", "factor": "double", "code": "string", "base_labor": "decimal(18,6)",
+}
+#: Prices of a web answer that its details show.
+SHOWN_PRICES = 6
+_SOURCE = f"struct<source:string,{','.join(f'{p}:decimal(18,2)' for p in PRICES)},details:struct<{','.join(f'{k}:{v}' for k, v in DETAILS.items())}>>"
 
-    web: work_key, city, labor, material. Each source is one join per distinct request.
-    """
-    order = fixed.STRATEGIES.get(strategy, fixed.STRATEGIES[fixed.DEFAULT_STRATEGY])
+
+def _source(name: str, prices: list[Column], **details: Column) -> Column:
+    told = F.struct(*(details.get(k, F.lit(None)).cast(t).alias(k) for k, t in DETAILS.items()))
+    return F.struct(F.lit(name), *prices, told).cast(_SOURCE)
+
+
+def _web_source(web: DataFrame, cached: bool) -> DataFrame:
+    """work_key, city, s_web or s_cache: what a web answer gives; answers without a price are none."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    more = {"provider": F.col("provider")} if "provider" in web.columns else {}
+    if "samples" in web.columns:
+        more["found_prices"] = F.transform(F.slice("samples", 1, SHOWN_PRICES), lambda x: F.struct(x["value"].cast("double").alias("value"), x["unit"].alias("unit"), x["kind"].alias("kind")))
+    found = web.where((F.col("labor") != 0) | (F.col("material") != 0))
+    source = _source("web", [F.col("labor").cast("decimal(18,2)"), F.col("material").cast("decimal(18,2)"), zero], cached=F.lit(cached), **more)
+    return found.select("work_key", "city", source.alias("s_cache" if cached else "s_web"))
+
+
+def _sources(asked: DataFrame, history: DataFrame, items: DataFrame, site_prices: DataFrame | None, web: DataFrame | None, order: list[str]) -> DataFrame:
+    """For each distinct (name, unit, city, region): work_key, factor, region_label, c (the
+    catalogue's item) and s_<source>, the price that each source of the order has, or null."""
     asked = written(asked.select("name", "unit", "city", "region").distinct(), "requests")  # read by each source
+    names = match.asked_names(asked)
     factor, label = catalog.region_factor(F.col("city"), F.col("region"))
     base = keyed(asked).withColumns({"factor": factor, "region_label": label})
-    parts = ["source", *PRICES]
-    zero = F.lit(0).cast("decimal(18,2)")
-    best = match.match(asked, items).select("name", "unit", F.struct("code", "match_name", "score", *PRICES).alias("c"))
-    base = base.join(best, ["name", "unit"], "left")
+    zero, by_factor = F.lit(0).cast("decimal(18,2)"), F.col("factor").cast("double")
     scaled = lambda c: match.scaled(c, F.col("factor"))
-    source = {"catalog": F.when(F.col("c").isNotNull(), F.struct(F.lit("catalog"), *(scaled(F.col(f"c.{p}")) for p in PRICES)))}
+    best = match.match(names, items).select("name", "unit", F.struct("code", "match_name", "score", "category", *PRICES).alias("c"))
+    base = base.join(best, ["name", "unit"], "left")
+    base = base.withColumn("s_catalog", F.when(F.col("c").isNotNull(), _source("catalog", [scaled(F.col(f"c.{p}")) for p in PRICES], code=F.col("c.code"), category=F.col("c.category"), base_labor=F.col("c.labor"), factor=by_factor, score=F.col("c.score"))))
     if "history" in order:
-        facts = history_price(base, history).select("work_key", "city", "region", F.struct(*PRICES).alias("h"))
+        facts = history_price(base, history).select("work_key", "city", "region", F.struct(*PRICES, "samples", "scope", "last_used").alias("h"))
         base = base.join(facts, ["work_key", "city", "region"], "left")
-        source["history"] = F.when(F.col("h").isNotNull(), F.struct(F.lit("history"), *(F.col(f"h.{p}") for p in PRICES)))
+        base = base.withColumn("s_history", F.when(F.col("h").isNotNull(), _source("history", [F.col(f"h.{p}") for p in PRICES], samples=F.col("h.samples"), scope=F.col("h.scope"), last_used=F.col("h.last_used")))).drop("h")
     if "site" in order and site_prices is not None:
-        site = match.match(asked, match.site_items(site_prices)).where(F.col("labor") != 0).select("name", "unit", F.col("labor").alias("s"))
+        site = match.match(names, match.site_items(site_prices)).where(F.col("labor") != 0)
+        of = site_prices.select(F.concat(F.lit("site-"), F.col("ord").cast("string")).alias("code"), F.col("site") if "site" in site_prices.columns else F.lit(None).cast("string").alias("site"))
+        site = site.join(of, "code").select("name", "unit", F.struct("labor", "site", "match_name", "match_unit", "category", "score").alias("s"))
         base = base.join(site, ["name", "unit"], "left")
-        source["site"] = F.when(F.col("s").isNotNull(), F.struct(F.lit("site"), scaled(F.col("s")), zero, zero))
+        told = {"site": F.col("s.site"), "matched": F.col("s.match_name"), "unit": F.col("s.match_unit"), "category": F.col("s.category"), "score": F.col("s.score"), "factor": by_factor}
+        base = base.withColumn("s_site", F.when(F.col("s").isNotNull(), _source("site", [scaled(F.col("s.labor")), zero, zero], **told))).drop("s")
     if "web" in order and web is not None:
-        found = web.where((F.col("labor") != 0) | (F.col("material") != 0)).select("work_key", "city", F.struct("labor", "material").alias("w"))
-        base = base.join(found, ["work_key", "city"], "left")
-        source["web"] = F.when(F.col("w").isNotNull(), F.struct(F.lit("web"), F.col("w.labor").cast("decimal(18,2)"), F.col("w.material").cast("decimal(18,2)"), zero))
-    kind = f"struct<source:string,{','.join(f'{p}:decimal(18,2)' for p in PRICES)}>"
-    chosen = F.coalesce(*(source[s].cast(kind) for s in order if s in source), F.struct(F.lit("none"), zero, zero, zero).cast(kind))
-    return base.withColumn("r", chosen).select(
+        base = base.join(_web_source(web, False), ["work_key", "city"], "left")
+    none = [s for s in ("catalog", "history", "site", "web") if f"s_{s}" not in base.columns]
+    return base.withColumns({f"s_{s}": F.lit(None).cast(_SOURCE) for s in none})
+
+
+def _chosen(order: list[str]) -> Column:
+    """The first source of the order that has a price."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    return F.coalesce(*(F.col(f"s_{s}") for s in order), _source("none", [zero, zero, zero]))
+
+
+def resolve(asked: DataFrame, history: DataFrame, items: DataFrame, site_prices: DataFrame | None = None, web: DataFrame | None = None, strategy: str = fixed.DEFAULT_STRATEGY) -> DataFrame:
+    """A price for each distinct (name, unit, city, region), from the first source that has one,
+    with details of where it comes from.
+
+    web: work_key, city, labor, material, and if known provider and samples. Each source is one
+    join per distinct request. Nothing is spent here: see reprice_in_order for a budget.
+    """
+    order = fixed.STRATEGIES.get(strategy, fixed.STRATEGIES[fixed.DEFAULT_STRATEGY])
+    parts = ["source", *PRICES]
+    return _sources(asked, history, items, site_prices, web, order).withColumn("r", _chosen(order)).select(
         "name", "unit", "city", "region", "factor", "region_label", *(f"r.{p}" for p in parts), T.source_label(F.col("r.source")).alias("source_label"),
-        F.coalesce("c.code", F.lit("")).alias("match_code"), F.coalesce("c.match_name", F.lit("")).alias("match_name"), F.coalesce("c.score", F.lit(0.0)).alias("match_score"),
+        F.coalesce("c.code", F.lit("")).alias("match_code"), F.coalesce("c.match_name", F.lit("")).alias("match_name"), F.coalesce("c.score", F.lit(0.0)).alias("match_score"), "r.details",
+    )
+
+
+def reprice_in_order(
+    positions: DataFrame, history: DataFrame, items: DataFrame, site_prices: DataFrame | None, web: DataFrame, cache: DataFrame | None = None, strategy: str = fixed.DEFAULT_STRATEGY,
+    limit: int = fixed.QUERY_LIMIT, use_cache: bool = True, keep_manual: bool = True, run: str = "object_id", seq: tuple[str, ...] = ("estimate_ord", "division_ord", "ordinal", "position_id"),
+) -> tuple[DataFrame, DataFrame]:
+    """Positions repriced under a budget of live queries, and statistics of each run.
+
+    Positions of a run are taken in the order of `seq` (which names each). One reaches the web if no
+    source before it has a price; cache (work_key, city, labor, material: fresh answers) and what
+    was found before in the run cost nothing; a request beyond the limit falls through to the
+    next source. Without the cache each request that reaches the web is live.
+    """
+    order = fixed.STRATEGIES.get(strategy, fixed.STRATEGIES[fixed.DEFAULT_STRATEGY])
+    keys = ["name", "unit", "city", "region"]
+    sources = _sources(positions, history, items, site_prices, web, order).drop("factor", "region_label")
+    if cache is not None and use_cache:
+        sources = sources.join(_web_source(cache, True), ["work_key", "city"], "left")
+    else:
+        sources = sources.withColumn("s_cache", F.lit(None).cast(_SOURCE))
+    skip = F.coalesce(F.col("manual"), F.lit(False)) if keep_manual else F.lit(False)
+    joined = positions.join(sources, keys, "left").withColumns({"_run": F.col(run), "_seq": F.struct(*seq), "_skip": skip})
+    if "web" in order:
+        joined = written(joined, "reached")
+        before = [F.col(f"s_{s}").isNull() for s in order[: order.index("web")]]
+        reach = ~F.col("_skip")
+        for b in before:
+            reach = reach & b
+        asked = joined.where(reach).select(
+            F.col("_run").alias("run"), F.col("_seq").alias("seq"), F.concat_ws("\n", "work_key", "city").alias("work_key"), F.col("s_cache").isNotNull().alias("cached"), F.col("s_web").isNotNull().alias("found")
+        )
+        status = written(live_queries(asked, limit, use_cache), "status")
+        joined = joined.join(status.select(F.col("run").alias("_run"), F.col("seq").alias("_seq"), "status"), ["_run", "_seq"], "left")
+        again = F.col("s_web").withField("details", F.col("s_web.details").withField("cached", F.lit(True)))
+        answer = F.when(F.col("status") == "used", F.col("s_web")).when(F.col("status") == "cached", F.coalesce("s_cache", again))
+        joined = joined.withColumn("s_web", answer)
+        spent = budget(status, limit)
+    else:
+        spent = joined.select(F.col("_run").alias("run"), F.lit(limit).alias("limit"), *(F.lit(0).cast("long").alias(c) for c in ("used", "blocked", "from_cache"))).limit(0)
+    r = joined.withColumn("r", _chosen(order))
+    set_to = lambda old, new: F.when(F.col("_skip"), old).otherwise(new)
+    none = F.lit(None).cast(_SOURCE)["details"]
+    out = r.withColumns(
+        {f"{p}_price": set_to(F.col(f"{p}_price").cast("decimal(18,2)"), F.col(f"r.{p}")) for p in PRICES}
+        | {
+            "price_source": set_to(F.lit("manual"), F.col("r.source")), "match_code": set_to(F.lit(""), F.coalesce("c.code", F.lit(""))), "match_score": set_to(F.lit(0.0), F.coalesce("c.score", F.lit(0.0))),
+            "details": set_to(none, F.col("r.details")), "skipped": F.col("_skip"), "manual": F.col("_skip"),
+        }
     )
+    added = ["price_source", "match_code", "match_score", "details", "skipped"]
+    out = out.select(*positions.columns, *(c for c in added if c not in positions.columns))
+    statistics = reprice_statistics(out, run).join(spent.withColumnRenamed("run", run), run, "left")
+    return out, statistics.withColumns({"limit": F.lit(limit), **{c: F.coalesce(c, F.lit(0)) for c in ("used", "blocked", "from_cache")}})
 
 
-def live_queries(asked: DataFrame, limit: int = fixed.QUERY_LIMIT) -> DataFrame:
+def live_queries(asked: DataFrame, limit: int = fixed.QUERY_LIMIT, use_cache: bool = True) -> DataFrame:
     """Which requests reach the web. asked: run, seq, work_key, cached, found.
 
     A request is live if nothing fresh is cached and it is the first of its key in the run, or
     its key is never found (what is not found is not cached). The first `limit` live ones
     are used (0: all); later requests of a key whose first one was blocked are blocked too.
+    Without the cache each request is live.
     """
+    if not use_cache:
+        asked = asked.withColumn("cached", F.lit(False))
     firsts = asked.groupBy("run", "work_key").agg(F.min("seq").alias("first_seq"))  # combined before the shuffle
     known = asked.join(firsts, ["run", "work_key"])
-    known = known.withColumn("live", ~F.col("cached") & (~F.col("found") | (F.col("seq") == F.col("first_seq"))))
+    first = ~F.col("cached") & (~F.col("found") | (F.col("seq") == F.col("first_seq")))
+    known = known.withColumn("live", first if use_cache else F.lit(True))
     if limit:
         # The last live request that is used: a group limit below the shuffle leaves `limit` rows a run.
         order = Window.partitionBy("run").orderBy("seq")

@@ -693,6 +693,75 @@ def f_reprice_sources(spark, sf_dir):
     return pricing.by_source(_repriced(spark, sf_dir), "object_id")
 
 
+_LIMIT = 40
+_SEQ = "(estimate_ord, division_ord, ordinal, position_id)"
+
+
+def _budgeted_sql(limit: int, use_cache: bool) -> dict[str, str]:
+    """Positions of each city as a run, web first: statuses of their requests, and what they cost."""
+    parts = _resolved_sql("web_first")
+    has = {"history": "p.samples IS NOT NULL", "site": "s.labor IS NOT NULL", "catalog": "b.code IS NOT NULL"}
+    zero = "CAST(0 AS DOUBLE)"
+    labor = {"history": "CAST(p.labor AS DOUBLE)", "site": f"CAST({_scaled('s.labor')} AS DOUBLE)", "catalog": f"CAST({_scaled('b.labor')} AS DOUBLE)"}
+    case = lambda f, last: "CASE " + " ".join(f"WHEN {has[x]} THEN {f(x)}" for x in has) + f" ELSE {last} END"
+    source = f"""SELECT q.name AS name, q.unit AS unit, q.city AS city, q.region AS region, q.work_key AS work_key, {case(O.quoted, "'none'")} AS source, {case(labor.get, zero)} AS labor, CAST(w.labor AS DOUBLE) AS w_labor, w.work_key IS NOT NULL AS found,
+        {"length(q.work_key) % 3 = 0" if use_cache else "false"} AND w.work_key IS NOT NULL AS cached
+        FROM wanted q LEFT JOIN best b ON b.name = q.name AND b.unit = q.unit LEFT JOIN past p ON p.work_key = q.work_key AND p.city = q.city AND p.region = q.region
+        LEFT JOIN (SELECT * FROM s_best WHERE labor <> 0) s ON s.name = q.name AND s.unit = q.unit LEFT JOIN (SELECT * FROM web WHERE labor <> 0 OR material <> 0) w ON w.work_key = q.work_key AND w.city = q.city"""
+    live = "NOT cached AND (NOT found OR row_number() OVER (PARTITION BY city, work_key, cached ORDER BY seq) = 1)" if use_cache else "true"
+    within = f"rank <= {limit}" if limit else "true"
+    return {
+        **parts, "src": source, "req": f"SELECT p.position_id, p.manual, p.labor_price, {_SEQ} AS seq, r.* FROM placed p JOIN src r USING (name, unit, city, region)",
+        "lv": f"SELECT *, {live} AS live FROM req WHERE NOT manual", "rk": "SELECT *, sum(CAST(live AS INT)) OVER (PARTITION BY city ORDER BY seq) AS rank FROM lv",
+        "gt": f"SELECT *, bool_or(live AND found AND {within}) OVER (PARTITION BY city, work_key) AS got FROM rk",
+        "st": f"SELECT *, CASE WHEN cached THEN 'cached' WHEN live AND {within} THEN 'used' WHEN live THEN 'blocked' WHEN got THEN 'cached' ELSE 'blocked' END AS status FROM gt",
+    }
+
+
+def _budgeted(spark, sf_dir, limit: int, use_cache: bool):
+    web = _web(spark, sf_dir)
+    cache = web.where(F.length("work_key") % 3 == 0).withColumn("labor", F.col("labor") + 0)
+    return pricing.reprice_in_order(
+        _placed(spark, sf_dir), D.history(spark, sf_dir), D.catalogue(spark, sf_dir), D.site_prices(spark, sf_dir), web, cache, "web_first", limit, use_cache, run="city"
+    )
+
+
+def _register_budget(name: str, limit: int, use_cache: bool) -> None:
+    views = _budgeted_sql(limit, use_cache)
+    tables = ("positions", "objects", "catalogue", "site_prices", "history")
+
+    def run(spark, sf_dir):
+        out, _ = _budgeted(spark, sf_dir, limit, use_cache)
+        return out.select("position_id", "price_source", F.col("labor_price").cast("double").alias("labor_price"))
+
+    run.__name__, run.__doc__ = f"f_reprice_web_first{name}", f"Repricing with the web first, a city a run, at most {limit or 'any number of'} live queries, cache {'on' if use_cache else 'off'}."
+    query(O.with_views("""SELECT position_id, CASE WHEN manual THEN 'manual' WHEN found AND status <> 'blocked' THEN 'web' ELSE source END AS price_source, CASE WHEN manual THEN CAST(round(labor_price, 2) AS DOUBLE) WHEN found AND status <> 'blocked' THEN w_labor ELSE labor END AS labor_price
+        FROM req LEFT JOIN (SELECT position_id, status FROM st) USING (position_id)""", *tables, **views))(run)
+
+
+for _name, _limit_, _cache in (("", _LIMIT, True), ("_unlimited", 0, True), ("_no_cache", _LIMIT, False)):
+    _register_budget(_name, _limit_, _cache)
+
+
+@query(O.with_views(f"""SELECT city, count(*) AS total, count(*) FILTER (manual) AS skipped_manual, count(*) FILTER (NOT manual AND NOT (found AND status <> 'blocked') AND source = 'none') AS not_found,
+    count(*) FILTER (NOT manual AND ((found AND status <> 'blocked') OR source <> 'none')) AS priced, {_LIMIT} AS "limit", count(*) FILTER (status = 'used') AS used, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'cached') AS from_cache
+    FROM req LEFT JOIN (SELECT position_id, status FROM st) USING (position_id) GROUP BY city""", "positions", "objects", "catalogue", "site_prices", "history", **_budgeted_sql(_LIMIT, True)))
+def f_web_statistics(spark, sf_dir):
+    """What a repricing did in each city, and what its budget was spent on."""
+    return _budgeted(spark, sf_dir, _LIMIT, True)[1]
+
+
+@query(O.with_views("""SELECT r.name AS name, r.unit AS unit, r.city AS city, r.region AS region, r.source AS source, CASE WHEN r.source = 'history' THEN p.samples END AS samples, CASE WHEN r.source = 'history' THEN p.scope END AS scope,
+    CASE WHEN r.source = 'catalog' THEN b.code END AS code, CASE WHEN r.source = 'site' THEN s.match_name END AS matched, CASE WHEN r.source IN ('site', 'catalog') THEN q.factor END AS factor, CASE WHEN r.source = 'catalog' THEN CAST(b.labor AS DOUBLE) END AS base_labor
+    FROM resolved r JOIN wanted q USING (name, unit, city, region) LEFT JOIN best b ON b.name = r.name AND b.unit = r.unit LEFT JOIN past p ON p.work_key = q.work_key AND p.city = r.city AND p.region = r.region LEFT JOIN (SELECT * FROM s_best WHERE labor <> 0) s ON s.name = r.name AND s.unit = r.unit""",
+    "positions", "objects", "catalogue", "site_prices", "history", **_resolved_sql("site_first")))
+def f_price_details(spark, sf_dir):
+    """Where each price comes from: samples and scope, the site's item, the catalogue's item."""
+    out = _resolve(spark, sf_dir, "site_first")
+    told = ["samples", "scope", "code", "matched", "factor"]
+    return out.select("name", "unit", "city", "region", "source", *(F.col(f"details.{c}").alias(c) for c in told), F.col("details.base_labor").cast("double").alias("base_labor"))
+
+
 _GIVEN = "p.manual AND p.ordinal = 7 AND p.object_id % 2 = 0"
 
 
