@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,29 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Files whose names are sent to all tasks, at most; a frame over more files is copied once.
+FEW_FILES = 100_000
+
+
+def identified(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, which is the same however often it is read.
+
+    Rows of files are named by their file and their place in it, so nothing is copied; other
+    frames are written once.
+    """
+    spark, file, place = df.sparkSession, free_name(df, "_file"), free_name(df, "_place")
+    try:
+        own = free_name(df, "_metadata") == "_metadata"
+        rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)) if own else None
+    except AnalysisException:
+        rows = None
+    if rows is None or len(df.inputFiles()) > FEW_FILES:
+        return written(with_row_id(df, name), "docs")
+    files = sorted(r[0] for r in rows.select(file).distinct().collect())
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), f"{name} long, {file} string"))
+    return rows.join(numbers, file).select(*df.columns, (F.shiftleft(name, 40) + F.col(place)).alias(name))
+
+
 def record(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[k], type=t) if not isinstance(columns[k], pa.Array) else columns[k].cast(t) for k, t in schema.items()],

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import by_batch, free_name, record, with_row_id, written
+from tallyspark.llm.common import by_batch, free_name, identified, record, with_row_id, written
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Matches of two texts that are listed, for each of their words; beyond, places take turns (see _Level).
@@ -413,6 +413,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with all their columns."""
     row = free_name(docs, "_given")
-    given = written(with_row_id(docs, row), "docs")
+    given = identified(docs, row)
     found = contaminated(given.select(F.col(row).alias("doc_id"), "text"), benchmark, coverage)
     return given.join(written(found.select(F.col("doc_id").alias(row)).distinct(), "found"), row, "left_anti").drop(row)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import by_batch, free_name, record, with_row_id, written
+from tallyspark.llm.common import by_batch, free_name, identified, record, with_row_id, written
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Chunk sizes in bytes. The mask has 11 bits: a cut about every 2 KiB.
@@ -148,7 +148,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     doc_ids that are unique are assumed nowhere: of repeated rows one stays.
     """
     row = free_name(docs, "_given")
-    given = written(with_row_id(docs, row), "docs")
+    given = identified(docs, row)
     own = chunk_recipes(given.select(F.col(row).alias("doc_id"), "text"))
     ids = given.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"))
     rows = written(

@@ -80,10 +80,12 @@ def scan(versions: DataFrame, ledger: str, rules=RULES) -> tuple[DataFrame, Data
     schema = f"blob binary, rules array<string>, spans {SPAN}"
     spark.createDataFrame([], schema).write.mode("append").parquet(ledger)
     seen = spark.read.schema(schema).parquet(ledger)
-    done = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("done"))
+    # Of the ledger only the blobs that are asked for: its history costs a read of digests.
+    asked = written(paths.select("blob").distinct(), "asked")
+    done = seen.join(asked, "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("done"))
     every = F.array(*map(F.lit, wanted))
     # What is to do is found out by digests alone; no text moves for a blob that the ledger has.
-    left = paths.select("blob").distinct().join(done, "blob", "left").select("blob", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
+    left = asked.join(done, "blob", "left").select("blob", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
     left = written(left.where(F.size("todo") > 0), "todo")
     few = left.limit(FEW_BLOBS + 1).count() <= FEW_BLOBS
     left = F.broadcast(left) if few else left
@@ -100,7 +102,7 @@ def scan(versions: DataFrame, ledger: str, rules=RULES) -> tuple[DataFrame, Data
         return record(kinds, blob=batch.column("blob"), rules=pending, spans=spans)
 
     by_batch(todo, run, schema).write.mode("append").parquet(ledger)
-    ledger_now = spark.read.schema(schema).parquet(ledger).where(F.size("spans") > 0)
+    ledger_now = spark.read.schema(schema).parquet(ledger).where(F.size("spans") > 0).join(asked, "blob", "left_semi")
     findings = ledger_now.select("blob", F.posexplode("rules").alias("_", "rule"), "spans").where(F.col("rule").isin(wanted))
     findings = findings.select("blob", F.explode(F.expr("filter(spans, s -> s.kind = substring_index(rule, '@', 1))")).alias("s")).groupBy("blob").agg(F.collect_set("s").alias("spans"))
     return paths, written(findings, "findings")

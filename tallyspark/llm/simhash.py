@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import by_batch, free_name, record, with_row_id, written
+from tallyspark.llm.common import by_batch, free_name, identified, record, with_row_id, written
 
 SEED, SHINGLE, RADIUS, HALF = 42, 4, 4, 2
 #: Leading bits by which variants are dealt, at least; variants that one task holds at once.
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns."""
     row = free_name(docs, "_given")
-    given = written(with_row_id(docs, row), "docs")
+    given = identified(docs, row)
     found = near_duplicates(given.select(F.col(row).alias("doc_id"), "text"))
     # Rows go by their number here; the one that stays is chosen by doc_id.
     pairs = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c"))

@@ -50,6 +50,32 @@ def test_empty_table(spark):
     assert X.exact_dedup(empty).collect() == [] and X.drop_copies(empty).collect() == []
 
 
+def test_very_long_texts(spark):
+    """Texts of several megabytes: an edit in the middle tells them apart, white space does not."""
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(500_000))
+    half = long.index(" ", len(long) // 2)
+    rows = [(1, long), (2, long[:half] + "\n\t" + long[half + 1 :]), (3, long[:half] + "x" + long[half:]), (4, long), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in X.exact_dedup(df).collect()) == [(1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True), (4, 1, 3, False), (5, 5, 1, True)]
+    assert sorted(r.doc_id for r in X.drop_copies(df).collect()) == [1, 3, 5]
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_path):
+    from tallyspark.llm.common import identified
+
+    frame = spark.range(1000).selectExpr("id AS doc_id", "concat('t', id % 700) AS text", "id AS _file").repartition(5)
+    frame.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    for df in (read, frame):
+        given = identified(df, "_given")
+        assert given.columns == ["doc_id", "text", "_file", "_given"]
+        twice = [{r._given: r.doc_id for r in given.select("_given", "doc_id").collect()} for _ in range(2)]
+        assert twice[0] == twice[1] and len(twice[0]) == 1000
+    assert sorted(r.doc_id for r in X.drop_copies(read).collect()) == list(range(700))
+    assert X.drop_copies(read).columns == read.columns
+
+
 def test_clashing_hashes_are_told_apart(spark):
     rows = [(0, [1, 2], [b"a", b"b"]), (1, [1, 2], [b"a", b"b"]), (2, [1, 2], [b"c", b"b"])]
     got = X.verified(spark.createDataFrame(rows, "_row long, hashes array<long>, digests array<binary>")).collect()

@@ -58,6 +58,15 @@ def test_ledger_scans_only_what_is_new(spark):
     assert sorted(len(r.rules) for r in added) == [1, len(newer)]  # the known blob was scanned for the new version only
 
 
+def test_findings_are_of_asked_blobs(spark):
+    """A scan gives findings for the blobs of its paths alone, however long the ledger's history is."""
+    ledger = shared_dir(spark, "ledger")
+    old = spark.createDataFrame([(f"o{k}", f"token=abcdefgh{k}") for k in range(300)], "path string, text string")
+    S.scan(old, ledger)
+    paths, findings = S.scan(spark.createDataFrame([("a", "token=abcdefgh7"), ("b", "token=abcdefgh7"), ("c", "none")], "path string, text string"), ledger)
+    assert paths.count() == 3 and findings.count() == 1
+
+
 def test_known_blobs_move_no_text(spark, monkeypatch):
     """A second scan shuffles digests only, and both ways of dealing give the same."""
     docs = spark.createDataFrame([(f"p{k}", f"text {k % 20} token=abcdefgh{k % 20} " + "x" * 100_000) for k in range(40)], "path string, text string").repartition(4)

@@ -116,3 +116,16 @@ def test_hot_prefixes_are_dealt_again(spark, monkeypatch):
     for i, x in enumerate(fps):
         got.setdefault(roots.get(S._signed(x), S._signed(x)), []).append(i)
     assert sorted((i, min(g)) for g in got.values() for i in g) == sorted(brute_components(list(enumerate(fps))))
+
+
+def test_very_long_texts(spark):
+    """A text of several megabytes and one that differs in a few words are near copies; another is not."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    near = words[:]
+    near[200_000] = "changed"
+    other = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other)), (4, "short text")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.near_duplicates(df).collect()}
+    assert [got[k][1] for k in (1, 2, 3, 4)] == [1, 1, 3, 4]
+    assert got[1][0] == format(brute_fingerprint(" ".join(words)), "016x")
