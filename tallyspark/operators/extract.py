@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions import fixed
 from tallyspark.functions import text as T
+from tallyspark.sources.shared import written
 
 # fixed values: how prices and units are written. A plain run of digits counts whole; with
 # legacy=True it is read as the older rule did, three digits at a time.
@@ -48,31 +49,49 @@ def snippet_samples(text: Column, want: Column, legacy: bool = False) -> Column:
     return F.concat(ranges, singles)
 
 
-def trimmed_median(values: Column) -> Column:
-    """Median of an array; of more than four values a fifth is cut from each end. 0 for none."""
-    v = F.array_sort(values)
-    n = F.size(v)
-    cut = F.when(n > 4, F.greatest(F.lit(1), F.floor(n / 5).cast("int"))).otherwise(0)
-    kept = F.slice(v, cut + 1, n - 2 * cut)
-    k = F.size(kept)
-    middle = (F.element_at(kept, F.floor((k + 1) / 2).cast("int")) + F.element_at(kept, F.floor(k / 2).cast("int") + 1)) / 2
-    return F.when(n == 0, F.lit(0.0)).otherwise(middle)
+def trimmed_medians(samples: DataFrame, *keys: str) -> DataFrame:
+    """keys, median: of column value; of more than four values a fifth is cut from each end.
 
+    Equal values are counted before the shuffle, and the two middle places after the cut are
+    found in running counts, so no key's values meet in an array.
+    """
+    counts = samples.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("value")
+    placed = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    cut = F.when(F.col("all") > 4, F.greatest(F.lit(1), F.floor(F.col("all") / 5))).otherwise(0)
+    kept = F.col("all") - 2 * cut
+    at = lambda place: F.min(F.when(F.col("upto") >= cut + place, F.col("value")))
+    middle = (at(F.floor((kept + 1) / 2)) + at(F.floor(kept / 2) + 1)) / 2
+    return placed.groupBy(*keys).agg(middle.alias("median"))
 
-def web_prices(results: DataFrame, most_results: int = 20) -> DataFrame:
-    """Labour and material prices of each (work_key, city, provider) from search results.
 
-    results: work_key, city, provider, unit, rank, title, snippet. Results of one request are
-    at most `most_results`, so their arrays are bounded.
-    """
+#: Samples of a web price that are kept.
+KEPT_SAMPLES = 12
+
+
+def web_prices(results: DataFrame, most_results: int = 20) -> DataFrame:
+    """Labour and material prices of each (work_key, city, provider) from search results, with
+    the first samples. results: work_key, city, provider, unit, rank, title, snippet."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("snippet", F.lit("")))
-    samples = results.where(F.col("rank") <= most_results).withColumn("samples", snippet_samples(text, F.col("unit")))
-    keys = ("work_key", "city", "provider")
-    all_of = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "samples"))), lambda r: r["samples"]))
-    found = samples.groupBy(*keys).agg(all_of.alias("samples"))
-    of = lambda kind: trimmed_median(F.transform(F.filter("samples", lambda s: s["kind"] == kind), lambda s: s["value"]))
-    money = lambda c: F.round(c.cast("decimal(18,6)"), 2).cast("decimal(18,2)")
-    return found.select(*keys, money(of("labor")).alias("labor"), money(of("material")).alias("material"), F.size("samples").alias("n_samples"), F.slice("samples", 1, 12).alias("samples"))
+    keys = ["work_key", "city", "provider"]
+    asked = results.where(F.col("rank") <= most_results)
+    samples = asked.select(*keys, "rank", F.posexplode(snippet_samples(text, F.col("unit"))).alias("at", "s"))
+    samples = written(samples.select(*keys, "rank", "at", "s.value", "s.unit", "s.kind"), "samples")
+    money = lambda c: F.round(F.coalesce(c, F.lit(0.0)).cast("decimal(18,6)"), 2).cast("decimal(18,2)")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("median")))
+    prices = trimmed_medians(samples, *keys, "kind").groupBy(*keys).agg(money(of("labor")).alias("labor"), money(of("material")).alias("material"))
+    order = Window.partitionBy(*keys).orderBy("rank", "at", "value", "unit", "kind")
+    first = samples.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= KEPT_SAMPLES)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", F.struct("value", "unit", "kind").alias("s")))).alias("samples"))
+    first = first.withColumn("samples", F.transform("samples", lambda x: x["s"]))
+    size = samples.groupBy(*keys).agg(F.count("*").cast("int").alias("n_samples"))
+    # Every request has a row, also if nothing was found.
+    joined = asked.select(*keys).distinct()
+    for part in (prices, size, first):
+        joined = joined.join(part, keys, "left")
+    zero = F.lit(0).cast("decimal(18,2)")
+    none = F.array().cast(joined.schema["samples"].dataType)
+    return joined.select(*keys, F.coalesce("labor", zero).alias("labor"), F.coalesce("material", zero).alias("material"), F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.coalesce("samples", none).alias("samples"))
 
 
 def cell_price(c: Column, legacy: bool = False) -> Column:

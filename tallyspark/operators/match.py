@@ -344,12 +344,16 @@ def match_statistics(matched: DataFrame, *by: str) -> DataFrame:
 
 
 def review_list(matched: DataFrame, items: DataFrame, limit: int = 6) -> DataFrame:
-    """Positions to look at, each with its best candidates and their scaled prices."""
+    """Positions to look at, each with its best candidates, their units and scaled prices.
+
+    Columns number (through the estimate) and quantity are passed on where the positions have them.
+    """
     look = matched.where(F.col("status").isin("review", "not_found"))
     found = candidates(look, items, limit)
-    joined = look.select("position_id", "name", "unit", "factor", "match_code", "match_score").join(found, ["name", "unit"], "left")
-    one = F.struct("rank", "code", "match_name", "score", *(scaled(F.col(p), F.col("factor")).alias(p) for p in ("labor", "material", "machines")))
-    return joined.groupBy("position_id", "name", "unit", "match_code", "match_score").agg(F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), one))).alias("candidates"))
+    own = ["position_id", "name", "unit", *(c for c in ("number", "quantity") if c in look.columns), "match_code", "match_score"]
+    joined = look.select(*own, "factor").join(found, ["name", "unit"], "left")
+    one = F.struct("rank", "code", "match_name", "match_unit", "score", *(scaled(F.col(p), F.col("factor")).alias(p) for p in ("labor", "material", "machines")))
+    return joined.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), one))).alias("candidates"))
 
 
 def position_candidates(positions: DataFrame, items: DataFrame, limit: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tallyspark.functions import fixed
 from tallyspark.functions import text as T
 from tallyspark.operators import catalog, match
+from tallyspark.sources import snapshots
 from tallyspark.sources.shared import written
 
 PRICES = ("labor", "material", "machines")
@@ -41,9 +42,21 @@ def history_facts(positions: DataFrame) -> DataFrame:
     return joined.withColumns(changed).drop("f_name", "f_unit")
 
 
-def append_history(facts: DataFrame, path: str) -> None:
-    """Append-only, sorted by key within files so that reads for a key skip row groups."""
-    facts.repartition("work_key").sortWithinPartitions("work_key", "created_at").write.mode("append").parquet(path)
+#: Tasks that the facts of one key are dealt to, at most, when they are appended.
+SALTS = 16
+
+
+def append_history(facts: DataFrame, path: str, state: str | None = None) -> None:
+    """Append-only, sorted by key within files so that reads for a key skip row groups; facts of a
+    key that very many have go to several files. state: a table of the latest facts (see
+    latest_facts) that is brought up to date, so that prices need no read of all history."""
+    salt = F.pmod(F.xxhash64("created_at", *(f"{p}_price" for p in PRICES), "name"), F.lit(SALTS))
+    dealt = facts.withColumn("_salt", salt).repartition("work_key", "_salt").drop("_salt")
+    dealt.sortWithinPartitions("work_key", "created_at").write.mode("append").parquet(path)
+    if state is not None:
+        new = latest_facts(facts)
+        old = snapshots.read(facts.sparkSession, state)
+        snapshots.replace_all(new if old is None else merge_facts(old, new), state)
 
 
 #: Scopes of history prices in the order in which they are tried, and their labels.
@@ -57,23 +70,45 @@ def _scopes(city: Column, region: Column) -> Column:
     return F.filter(every, lambda s: (s["rank"] == 2) | (s["place"] != ""))
 
 
+_FACT = ("work_key", "rank", "place", "id", "created_at", *(f"{p}_price" for p in PRICES))
+
+
+def _latest(facts: DataFrame, window: int) -> DataFrame:
+    """The last so many of each key and scope: row_number <= window is pushed below the shuffle as
+    a group limit, so a key with very many facts sends few rows."""
+    order = Window.partitionBy("work_key", "rank", "place").orderBy(F.desc("created_at"), F.desc("id"))
+    return facts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= window).drop("_n")
+
+
+def latest_facts(history: DataFrame, window: int = fixed.HISTORY_WINDOW) -> DataFrame:
+    """The latest facts of each key and scope (rank, place): all that prices are made of."""
+    scoped = history.select("work_key", "id", "created_at", *(f"{p}_price" for p in PRICES), F.inline(_scopes(F.col("city"), F.col("region"))))
+    return _latest(scoped, window).select(*_FACT)
+
+
+def merge_facts(state: DataFrame, new: DataFrame, window: int = fixed.HISTORY_WINDOW) -> DataFrame:
+    """The latest facts of two states, whatever their order: what latest_facts gives for both histories."""
+    return _latest(state.select(*_FACT).unionByName(new.select(*_FACT)), window)
+
+
 def history_price(asked: DataFrame, history: DataFrame, window: int = fixed.HISTORY_WINDOW) -> DataFrame:
     """For each distinct (work_key, city, region): medians of the first scope with facts,
     tried in the order city, region, all. history: id, work_key, city, region, prices, created_at.
 
-    Only facts of asked keys are dealt, all scopes in one pass: row_number <= window is pushed
-    below the shuffle as a group limit, so a key with very many facts sends few rows.
+    Only facts of asked keys are dealt, all scopes in one pass.
     """
     asked = written(asked.select("work_key", "city", "region").distinct(), "asked")  # read twice
     keys = written(asked.select("work_key").distinct(), "keys")  # Spark compares its size with its broadcast threshold
-    facts = history.join(keys, "work_key", "left_semi").select("work_key", "id", "created_at", *(f"{p}_price" for p in PRICES), F.inline(_scopes(F.col("city"), F.col("region"))))
-    order = Window.partitionBy("work_key", "rank", "place").orderBy(F.desc("created_at"), F.desc("id"))
-    last = facts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= window)
-    found = last.groupBy("work_key", "rank", "place").agg(
+    return price_from_facts(asked, latest_facts(history.join(keys, "work_key", "left_semi"), window))
+
+
+def price_from_facts(asked: DataFrame, latest: DataFrame) -> DataFrame:
+    """The same from a state of latest facts."""
+    found = latest.groupBy("work_key", "rank", "place").agg(
         *(money_round(F.median(f"{p}_price").cast("decimal(18,6)")).alias(p) for p in PRICES),
         F.count("*").alias("samples"), F.max("created_at").alias("last_used"),
     )
-    wanted = asked.select("*", F.inline(_scopes(F.col("city"), F.col("region"))))
+    wanted = asked.select("work_key", "city", "region").distinct().select("*", F.inline(_scopes(F.col("city"), F.col("region"))))
     best = wanted.join(found, ["work_key", "rank", "place"]).groupBy("work_key", "city", "region").agg(F.min(F.struct("rank", "place", *PRICES, "samples", "last_used")).alias("h"))
     labels = list(SCOPES.values())
     label = F.when(F.col("h.rank") == 2, labels[2]).otherwise(F.concat(F.when(F.col("h.rank") == 0, labels[0]).otherwise(labels[1]), "h.place"))
@@ -100,14 +135,21 @@ def site_age(site_prices: DataFrame, as_of: str, limit: int = fixed.SITE_DAYS) -
 
 
 def overwrite_site(rows: DataFrame, path: str) -> None:
-    """Replace the snapshots of the sites in rows, and only those."""
+    """Replace the snapshots of the sites in rows, and only those, in one step: readers see the
+    old rows until the new ones are all there."""
     keyed = rows.withColumns({"price": F.col("price").cast("decimal(18,2)"), "work_key": T.work_key(F.col("name"), F.col("unit"))})
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)
+    snapshots.replace_parts(keyed, path, "site")
 
 
 def read_site(spark, path: str, site: str) -> DataFrame:
     """Rows of one site in the order of the snapshot; other sites' folders are not read."""
-    return spark.read.parquet(path).where(F.col("site") == site).orderBy("ord")
+    return snapshots.read_part(spark, path, "site", site).orderBy("ord")
+
+
+def store_cache(new: DataFrame, path: str) -> None:
+    """Upsert web answers into the stored cache, in one step."""
+    old = snapshots.read(new.sparkSession, path)
+    snapshots.replace_all(update_cache(new.limit(0) if old is None else old, new), path)
 
 
 #: What is told about a price beside its source: fields of other sources are null.

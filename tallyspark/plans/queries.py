@@ -17,6 +17,7 @@ from tallyspark.plans import oracle as O
 from tallyspark.sources import bills as bill_sources
 from tallyspark.sources import pages as page_sources
 from tallyspark.sources import search as search_sources
+from tallyspark.sources import snapshots
 from tallyspark.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,12 +521,15 @@ def e_bulk_statistics(spark, sf_dir):
     return match.match_statistics(match.bulk_match(_placed(spark, sf_dir), D.catalogue(spark, sf_dir)), "object_id")
 
 
-@query(O.with_views(f"""SELECT position_id, match_code, match_score, CAST(rank AS INT) AS rank, r.code AS code, r.score AS score FROM bulk b JOIN ({_RANKED}) r ON r.name = b.name AND r.unit = b.unit AND rank <= 6 WHERE status IN ('review', 'not_found')""", "catalogue", "positions", "objects", **_BULKED))
+@query(O.with_views(f"""SELECT b.position_id AS position_id, n.number AS number, CAST(n.quantity AS DOUBLE) AS quantity, match_code, match_score, CAST(rank AS INT) AS rank, r.code AS code, r.score AS score, r.match_unit AS match_unit
+    FROM bulk b JOIN ({_RANKED}) r ON r.name = b.name AND r.unit = b.unit AND rank <= 6 JOIN (SELECT position_id, quantity, CAST(row_number() OVER (PARTITION BY object_id ORDER BY estimate_ord, estimate_id, division_ord, division_id, ordinal, position_id) AS INT) AS number FROM positions) n ON n.position_id = b.position_id
+    WHERE status IN ('review', 'not_found')""", "catalogue", "positions", "objects", **_BULKED))
 def e_review_list(spark, sf_dir):
-    """Positions to look at with their six best candidates."""
+    """Positions to look at, with their number and quantity and their six best candidates."""
     items = D.catalogue(spark, sf_dir)
-    out = match.review_list(match.bulk_match(_placed(spark, sf_dir), items), items)
-    return out.select("position_id", "match_code", "match_score", F.explode("candidates").alias("c")).select("position_id", "match_code", "match_score", "c.rank", "c.code", "c.score")
+    out = match.review_list(match.bulk_match(totals.through_numbers(_placed(spark, sf_dir)), items), items)
+    own = ["position_id", "number", num("quantity").alias("quantity"), "match_code", "match_score"]
+    return out.select(*own, F.explode("candidates").alias("c")).select("position_id", "number", "quantity", "match_code", "match_score", "c.rank", "c.code", "c.score", "c.match_unit")
 
 
 @query(O.with_views(f"""SELECT position_id, CAST(rank AS INT) AS rank, code, match_name, score, {', '.join(f"CAST({_scaled('r.' + p)} AS DOUBLE) AS {p}" for p in PRICES)} FROM placed JOIN ({_RANKED}) r ON r.name = placed.name AND r.unit = placed.unit AND rank <= 6""",
@@ -915,6 +919,28 @@ def h_append_history(spark, sf_dir):
     return stored.groupBy("work_key", "city").agg(F.count("*").alias("n"), num(F.sum("labor_price")).alias("labor"), F.count_distinct("created_at").alias("days"))
 
 
+@query(O.with_views(f"SELECT work_key, city, region, scope, {sql_nums(*PRICES)}, samples, last_used FROM past", "positions", "objects", "history", **_HISTORY))
+def h_history_state(spark, sf_dir):
+    """Prices from the state of latest facts, which three appends brought up to date one after the other."""
+    path, state = shared_path(spark, "history"), shared_path(spark, "latest")
+    history = D.history(spark, sf_dir)
+    for k in range(3):
+        pricing.append_history(history.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k), path, state)
+    asked = pricing.keyed(_placed(spark, sf_dir).select("name", "unit", "city", "region").distinct()).select("work_key", "city", "region")
+    out = pricing.price_from_facts(asked, snapshots.read(spark, state))
+    return out.select("work_key", "city", "region", "scope", *nums(*PRICES), "samples", "last_used")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS work_key, event_type AS provider, CAST(round(CAST(arg_max(value, ts) AS DECIMAL(18,6)), 2) AS DOUBLE) AS labor, max(ts) AS created_at FROM events WHERE value <> 0 GROUP BY ALL""")
+def h_stored_cache(spark, sf_dir):
+    """Web answers upserted into a stored cache in three goes, and read back."""
+    path, e = shared_path(spark, "cache"), D.read(spark, sf_dir, "events")
+    rows = e.select("event_id", F.col("user_id").cast("string").alias("work_key"), F.lit("").alias("city"), F.col("event_type").alias("provider"), F.round(F.col("value").cast("decimal(18,6)"), 2).alias("labor"), F.lit(0).cast("decimal(18,6)").alias("material"), F.col("ts").alias("created_at"))
+    for k in range(3):
+        pricing.store_cache(rows.where(F.col("event_id") % 3 == k).drop("event_id"), path)
+    return snapshots.read(spark, path).select("work_key", "provider", *nums("labor"), "created_at")
+
+
 @query(O.with_views(f"""SELECT site, row_no AS ord, name, unit, CAST(price + CASE site WHEN 'site1' THEN 1 ELSE 0 END AS DOUBLE) AS price, {O.key('name', 'unit')} AS work_key
     FROM (SELECT *, row_number() OVER (PARTITION BY site, {O.phrase('name')}, unit, price ORDER BY row_no) AS k FROM listed) WHERE k = 1 AND site IN ('site1', 'site2')""", cells=_CELLS, listed=_LISTED))
 def h_site_snapshot(spark, sf_dir):
@@ -1064,6 +1090,15 @@ def d_line_warnings(spark, sf_dir):
     return bills.line_positions(kept)[1].select("doc_id", "number", F.rtrim("text").alias("text"))
 
 
+@query(O.with_views(f"SELECT DISTINCT CAST(object_id AS VARCHAR) AS doc_id, {O.quoted(bills.NO_POSITIONS)} AS text FROM positions WHERE object_id % 4 = 0", "positions"))
+def d_document_warnings(spark, sf_dir):
+    """Tables without any quantity: what is said of them."""
+    q = F.when(F.col("doc_id").cast("long") % 4 == 0, F.transform("cells", lambda c, k: F.when(k == 3, F.lit("немає")).otherwise(c))).otherwise(F.col("cells"))
+    cells = _bill_cells(spark, sf_dir).withColumn("cells", F.when(F.size("cells") == 5, q).otherwise(F.col("cells")))
+    cells = cells.withColumn("cells", F.when((F.col("row_no") == 1), F.array(*map(F.lit, ("№", "Найменування робіт", "Одиниця виміру", "Кількість", "Примітка")))).otherwise(F.col("cells")))
+    return bills.document_warnings(cells, bills.table_positions(cells))
+
+
 @query(O.with_views("SELECT DISTINCT CAST(object_id AS VARCHAR) AS doc_id, 'Капітальний ремонт школи' AS object_name, 'м. Полтава, Полтавська область' AS address, 'Полтава' AS city, 'Полтавська область' AS region, '118_ДЦ_ВОБ' AS doc_code FROM positions", "positions"))
 def d_line_headers(spark, sf_dir):
     """Object headers and document codes of printed bills."""

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tallyspark.operators import extract as X
@@ -47,9 +49,21 @@ def test_snippets(spark):
     assert samples(spark, None, "м2") == []
 
 
-def test_trimmed_median(spark):
-    of = lambda *v: spark.createDataFrame([(list(map(float, v)),)], "v array<double>").select(X.trimmed_median(F.col("v")).alias("m")).first()["m"]
-    assert of(3, 61, 64, 65, 67, 70, 2000) == 65 and of() == 0 and of(75, 65) == 70 and of(7) == 7 and of(1, 2, 9, 10) == 5.5
+def test_trimmed_medians(spark):
+    """From counts as from the values themselves, however often a value occurs."""
+    from statistics import median
+
+    rng = random.Random(3)
+    given = {"a": [3, 61, 64, 65, 67, 70, 2000], "b": [75, 65], "c": [7], "d": [1, 2, 9, 10], "e": [5] * 40 + [9] * 3}
+    given |= {f"r{k}": [rng.randrange(12) for _ in range(rng.randrange(1, 60))] for k in range(60)}
+
+    def by_hand(v):
+        v, cut = sorted(v), max(1, len(v) // 5) if len(v) > 4 else 0
+        return median(v[cut : len(v) - cut])
+
+    df = spark.createDataFrame([(k, float(x)) for k, v in given.items() for x in v], "k string, value double")
+    got = {r.k: r["median"] for r in X.trimmed_medians(df, "k").collect()}
+    assert got == {k: by_hand(v) for k, v in given.items()} and got["a"] == 65 and got["d"] == 5.5
 
 
 def test_web_prices(spark):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from decimal import Decimal as N
 
 import pytest
@@ -164,3 +165,76 @@ def test_candidates_of_positions(spark):
     texts = spark.createDataFrame([("розетки",), ("",), ("нема такого",)], "text string")
     assert {r.text: r.total for r in match.search_totals(texts, items, 5).collect()} == {"розетки": 2, "": 4, "нема такого": 0}
     assert {r.text: r.total for r in match.search_totals(texts, items, 5, "A").collect()} == {"розетки": 1, "": 2, "нема такого": 0}
+
+
+def test_snapshots_survive_a_failed_write(spark, tmp_path):
+    """Readers see the old rows during and after a write that fails, and the new ones after one that does not."""
+    from pyspark.sql.types import StringType
+
+    from tallyspark.sources import snapshots
+
+    path = str(tmp_path / "site")
+    rows = lambda price, *sites: spark.createDataFrame([(k, f"робота {k}", "м2", N(price), "", s) for s in sites for k in range(3)], "ord long, name string, unit string, price decimal(18,6), category string, site string")
+    seen = lambda s: [float(r.price) for r in pricing.read_site(spark, path, s).collect()]
+    pricing.overwrite_site(rows(1, "a", "b"), path)
+
+    @F.udf(StringType())
+    def fails(name):
+        if name.endswith("2"):
+            raise ValueError("the network is down")
+        return name
+
+    with pytest.raises(Exception, match="network is down"):
+        pricing.overwrite_site(rows(2, "a").withColumn("name", fails("name")), path)
+    assert seen("a") == [1.0] * 3
+    pricing.overwrite_site(rows(3, "a"), path)
+    assert seen("a") == [3.0] * 3 and seen("b") == [1.0] * 3 and seen("none") == []
+    with pytest.raises(RuntimeError):
+        snapshots._commit(spark, path, 2, {})  # a second writer of the same number
+    assert snapshots.read(spark, str(tmp_path / "nothing")) is None
+
+
+def test_state_of_history_after_appends(spark, tmp_path):
+    """The state that appends bring up to date equals the one of all history; a hot key goes to several files."""
+    from tallyspark.sources import snapshots
+
+    rng = random.Random(5)
+    rows = [(str(k), "hot" if k % 3 == 0 else f"k{rng.randrange(20)}", rng.choice(["Київ", "", None]), rng.choice(["Київська область", ""]), *(N(rng.randrange(99)) for _ in range(3)), dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(500)), "назва") for k in range(900)]
+    df = spark.createDataFrame(rows, "id string, work_key string, city string, region string, labor_price decimal(18,6), material_price decimal(18,6), machines_price decimal(18,6), created_at timestamp, name string")
+    path, state = str(tmp_path / "h"), str(tmp_path / "s")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else a few rows go to one task anyway
+    for k in range(3):
+        pricing.append_history(df.where(F.col("id").cast("int") % 7 % 3 == k), path, state)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    key = lambda d: sorted(map(str, d.collect()))
+    want = pricing.latest_facts(df)
+    assert key(snapshots.read(spark, state).select(*want.columns)) == key(want)
+    files = spark.read.parquet(path).where("work_key = 'hot'").select(F.input_file_name()).distinct().count()
+    assert files > 3 and spark.read.parquet(path).count() == 900
+    asked = spark.createDataFrame([("hot", "Київ", ""), ("k3", "", "Київська область"), ("k4", "", "")], "work_key string, city string, region string")
+    assert key(pricing.price_from_facts(asked, snapshots.read(spark, state))) == key(pricing.history_price(asked, df))
+
+
+def test_repricing_under_a_budget(spark):
+    """Requests beyond the limit fall through; what is cached or was found before costs nothing; without the cache each is live."""
+    from tallyspark.functions import text as T
+
+    names = ["невідома перша", "невідома друга", "невідома перша", "щось третє", "ручна"]
+    p = spark.createDataFrame([(1, 1, 1, k, f"p{k}", n, "шт", "Полтава", "", n == "ручна", N(5), N(0), N(0)) for k, n in enumerate(names)], "object_id int, estimate_ord int, division_ord int, ordinal int, position_id string, name string, unit string, city string, region string, manual boolean, labor_price decimal(18,6), material_price decimal(18,6), machines_price decimal(18,6)")
+    key = {r.name: r.k for r in p.select("name", T.work_key(F.col("name"), F.col("unit")).alias("k")).collect()}
+    items = spark.createDataFrame([(1, "C1", "невідома друга", "шт", "x", N(10), N(0), N(0))], ITEMS)
+    answer = lambda *n: spark.createDataFrame([(key[x], "Полтава", N(70 + i), N(0), "serpapi", [(70.0 + i, "шт", "labor")] * 9) for i, x in enumerate(n)], "work_key string, city string, labor decimal(18,2), material decimal(18,2), provider string, samples array<struct<value:double,unit:string,kind:string>>")
+    web = answer("невідома перша", "невідома друга", "щось третє")
+
+    def run(limit, cache=None, use_cache=True):
+        out, stats = pricing.reprice_in_order(p, facts(spark), items, None, web, cache, "web_first", limit, use_cache)
+        r = stats.first()
+        return [(x.price_source, x.details.cached if x.details else None) for x in out.orderBy("ordinal").collect()], (r.used, r.blocked, r.from_cache), out
+
+    sources, spent, out = run(1)
+    assert sources == [("web", False), ("catalog", None), ("web", True), ("none", None), ("manual", None)] and spent == (1, 2, 1)
+    first = out.where("ordinal = 0").first()
+    assert len(first.details.found_prices) == 6 and first.details.provider == "serpapi" and float(first.labor_price) == 70
+    assert run(0)[1] == (3, 0, 1) and run(1, use_cache=False)[1] == (1, 3, 0)
+    sources, spent, _ = run(1, answer("невідома перша"))
+    assert spent == (1, 1, 2) and sources[0] == ("web", True) and sources[1] == ("web", False)
