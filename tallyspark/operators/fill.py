@@ -45,6 +45,12 @@ class Block:
         for k, t in enumerate(texts):
             codes[: len(t), k] = [letters.setdefault(c, len(letters) + 1) for c in t]
         self.letters, self.codes, self.texts = letters, codes, texts
+        # Phrases of a block are about as long. Up to BITS letters, each has a word of bits for every letter.
+        self.masks = np.zeros((len(letters) + 1, len(texts)), np.uint64) if len(codes) <= S.BITS else None
+        if self.masks is not None:
+            for place, row in enumerate(codes):
+                self.masks[row, np.arange(len(texts))] |= np.uint64(1 << place)
+            self.inside = np.where(self.size == S.BITS, ~np.uint64(0), (np.uint64(1) << (self.size % S.BITS).astype(np.uint64)) - np.uint64(1))
         self.rows: dict[str, list[int]] = {}
         for k, (stems, words) in enumerate(zip(items["stems"], self.sets, strict=True)):
             for w in {*stems, *words}:
@@ -55,7 +61,14 @@ class Block:
     def similarity(self, phrase: str) -> np.ndarray:
         words = frozenset(phrase.split())
         text = " ".join(sorted(words))
-        if len(text) > S.BITS:
+        if self.masks is not None:
+            state = np.full(len(self.texts), ~np.uint64(0))
+            for c in text:
+                if k := self.letters.get(c):
+                    m = self.masks[k]
+                    state = (state + (state & m)) | (state & ~m)
+            common = np.bitwise_count(~state & self.inside).astype(np.int64)
+        elif len(text) > S.BITS:
             common = np.array([S._long(text, t) for t in self.texts])
         else:
             masks = np.zeros(len(self.letters) + 1, np.uint64)
