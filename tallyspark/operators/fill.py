@@ -55,7 +55,9 @@ class Block:
         for k, (stems, words) in enumerate(zip(items["stems"], self.sets, strict=True)):
             for w in {*stems, *words}:
                 self.rows.setdefault(w, []).append(k)
-        self.action, self.unit = items["action"].to_numpy(), items["unit_n"].to_numpy()
+        # Actions and units as numbers; 0: none.
+        self.kinds = [{"": 0}, {"": 0}]
+        self.action, self.unit = (np.array([kinds.setdefault(v or "", len(kinds)) for v in items[c]]) for c, kinds in zip(("action", "unit_n"), self.kinds, strict=True))
         self.order = items["size"].to_numpy(), items["ord"].to_numpy()
 
     def similarity(self, phrase: str) -> np.ndarray:
@@ -91,13 +93,15 @@ class Block:
         """(rows, scores) of the best items that hold none of the words found."""
         score = fixed.SIMILARITY_SHARE / 100 * self.similarity(phrase)
         if action:
-            score -= fixed.ACTION_PENALTY * ((self.action != "") & (self.action != action))
+            score -= fixed.ACTION_PENALTY * ((self.action != 0) & (self.action != self.kinds[0].get(action, -1)))
         if unit:
-            score += np.where(self.unit == unit, fixed.UNIT_BONUS, np.where(self.unit != "", -fixed.UNIT_PENALTY, 0.0))
+            score += np.where(self.unit == self.kinds[1].get(unit, -1), fixed.UNIT_BONUS, np.where(self.unit != 0, -fixed.UNIT_PENALTY, 0.0))
         for w in found:
             score[self.rows.get(w, [])] = -np.inf
         shown = np.sign(score) * np.floor(np.abs(score) * 10 + 0.5 + 1e-9)  # tenths, halves away from zero, as they are ranked
-        rows = np.lexsort((self.order[1], self.order[0], -shown))[:limit]
+        last = len(shown) - min(limit, len(shown))
+        rows = np.flatnonzero(shown >= np.partition(shown, last)[last])
+        rows = rows[np.lexsort((self.order[1][rows], self.order[0][rows], -shown[rows]))[:limit]]
         rows = rows[score[rows] > -np.inf]
         return rows, score[rows]
 
