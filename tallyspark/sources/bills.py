@@ -47,7 +47,8 @@ def split_cells(lines: DataFrame) -> DataFrame:
 
 def clean_cells(rows: DataFrame) -> DataFrame:
     """Cells cleaned, rows without any text gone."""
-    return rows.withColumn("cells", T.clean_all(F.col("cells"))).where(F.exists("cells", lambda c: c != ""))
+    # Asked of the cells as they come: a filter on clean cells is moved below and cleans them once more.
+    return rows.where(F.exists("cells", lambda c: c.rlike(r"(?U)\S"))).withColumn("cells", T.clean_all(F.col("cells")))
 
 
 def text_lines(texts: DataFrame) -> DataFrame:

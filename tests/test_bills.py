@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tallyspark.operators import bills as B
@@ -93,6 +95,43 @@ def test_line_document(spark):
     assert (h.object_name, h.city, h.region) == ("Капітальний ремонт приміщення банку", "Семенівка", "Полтавська область")
 
 
+def _loop(lines):
+    """The rule of accepted numbers, line by line."""
+    last, fresh, out = 0, True, []
+    for line_no, n, estimate in lines:
+        if estimate:
+            fresh = True
+        elif n == last + 1 or fresh and n == 1:
+            out.append(line_no)
+            last, fresh = n, False
+    return out
+
+
+def test_accepted_numbers_as_by_a_loop(spark):
+    """Random documents, and the cases: none, no 1, only estimates, one long run, a 1 in each line, many short runs."""
+    rng = random.Random(7)
+    docs = {f"r{k}": [(rng.choice([-1, 0, *range(1, rng.choice([3, 6, 12]))]), rng.random() < 0.1) for _ in range(rng.randrange(80))] for k in range(150)}
+    docs |= {"none": [(-1, False)], "no one": [(2, False), (3, False)], "estimates": [(-1, True)] * 3, "long": [(k, False) for k in range(1, 3000)]}
+    docs |= {"ones": [(1, k % 2 == 0) for k in range(40)], "junk": [(k // 2 + 1 if k % 2 == 0 else 7, False) for k in range(400)]}
+    docs |= {"restarts": [(n, n == 0) for _ in range(50) for n in (0, 1, 9, 2, 1, 3)], "before": [(1, False), (-1, True), (2, False), (1, False), (3, False)]}
+    rows = [(d, 3 * i, -1 if e else n, e) for d, lines in docs.items() for i, (n, e) in enumerate(lines)]
+    rng.shuffle(rows)
+    schema = "doc_id string, line_no int, num_raw int, is_estimate boolean"
+    got = {(r.doc_id, r.line_no) for r in B.accepted_numbers(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(d, at) for d, lines in docs.items() for at in _loop([(3 * i, n, e) for i, (n, e) in enumerate(lines)])}
+    assert B.accepted_numbers(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_heads_that_documents_share_and_rows_without_text(spark):
+    """Roles by distinct heads; the first head row of a document counts; blank rows of any white space go."""
+    head, other = ["№", "Найменування", "Одиниця", "Кількість"], ["Обсяг", "Найменування", "Вимір"]
+    docs = {"a": [head, ["1", "Двері", "шт", "2"]], "b": [other, head, ["3", "Вікна", "шт"]], "c": [["\u00a0", "\t \n"], head, ["1", " Стіни\u00a0 ", "кв.м", "4"]], "d": [["1", "Без голови", "шт", "2"]]}
+    rows = spark.createDataFrame([(d, i, c) for d, cs in docs.items() for i, c in enumerate(cs)], "doc_id string, row_no int, cells array<string>")
+    got = B.table_positions(S.clean_cells(rows)).collect()
+    assert sorted((r.doc_id, r.name, r.unit, float(r.quantity)) for r in got) == [("a", "Двері", "шт", 2.0), ("b", "Вікна", "шт", 3.0), ("c", "Стіни", "м2", 4.0)]
+    assert S.clean_cells(rows).where("doc_id = 'c'").count() == 2
+
+
 def test_import_plan(spark):
     kept, _ = S.content_lines(lines(spark, "d", DOC))
     positions, _, headers = B.line_positions(kept)
