@@ -55,6 +55,26 @@ def clean_text(c: Column) -> Column:
 DIRTY = rf"(?U)[\p{{M}}{fixed.APOSTROPHES.replace(chr(39), '')}\n\r\t\u00a0\u2007\u202f]|\s\s|^\s|\s$"
 
 
+def clean_once(c: Column) -> Column:
+    """clean_text for texts of which nearly all are clean: these are looked at, not rewritten."""
+    return F.when(c.rlike(DIRTY), clean_text(c)).otherwise(F.coalesce(c, F.lit("")))
+
+
+#: What soft_clean would change somewhere in a text.
+SOFT_DIRTY = rf"(?U)[\p{{M}}{fixed.APOSTROPHES.replace(chr(39), '')}\t\u00a0\u2007\u202f\u2009]|\s$"
+
+
+def soft_clean_once(c: Column) -> Column:
+    """soft_clean as clean_once."""
+    return F.when(c.rlike(SOFT_DIRTY), soft_clean(c)).otherwise(F.coalesce(c, F.lit("")))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns for good: filters on them stay above and do not compute them again."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def clean_all(cells: Column) -> Column:
     """clean_text of each text of an array; arrays that it would not change are passed through."""
     cells = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text as T
 
 # fixed values: lines of the print form that carry no content, and the code of a document
+FOOTER = "Програмний комплекс"
 NOISE = (
-    r"Програмний комплекс|^\s*\d+\s*$|^\s*1\s+2\s+3\s+4\s+5\s*$|^Додаток\s|^до ДБН|^затверджений|^Мінрегіонбуд|^від \d{2}\.\d{2}\.\d{4}|"
-    r"^\s*№\s*$|^п/п\s|^вимір[уy]\s|^\[посада"
+    r"^(?:\s*\d+\s*$|\s*1\s+2\s+3\s+4\s+5\s*$|Додаток\s|до ДБН|затверджений|Мінрегіонбуд|від \d{2}\.\d{2}\.\d{4}|"
+    r"\s*№\s*$|п/п\s|вимір[уy]\s|\[посада)"
 )
 CODE = r"(?U)\b(\d{2,5}[_-][А-ЯЇІЄҐA-Z]{1,5}[_-][А-ЯЇІЄҐA-Z]{2,6})\b"
-FOOTER = "Програмний комплекс"
 
 
 #: A quoted part: doubled quotes inside stand for one. No part of it is tried twice.
@@ -67,8 +67,11 @@ def content_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The code comes from the first footer that has one; footers and the print form go.
     """
-    clean = T.compose_all(lines, "line").select("doc_id", "line_no", T.soft_clean(F.col("line")).alias("line")).where(F.trim("line") != "")
+    clean = T.compose_all(lines, "line").select("doc_id", "line_no", "line")
+    # Each line is cleaned and judged once; filters on what was computed stay above.
+    clean = T.computed(clean, line=T.soft_clean_once(F.col("line"))).where(F.trim("line") != "")
     code = F.regexp_extract("line", CODE, 1)
-    footer = clean.where(F.contains("line", F.lit(FOOTER)) & (code != ""))
+    footer = clean.where(F.contains("line", F.lit(FOOTER))).where(code != "")
     codes = footer.groupBy("doc_id").agg(F.min_by(code, "line_no").alias("doc_code"))
-    return clean.where(~F.regexp_replace("line", r"(?U)^\s+|\s+$", "").rlike(NOISE)), codes
+    left = F.regexp_replace("line", r"(?U)^\s+", "")  # the right end is trimmed
+    return clean.where(~F.contains("line", F.lit(FOOTER)) & ~left.rlike(NOISE)), codes

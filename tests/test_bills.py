@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import text as T
 from tallyspark.operators import bills as B
 from tallyspark.sources import bills as S
 
@@ -140,3 +141,17 @@ def test_import_plan(spark):
     assert [(r.estimate_ord, r.division_ord, r.ordinal, r.division_title) for r in plan] == [(1, 1, 1, "Стіни"), (1, 1, 2, "Стіни"), (1, 2, 1, "Підлога"), (2, 3, 1, "Роботи")]
     assert [r.estimate_code for r in plan] == ["02-01-01"] * 3 + ["02-01-02"]
     assert plan[0].object_name == "Моя назва" and plan[0].city == "Семенівка"
+
+
+def test_lines_are_dealt_twice_and_written_once(spark, monkeypatch):
+    """Line bills: no small tables on the way, no number of rounds, no line cleaned twice by filters."""
+    tables = []
+    monkeypatch.setattr(B, "written", lambda df, name: tables.append(df) or df)
+    rng = random.Random(3)
+    docs = "\n".join(line for k in range(40) for line in [DOC.split("\n")[1 + rng.randrange(14)], f"{k} Двері   шт {k}"])
+    kept, _ = S.content_lines(lines(spark, "d", docs))
+    B.line_positions(kept)
+    plan = tables[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(tables) == 1 and plan.count("Exchange hashpartitioning") == 2
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.SOFT_DIRTY) == 1
