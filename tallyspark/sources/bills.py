@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark.functions import text as T
 
@@ -34,21 +35,21 @@ def split_cells(lines: DataFrame) -> DataFrame:
     """Lines of delimited text -> cells. lines: doc_id, row_no, line. The delimiter of a
     document is the one of ; , tab that its first line has most of outside quotes, ; if none.
     Cells may be quoted, with delimiters and doubled quotes inside."""
-    lines = T.compose_all(lines, "line")
-    first = F.regexp_replace(F.min_by("line", "row_no"), _QUOTED, "")
+    order = Window.partitionBy("doc_id").orderBy("row_no")
+    lines = T.compose_all(lines, "line").withColumn("is_first", F.lag("row_no").over(order).isNull())
+    first = F.regexp_replace("line", _QUOTED, "")
     n = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
-    head = lines.groupBy("doc_id").agg(first.alias("head")).withColumns({"s": n(F.col("head"), ";"), "c": n(F.col("head"), ","), "t": n(F.col("head"), "\t")})
-    best = F.when((F.col("s") >= F.col("c")) & (F.col("s") >= F.col("t")), ";").when(F.col("c") >= F.col("t"), ",").otherwise("\t")
-    joined = lines.join(head.select("doc_id", best.alias("delimiter")), "doc_id")
+    best = lambda h: F.when((n(h, ";") >= n(h, ",")) & (n(h, ";") >= n(h, "\t")), ";").when(n(h, ",") >= n(h, "\t"), ",").otherwise("\t")
+    lines = lines.withColumn("delimiter", F.when(F.col("is_first"), T.let(first, best)))
+    lines = lines.withColumn("delimiter", F.first("delimiter", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     line = F.col("line")
     cells = F.when(F.col("delimiter") == ";", _cells(line, ";")).when(F.col("delimiter") == ",", _cells(line, ",")).otherwise(_cells(line, "\t"))
-    return clean_cells(joined.select("doc_id", "row_no", cells.alias("cells")))
+    return clean_cells(T.computed(lines.select("doc_id", "row_no", "line", "delimiter"), cells=cells).select("doc_id", "row_no", "cells"))
 
 
 def clean_cells(rows: DataFrame) -> DataFrame:
     """Cells cleaned, rows without any text gone."""
-    # Asked of the cells as they come: a filter on clean cells is moved below and cleans them once more.
-    return rows.where(F.exists("cells", lambda c: c.rlike(r"(?U)\S"))).withColumn("cells", T.clean_all(F.col("cells")))
+    return T.computed(rows, cells=T.clean_all(F.col("cells"))).where(F.exists("cells", lambda c: c != ""))
 
 
 def text_lines(texts: DataFrame) -> DataFrame:

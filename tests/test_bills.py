@@ -155,3 +155,21 @@ def test_lines_are_dealt_twice_and_written_once(spark, monkeypatch):
     assert len(tables) == 1 and plan.count("Exchange hashpartitioning") == 2
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(T.SOFT_DIRTY) == 1
+
+
+def test_tables_are_dealt_once(spark, monkeypatch):
+    """Table bills: one shuffle by document, nothing written on the way, each line cut into cells once."""
+    tables = []
+    monkeypatch.setattr(B, "written", lambda df, name: tables.append(name) or df)
+    text = "№;Найменування робіт;Одиниця виміру;Кількість\n1;Демонтаж розеток;шт;4"
+    cells = S.split_cells(lines(spark, "a", text).withColumnRenamed("line_no", "row_no"))
+    found = B.table_positions(cells)
+    assert tables == [] and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3  # one a delimiter
+
+
+def test_header_row_after_positions(spark):
+    """The object's header counts for positions before it, and rows that speak of an object before it stay headers."""
+    rows = [(0, ["№", "Найменування", "Кількість"]), (1, ["1", "Двері", "2"]), (2, ["", "за адресою: м. Полтава, ремонт будівлі школи", "7"]), (3, ["2", "Капітальний ремонт школи № 5", "1"]), (4, ["3", "Капітальний ремонт даху школи", "4"])]
+    got = B.table_positions(spark.createDataFrame([("d", i, c) for i, c in rows], "doc_id string, row_no int, cells array<string>")).orderBy("row_no").collect()
+    assert [(r.row_no, r.number, r.city) for r in got] == [(1, 1, "Полтава"), (4, 2, "Полтава")]
