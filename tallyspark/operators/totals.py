@@ -93,7 +93,9 @@ def through_numbers(positions: DataFrame) -> DataFrame:
 
 def tree(positions: DataFrame) -> DataFrame:
     """Nested objects: estimates, divisions and positions, each in order. Objects are bounded
-    documents, so an array of one is too."""
+    documents, so an array of one is too. Positions are dealt by object first: what is put
+    together of them lies together already and is not shuffled again."""
+    positions = positions.repartition("object_id")
     p = F.struct("ordinal", "position_id", "name", "unit", "quantity", "total")
     divisions = positions.groupBy("object_id", "estimate_ord", "estimate_id", "division_ord", "division_id").agg(F.array_sort(F.collect_list(p)).alias("positions"))
     estimates = divisions.groupBy("object_id", "estimate_ord", "estimate_id").agg(F.array_sort(F.collect_list(F.struct("division_ord", "division_id", "positions"))).alias("divisions"))

@@ -238,3 +238,13 @@ def test_repricing_under_a_budget(spark):
     assert run(0)[1] == (3, 0, 1) and run(1, use_cache=False)[1] == (1, 3, 0)
     sources, spent, _ = run(1, answer("невідома перша"))
     assert spent == (1, 1, 2) and sources[0] == ("web", True) and sources[1] == ("web", False)
+
+
+def test_tree_is_shuffled_once(spark):
+    """Positions are dealt by object once; divisions, estimates and objects are put together where they lie."""
+    cells = [(o, e, f"e{e}", d, f"d{d}", n, f"{o}-{e}-{d}-{n}", "Двері", "шт", 1.0, 2.0) for o in (1, 2) for e in (2, 1) for d in (1, 2) for n in (2, 1)]
+    schema = "object_id long, estimate_ord int, estimate_id string, division_ord int, division_id string, ordinal int, position_id string, name string, unit string, quantity double, total double"
+    found = totals.tree(spark.createDataFrame(cells, schema))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = {r.object_id: [p.position_id for e in r.estimates for d in e.divisions for p in d.positions] for r in found.collect()}
+    assert rows == {o: [f"{o}-{e}-{d}-{n}" for e in (1, 2) for d in (1, 2) for n in (1, 2)] for o in (1, 2)}
