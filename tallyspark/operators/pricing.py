@@ -38,7 +38,7 @@ def history_facts(positions: DataFrame) -> DataFrame:
     n, u = F.col("name"), F.col("unit")
     forms = facts.select("name", "unit").distinct().select(n.alias("n"), u.alias("u"), T.work_key(n, u).alias("work_key"), T.clean_text(n).alias("f_name"), T.normalise_unit(u).alias("f_unit"))
     joined = facts.join(written(forms, "forms"), n.eqNullSafe(F.col("n")) & u.eqNullSafe(F.col("u"))).drop("n", "u")
-    changed = {"name": F.col("f_name"), "unit": F.col("f_unit"), "city": T.clean_text(F.col("city")), "region": T.clean_text(F.col("region"))}
+    changed = {"name": F.col("f_name"), "unit": F.col("f_unit"), "city": T.clean_once(F.col("city")), "region": T.clean_once(F.col("region"))}
     return joined.withColumns(changed).drop("f_name", "f_unit")
 
 
