@@ -125,7 +125,10 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     name, unit = work_name(F.col("p_name")), pick(UNITS, F.col("p_size"))
-    part = read(spark, sf_dir, "part").where(F.col("p_size") % 3 != 0).select("p_partkey", name.alias("name"), unit.alias("unit"), T.work_key(name, unit).alias("work_key"))
+    part = read(spark, sf_dir, "part").where(F.col("p_size") % 3 != 0).select("p_partkey", name.alias("name"), unit.alias("unit"))
+    # Keys are made once for each name and unit, not for each part.
+    keys = part.select("name", "unit").distinct().withColumn("work_key", T.work_key(F.col("name"), F.col("unit")))
+    part = part.join(keys, ["name", "unit"])
     order = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
