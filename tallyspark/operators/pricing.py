@@ -336,7 +336,7 @@ def reprice(positions: DataFrame, resolved: DataFrame, keep_manual: bool = True)
     keys = ["name", "unit", "city", "region"]
     renamed = resolved.select(*keys, *(F.col(p).alias(f"r_{p}") for p in PRICES), F.col("source").alias("r_source"), F.col("match_code").alias("r_code"), F.col("match_score").alias("r_score"))
     skip = F.col("manual") if keep_manual else F.lit(False)
-    joined = positions.join(renamed, keys, "left")
+    joined = positions.join(written(renamed, "resolved"), keys, "left")  # few next to positions: Spark sees its size
     set_to = lambda old, new: F.when(skip, old).otherwise(new)
     return joined.withColumns(
         {f"{p}_price": set_to(F.col(f"{p}_price").cast("decimal(18,2)"), F.col(f"r_{p}")) for p in PRICES}
@@ -366,13 +366,14 @@ def fill_added(new: DataFrame, resolved: DataFrame, items: DataFrame) -> DataFra
     """
     keys = ["name", "unit", "city", "region"]
     given = F.col("manual") & F.col("labor_price").isNotNull()
-    r = resolved.select(*keys, *(F.col(p).alias(f"r_{p}") for p in PRICES), F.col("source").alias("r_source"), F.col("match_code").alias("r_code"), F.col("match_score").alias("r_score"))
+    r = resolved.select(*keys, *(F.col(p).alias(f"r_{p}") for p in PRICES), F.col("source").alias("r_source"), F.col("match_code").alias("r_code"), F.col("match_score").alias("r_score"), T.normalise_unit(F.col("unit")).alias("r_unit"))
     unit = items.groupBy("code").agg(F.min_by("unit", "ord").alias("i_unit")).withColumnRenamed("code", "r_code")
-    joined = new.join(r, keys, "left").join(unit, "r_code", "left")
+    joined = new.join(written(r.join(unit, "r_code", "left"), "resolved"), keys, "left")
+    own = F.coalesce("r_unit", T.normalise_unit(F.col("unit")))  # made once for each request
     zero = F.lit(0).cast("decimal(18,2)")
     return joined.select(
         *[c for c in new.columns if c not in {"unit", "quantity", "manual", *(f"{p}_price" for p in PRICES)}],
-        F.when(~given & (T.normalise_unit(F.col("unit")) == ""), F.coalesce("i_unit", F.lit(""))).otherwise(T.normalise_unit(F.col("unit"))).alias("unit"),
+        F.when(~given & (own == ""), F.coalesce("i_unit", F.lit(""))).otherwise(own).alias("unit"),
         F.coalesce(F.col("quantity").cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")).alias("quantity"),
         *(F.when(given, F.coalesce(F.col(f"{p}_price").cast("decimal(18,2)"), zero)).otherwise(F.coalesce(F.col(f"r_{p}"), zero)).alias(f"{p}_price") for p in PRICES),
         F.when(given, "manual").otherwise(F.coalesce("r_source", F.lit("none"))).alias("price_source"),
