@@ -31,11 +31,29 @@ def compose(c: Column) -> Column:
     return c
 
 
+def composed(c: Column) -> Column:
+    """NFC of a text. Only texts with a combining mark are composed, by the Unicode library that Spark itself comes with."""
+    whole = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(r"\p{M}"), whole).otherwise(c)
+
+
 def compose_all(df: DataFrame, *columns: str) -> DataFrame:
-    """NFC of string columns: for sources, before any other rule reads a text. Only texts with
-    a combining mark are composed, by the Unicode library that Spark itself comes with."""
-    whole = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
-    return df.withColumns({k: F.when(F.col(k).rlike(r"\p{M}"), whole(F.col(k))).otherwise(F.col(k)) for k in columns})
+    """NFC of string columns: for sources, before any other rule reads a text."""
+    return df.withColumns({k: composed(F.col(k)) for k in columns})
+
+
+#: Texts of spaces and of letters, digits and marks that no rule of cleaning changes: one quick pass tells most texts.
+PLAIN = r"\A[\u0400-\u0481\u0490\u0491 !-_a-~\u00ab\u00bb\u00b2\u00b3\u2116\u2013\u2014]*\z"
+
+
+def plain(c: Column) -> Column:
+    """Whether spaces are all that cleaning may change in a text."""
+    return c.rlike(PLAIN)
+
+
+def single_spaced(c: Column) -> Column:
+    """clean_text of a plain text."""
+    return F.when(F.contains(c, F.lit("  ")), F.regexp_replace(F.trim(c), " {2,}", " ")).otherwise(F.trim(c))
 
 
 def soft_clean(c: Column) -> Column:
@@ -57,7 +75,7 @@ DIRTY = rf"(?U)[\p{{M}}{fixed.APOSTROPHES.replace(chr(39), '')}\n\r\t\u00a0\u200
 
 def clean_once(c: Column) -> Column:
     """clean_text for texts of which nearly all are clean: these are looked at, not rewritten."""
-    return F.when(c.rlike(DIRTY), clean_text(c)).otherwise(F.coalesce(c, F.lit("")))
+    return F.when(plain(c), single_spaced(c)).when(c.rlike(DIRTY), clean_text(c)).otherwise(F.coalesce(c, F.lit("")))
 
 
 #: What soft_clean would change somewhere in a text.
@@ -66,7 +84,23 @@ SOFT_DIRTY = rf"(?U)[\p{{M}}{fixed.APOSTROPHES.replace(chr(39), '')}\t\u00a0\u20
 
 def soft_clean_once(c: Column) -> Column:
     """soft_clean as clean_once."""
-    return F.when(c.rlike(SOFT_DIRTY), soft_clean(c)).otherwise(F.coalesce(c, F.lit("")))
+    return F.when(plain(c), F.rtrim(c)).when(c.rlike(SOFT_DIRTY), soft_clean(c)).otherwise(F.coalesce(c, F.lit("")))
+
+
+#: First letters of texts between which no white space and no digits but 0 to 9 lie.
+_KNOWN = (("!", "~"), ("\u00a1", "\u0600"))
+
+
+def first_letter(c: Column) -> Column:
+    """The first letter after spaces; null where white space or a digit of another kind may come first."""
+    first = F.substring(F.ltrim(c), 1, 1)
+    return F.when(first.between(*_KNOWN[0]) | first.between(*_KNOWN[1]), first)
+
+
+def starts_with_digit(c: Column) -> Column:
+    """Whether a text starts with a digit after white space."""
+    first = first_letter(c)
+    return F.when(first.isNotNull(), first.between("0", "9")).otherwise(c.rlike(r"(?U)^\s*\d"))
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -77,8 +111,10 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
 
 def clean_all(cells: Column) -> Column:
     """clean_text of each text of an array; arrays that it would not change are passed through."""
-    cells = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
-    return F.when(F.exists(cells, lambda c: c.rlike(DIRTY)), F.transform(cells, lambda c: clean_text(c))).otherwise(cells)
+    whole = F.array_join(F.concat(F.array(F.lit("")), cells, F.array(F.lit(""))), "|", "\t")  # a null is not plain
+    good = plain(whole) & ~F.contains(whole, F.lit("  ")) & ~F.contains(whole, F.lit(" |")) & ~F.contains(whole, F.lit("| "))
+    each = F.transform(cells, lambda c: clean_once(F.coalesce(c, F.lit(""))))
+    return F.when(good, cells).otherwise(each)
 
 
 def name_tokens(c: Column) -> Column:
@@ -122,6 +158,15 @@ def unit_of(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(table, raw), F.try_element_at(table, F.regexp_replace(raw, r"(?U)[\s.]", "")), raw)
 
 
+#: Units that are written as unit_raw leaves them.
+_AS_WRITTEN = {k: v for k, v in fixed.UNIT_OF.items() if k == k.lower().rstrip(".").strip(" ").translate(str.maketrans("²³", "23"))}
+
+
+def known_unit(c: Column) -> Column:
+    """normalise_unit of a text; most units are found as they are written, which are clean."""
+    return F.coalesce(F.try_element_at(literal_map(_AS_WRITTEN), c), let(clean_once(c), lambda x: let(unit_raw(x, clean=True), unit_of)))
+
+
 def normalise_unit(c: Column, clean: bool = False) -> Column:
     return unit_of(unit_raw(c, clean))
 

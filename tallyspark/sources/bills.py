@@ -14,6 +14,7 @@ NOISE = (
     r"^(?:\s*\d+\s*$|\s*1\s+2\s+3\s+4\s+5\s*$|Додаток\s|до ДБН|затверджений|Мінрегіонбуд|від \d{2}\.\d{2}\.\d{4}|"
     r"\s*№\s*$|п/п\s|вимір[уy]\s|\[посада)"
 )
+NOISE_STARTS = list("0123456789ДдзМв№п[")  # first letters of NOISE
 CODE = r"(?U)\b(\d{2,5}[_-][А-ЯЇІЄҐA-Z]{1,5}[_-][А-ЯЇІЄҐA-Z]{2,6})\b"
 
 
@@ -49,7 +50,7 @@ def split_cells(lines: DataFrame) -> DataFrame:
 
 def clean_cells(rows: DataFrame) -> DataFrame:
     """Cells cleaned, rows without any text gone."""
-    return T.computed(rows, cells=T.clean_all(F.col("cells"))).where(F.exists("cells", lambda c: c != ""))
+    return rows.where(F.array_join("cells", "").rlike(r"(?U)\S")).withColumn("cells", T.clean_all(F.col("cells")))
 
 
 def text_lines(texts: DataFrame) -> DataFrame:
@@ -63,16 +64,24 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return split_cells(text_lines(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))))
 
 
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, line (cleaned), content, doc_code: lines with any text; whether one is content, and the code
+    that a footer has. Footers and the print form are no content. lines: doc_id, line_no, line."""
+    line = F.col("line")
+    # Each line is cleaned once: Spark does not move filters below the composing, whose function it does not know.
+    clean = lines.select("doc_id", "line_no", F.when(T.plain(line), F.rtrim(line)).otherwise(T.soft_clean_once(T.composed(line))).alias("line")).where(F.trim("line") != "")
+    footer = F.contains("line", F.lit(FOOTER))
+    first = T.first_letter(line)
+    left = F.when(first.isNotNull(), F.ltrim("line")).otherwise(F.regexp_replace("line", r"(?U)^\s+", ""))
+    noise = F.coalesce(first.isin(NOISE_STARTS), F.lit(True)) & left.rlike(NOISE)  # the right end is trimmed
+    return clean.select("doc_id", "line_no", "line", (~footer & ~noise).alias("content"), F.when(footer, F.nullif(F.regexp_extract("line", CODE, 1), F.lit(""))).alias("doc_code"))
+
+
 def content_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines with content, code of each document). lines: doc_id, line_no, line.
 
     The code comes from the first footer that has one; footers and the print form go.
     """
-    clean = T.compose_all(lines, "line").select("doc_id", "line_no", "line")
-    # Each line is cleaned and judged once; filters on what was computed stay above.
-    clean = T.computed(clean, line=T.soft_clean_once(F.col("line"))).where(F.trim("line") != "")
-    code = F.regexp_extract("line", CODE, 1)
-    footer = clean.where(F.contains("line", F.lit(FOOTER))).where(code != "")
-    codes = footer.groupBy("doc_id").agg(F.min_by(code, "line_no").alias("doc_code"))
-    left = F.regexp_replace("line", r"(?U)^\s+", "")  # the right end is trimmed
-    return clean.where(~F.contains("line", F.lit(FOOTER)) & ~left.rlike(NOISE)), codes
+    marked = marked_lines(lines)
+    codes = marked.where("doc_code is not null").groupBy("doc_id").agg(F.min_by("doc_code", "line_no").alias("doc_code"))
+    return marked.where("content").select("doc_id", "line_no", "line"), codes
